@@ -2,7 +2,7 @@
 
 import importlib
 
-ORACLE_MODULES = ["filings"]
+ORACLE_MODULES = ["filings", "quality", "prices", "scores", "research"]
 
 
 def all_sql() -> dict[str, str]:

@@ -101,7 +101,7 @@ CTES["f_funds"] = """
  UNION ALL SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 9, '0'), n_name FROM nation"""
 CTES["prices"] = f"""
  SELECT {tick(BNO)} AS ticker, CAST(l_shipdate + INTERVAL 26 YEAR AS DATE) AS date,
-   avg(l_extendedprice / l_quantity) AS adj_close
+   round(avg(l_extendedprice / l_quantity) + 1e-7::DOUBLE, 2) AS adj_close
  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL"""
 CTES["trades"] = f"""
  SELECT {tick(BNO)} AS ticker, lpad({BNO}, 10, '0') AS issuer_cik, p_brand AS issuer_name,

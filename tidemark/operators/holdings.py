@@ -89,13 +89,16 @@ def quarter_chain(resolved: DataFrame) -> DataFrame:
             "prev_report_date": F.lag("report_date").over(by_fund),
             "prev_accession": F.lag("accession").over(by_fund),
             "next_report_date": F.lead("report_date").over(by_fund),
+            "next_accession": F.lead("accession").over(by_fund),
+            "next_filing_date": F.lead("filing_date").over(by_fund),
         }
     )
 
 
 def snapshot(positions: DataFrame, chain: DataFrame, *extra: str) -> DataFrame:
     """Positions of the resolved filings only."""
-    link = [c for c in ("prev_report_date", "next_report_date") if c in chain.columns]
+    link = [c for c in ("prev_report_date", "next_report_date", "next_accession", "next_filing_date")
+            if c in chain.columns]
     return positions.join(chain.select("accession", *link, *extra), "accession")
 
 

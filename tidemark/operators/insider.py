@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.texts import is_c_suite, role_label
+from tidemark.functions.texts import is_c_suite, pad_cik, role_label
 from tidemark.functions.values import (
-    recency, seniority_multiplier, sizing_multiplier, stake_increase, trade_value,
+    lenient_date, recency, seniority_multiplier, sizing_multiplier, stake_increase, text, trade_value,
 )
-from tidemark.params import DEFAULT_FEATURES, FORM4_WINDOW_DAYS, FeatureParams
+from tidemark.params import DEFAULT_FEATURES, FORM4_ROW_KEY, FORM4_WINDOW_DAYS, FeatureParams
 
 
 def is_buy() -> Column:
@@ -96,8 +96,8 @@ def visible_at(folded: DataFrame, points: DataFrame, window_days: int = FORM4_WI
 
 
 def owner_activity(visible: DataFrame, window_days: int = FORM4_WINDOW_DAYS,
-                   p: FeatureParams = DEFAULT_FEATURES) -> DataFrame:
-    """One row per (ticker, as_of, owner): what the owner bought and sold."""
+                   p: FeatureParams = DEFAULT_FEATURES, keys: tuple[str, ...] = ("ticker", "as_of")) -> DataFrame:
+    """One row per (keys, owner): what the owner bought and sold."""
     age = F.coalesce(
         F.greatest(F.datediff("as_of", "transaction_date"), F.lit(0)), F.lit(int(window_days))
     )
@@ -107,7 +107,7 @@ def owner_activity(visible: DataFrame, window_days: int = FORM4_WINDOW_DAYS,
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("filing_date", c)))
     return (
         visible.withColumn("_age", age)
-        .groupBy("ticker", "as_of", "owner")
+        .groupBy(*keys, "owner")
         .agg(
             F.sum("n_rows").alias("n_rows"),
             F.sum("n_buys").alias("n_buys"),
@@ -129,10 +129,11 @@ def owner_activity(visible: DataFrame, window_days: int = FORM4_WINDOW_DAYS,
     )
 
 
-def ticker_activity(owners: DataFrame, p: FeatureParams = DEFAULT_FEATURES) -> DataFrame:
-    """Insider side of the score per (ticker, as_of)."""
+def ticker_activity(owners: DataFrame, p: FeatureParams = DEFAULT_FEATURES,
+                    keys: tuple[str, ...] = ("ticker", "as_of")) -> DataFrame:
+    """Insider side of the score per ``keys``."""
     buyer, seller = F.col("n_buys") > 0, F.col("n_sells") > 0
-    return owners.groupBy("ticker", "as_of").agg(
+    return owners.groupBy(*keys).agg(
         F.sum("n_rows").alias("n_visible"),
         F.count_if(buyer).alias("n_buyers"),
         F.count_if(seller).alias("n_sellers"),
@@ -155,6 +156,19 @@ def insider_activity(trades: DataFrame, points: DataFrame, window_days: int = FO
     return ticker_activity(owner_activity(visible, window_days, p), p)
 
 
+def activity_by_window(trades: DataFrame, points: DataFrame, windows: tuple[int, ...],
+                       p: FeatureParams = DEFAULT_FEATURES) -> DataFrame:
+    """Activity per (ticker, as_of, window_days) for several windows in one pass: trades of
+    the widest window are fetched once and counted in every window they fall into."""
+    visible = visible_at(fold_trades(trades, p), points, max(windows))
+    age = F.datediff("as_of", "transaction_date")
+    per_window = visible.withColumn(
+        "window_days", F.explode(F.array(*[F.lit(int(w)) for w in windows]))
+    ).filter(age <= F.col("window_days"))
+    keys = ("ticker", "as_of", "window_days")
+    return ticker_activity(owner_activity(per_window, max(windows), p, keys), p, keys)
+
+
 def visible_accessions(trades: DataFrame, points: DataFrame,
                        window_days: int = FORM4_WINDOW_DAYS) -> DataFrame:
     """Distinct insider filings visible for each (ticker, as_of), one per row."""
@@ -177,3 +191,144 @@ def buyer_rows(owners: DataFrame) -> DataFrame:
         F.round(F.coalesce("stake", F.lit(0.0)), 4).alias("stake_increase_pct"),
         F.col("last_buy_age").cast("long").alias("days_since_last_buy"),
     )
+
+
+# -- insider files ------------------------------------------------------------------
+# Transaction codes that may occur in a file.
+KNOWN_CODES = ["A", "C", "D", "F", "G", "I", "J", "M", "P", "S"]
+
+
+def form4_row_problems(rows: DataFrame, universe: DataFrame | None = None, start: Column | None = None,
+                       end: Column | None = None) -> DataFrame:
+    """Text rows of an insider file with a list of what is wrong with each."""
+    t = F.upper(text("ticker"))
+    number = lambda c: text(c).try_cast("double")
+    cik = pad_cik("issuer_cik")
+    filed, traded = lenient_date("filing_date"), lenient_date("transaction_date")
+    out = rows
+    outside = F.lit(False)
+    if universe is not None:
+        known = universe.select(F.col("ticker").alias("_u")).distinct()
+        out = rows.join(known, t == F.col("_u"), "left")
+        outside = (t != "") & F.col("_u").isNull()
+    never = F.lit(False)
+    checks = [
+        (t == "", "missing_ticker"),
+        (outside, "ticker_outside_universe"),
+        (cik == "0000000000", "missing_issuer_cik"),
+        (text("issuer_name") == "", "missing_issuer_name"),
+        (text("accession") == "", "missing_accession"),
+        (filed.isNull(), "invalid_filing_date"),
+        (traded.isNull(), "invalid_transaction_date"),
+        (traded < start if start is not None else never, "transaction_before_start"),
+        (traded > end if end is not None else never, "transaction_after_end"),
+        (~F.upper(text("transaction_code")).isin(*KNOWN_CODES), "unexpected_transaction_code"),
+        (~F.upper(text("acquired_disposed")).isin("A", "D"), "unexpected_acquired_disposed"),
+        (number("shares") <= 0, "non_positive_shares"),
+        (number("shares").isNull(), "invalid_shares"),
+        (number("price_per_share") < 0, "negative_price_per_share"),
+        (number("price_per_share").isNull(), "invalid_price_per_share"),
+    ]
+    return out.withColumns({
+        "t": t, "cik": cik, "traded": traded,
+        "problems": F.array_compact(F.array(*[F.when(c, name) for c, name in checks])),
+    }).drop("_u")
+
+
+def validate_form4(rows: DataFrame, universe: DataFrame | None = None, start: Column | None = None,
+                   end: Column | None = None) -> DataFrame:
+    """One-row report on an insider file: bad and repeated rows, tickers outside or missing
+    from the universe, tickers with several issuers, and whether the file is ready."""
+    checked = form4_row_problems(rows, universe, start, end)
+    k = F.lit(1).alias("_k")
+    base = checked.agg(
+        F.count(F.lit(1)).alias("rows_total"),
+        F.count_if(F.size("problems") > 0).alias("invalid_rows"),
+        F.count_distinct(F.when(F.array_contains("problems", "ticker_outside_universe"), F.col("t"))).alias("unexpected_tickers"),
+        k,
+    )
+    # Rows with the same key are one trade: folded first, so a key with many copies is cheap.
+    unique = checked.filter(F.size("problems") == 0).groupBy(
+        "t", "cik", text("issuer_name").alias("name"), F.upper(text("transaction_code")).alias("code"),
+        F.upper(text("acquired_disposed")).alias("side"), "traded", *FORM4_ROW_KEY,
+    ).agg(F.count(F.lit(1)).alias("copies"))
+    keys = unique.groupBy(*FORM4_ROW_KEY).agg(
+        F.sum("copies").alias("copies"), F.min(F.struct("t", "cik", "name", "code", "side", "traded")).alias("r")
+    ).select("copies", "r.*")
+    buy = (F.col("code") == "P") & (F.col("side") == "A")
+    sell = (F.col("code") == "S") & (F.col("side") == "D")
+    totals = keys.agg(
+        F.count(F.lit(1)).alias("rows_valid"),
+        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"),
+        F.count_distinct("t").alias("tickers_observed"),
+        F.count_if(buy).alias("open_market_buy_rows"),
+        F.count_distinct(F.when(buy, F.col("t"))).alias("open_market_buy_tickers"),
+        F.count_if(sell).alias("open_market_sell_rows"),
+        F.count_distinct(F.when(sell, F.col("t"))).alias("open_market_sell_tickers"),
+        F.min("traded").alias("earliest_transaction_date"),
+        F.max("traded").alias("latest_transaction_date"),
+        k,
+    )
+    issuers = keys.groupBy("t").agg(F.count_distinct("cik").alias("ciks"), F.count_distinct("name").alias("names")).agg(
+        F.count_if("ciks > 1").alias("mixed_issuer_tickers"),
+        F.count_if("ciks = 1 and names > 1").alias("issuer_name_variants"), k,
+    )
+    out = base.join(totals, "_k").join(issuers, "_k")
+    if universe is None:
+        out = out.withColumns({"ticker_universe_count": F.col("tickers_observed"), "tickers_empty": F.lit(0).cast("long")})
+    else:
+        seen = keys.select(F.col("t").alias("ticker")).distinct().withColumn("_s", F.lit(1))
+        wanted = universe.select("ticker").distinct().join(seen, "ticker", "left").agg(
+            F.count(F.lit(1)).alias("ticker_universe_count"), F.count_if(F.col("_s").isNull()).alias("tickers_empty"), k)
+        out = out.join(wanted, "_k")
+    trouble = (
+        (F.col("invalid_rows") + F.col("duplicate_rows") + F.col("mixed_issuer_tickers") + F.col("unexpected_tickers") > 0)
+        | (F.col("rows_valid") == 0)
+    )
+    return out.drop("_k").withColumn("status", F.when(trouble, "review").otherwise("ready"))
+
+
+def form4_code_counts(rows: DataFrame) -> DataFrame:
+    """Valid rows per transaction code and side."""
+    good = form4_row_problems(rows).filter(F.size("problems") == 0)
+    distinct = good.groupBy(*FORM4_ROW_KEY).agg(
+        F.min(F.upper(text("transaction_code"))).alias("code"), F.min(F.upper(text("acquired_disposed"))).alias("side"))
+    return distinct.groupBy("code", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def guard_issuers(parsed: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split parsed trades by whether the filing's issuer is the one expected for its
+    ``ticker``: (kept trades, one row per dropped filing)."""
+    both = parsed.join(expected.select("ticker", F.col("cik").alias("expected_issuer_cik")), "ticker")
+    same = pad_cik("issuer_cik") == F.col("expected_issuer_cik")
+    dropped = both.filter(~same).select(
+        "ticker", "accession", "expected_issuer_cik", pad_cik("issuer_cik").alias("actual_issuer_cik"),
+        "issuer_name", "owner_cik").distinct()
+    return both.filter(same), dropped
+
+
+def build_form4_rows(parsed: DataFrame, universe: DataFrame, cik_map: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Normalized insider rows of a ticker universe: right issuer, filed and traded inside
+    the window. ``parsed`` carries the ticker it was fetched for."""
+    wanted = universe.select("ticker").distinct().join(cik_map, "ticker")
+    kept, _ = guard_issuers(parsed, wanted)
+    filed, traded = lenient_date("filing_date"), lenient_date("transaction_date")
+    return kept.filter(filed.between(start, end) & traded.between(start, end)).withColumn(
+        "value_usd", trade_value(F.col("shares"), F.col("price_per_share"))
+    ).drop("expected_issuer_cik", "issuer_ticker")
+
+
+def form4_build_summary(parsed: DataFrame, universe: DataFrame, cik_map: DataFrame, start: Column, end: Column) -> DataFrame:
+    """One row: tickers asked for, without cik, without filings; filings dropped for the
+    wrong issuer; rows written."""
+    k = F.lit(1).alias("_k")
+    tickers = universe.select("ticker").distinct().join(cik_map, "ticker", "left")
+    fetched = parsed.select("ticker").distinct().withColumn("_f", F.lit(1))
+    a = tickers.join(fetched, "ticker", "left").agg(
+        F.count(F.lit(1)).alias("tickers_requested"),
+        F.count_if(F.col("cik").isNull()).alias("tickers_without_cik"),
+        F.count_if(F.col("cik").isNotNull() & F.col("_f").isNull()).alias("tickers_without_filings"), k)
+    _, dropped = guard_issuers(parsed, tickers.filter("cik is not null"))
+    b = dropped.agg(F.count(F.lit(1)).alias("issuer_mismatch_filings"), k)
+    c = build_form4_rows(parsed, universe, cik_map, start, end).agg(F.count(F.lit(1)).alias("rows_new"), k)
+    return a.join(b, "_k").join(c, "_k").drop("_k")

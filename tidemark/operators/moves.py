@@ -51,10 +51,15 @@ def quarter_moves(snapshots: DataFrame, hold_epsilon: float = HOLD_EPSILON) -> D
     ``next_report_date``. A fund's first quarter is all NEW."""
     texts = [c for c in ("issuer", "title_of_class", "ticker") if c in snapshots.columns]
     has_weight = "weight" in snapshots.columns
+    # The filing that reports the quarter travels along, so an EXIT knows it too.
+    filed = [("accession", "next_accession"), ("filing_date", "next_filing_date")]
+    filed = filed if "next_accession" in snapshots.columns else []
     sides = F.explode(
         F.array(
-            F.struct(F.lit(True).alias("curr"), F.col("report_date").alias("quarter")),
-            F.struct(F.lit(False).alias("curr"), F.col("next_report_date").alias("quarter")),
+            F.struct(F.lit(True).alias("curr"), F.col("report_date").alias("quarter"),
+                     *[F.col(now).alias(now) for now, _ in filed]),
+            F.struct(F.lit(False).alias("curr"), F.col("next_report_date").alias("quarter"),
+                     *[F.col(later).alias(now) for now, later in filed]),
         )
     ).alias("side")
     weight = F.col("weight") if has_weight else F.lit(0.0)
@@ -74,6 +79,7 @@ def quarter_moves(snapshots: DataFrame, hold_epsilon: float = HOLD_EPSILON) -> D
         pick(curr, "value_usd").alias("curr_value"),
         pick(curr, "weight").alias("curr_weight"),
         *[F.coalesce(pick(curr, c), pick(prev, c)).alias(c) for c in texts],
+        *[F.max(f"side.{now}").alias(now) for now, _ in filed],
     )
     return _finish(moves, hold_epsilon)
 

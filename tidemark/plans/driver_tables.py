@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.functions.texts import CLIENT_FAMILIES
 from tidemark.operators import holdings
+from tidemark.operators.moves import quarter_moves
+from tidemark.session import materialize
 
 YEARS = 26  # shift that puts trade dates on both sides of the reporting-unit change
 NOW = "2024-01-20 12:00:00"  # "now" of the event-based reports
@@ -35,6 +36,7 @@ def ticker_of(no: Column) -> Column:
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._stored: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -116,11 +118,27 @@ class Tables:
     def resolved(self, lines: DataFrame | None = None) -> DataFrame:
         return holdings.resolve_filings(self.filings(lines))
 
-    def snapshots(self, lines: DataFrame | None = None, weights: bool = True) -> DataFrame:
+    def holdings(self, flawed: bool = False) -> DataFrame:
+        """The positions as a written table: several steps read them, and the lines are
+        scanned and shuffled once."""
+        return self._store("flawed" if flawed else "plain",
+                           lambda: self.positions(self.flawed_lines() if flawed else self.lines()))
+
+    def _store(self, name: str, make) -> DataFrame:
+        if name not in self._stored:
+            self._stored[name] = materialize(make(), name)
+        return self._stored[name]
+
+    def chain(self, flawed: bool = False) -> DataFrame:
+        """Resolved filings with their neighbours in time, written once (filing rows only)."""
+        return self._store(
+            "flawed_chain" if flawed else "chain",
+            lambda: holdings.quarter_chain(holdings.resolve_filings(holdings.filing_totals(self.holdings(flawed)))),
+        )
+
+    def snapshots(self, weights: bool = True, flawed: bool = False) -> DataFrame:
         """Resolved positions with the fund's next and previous quarter."""
-        positions = self.positions(lines)
-        filings = holdings.filing_totals(positions)
-        chain = holdings.quarter_chain(holdings.resolve_filings(filings))
+        positions, chain = self.holdings(flawed), self.chain(flawed)
         if not weights:
             return holdings.snapshot(positions, chain)
         snap = holdings.snapshot(positions, chain, "total_value")
@@ -128,6 +146,9 @@ class Tables:
             "weight", F.when(F.col("total_value") > 0, F.col("value_usd") / F.col("total_value")).otherwise(0.0)
         ).drop("total_value")
 
+    def moves(self, weights: bool = True, flawed: bool = False) -> DataFrame:
+        return quarter_moves(self.snapshots(weights, flawed))
+
     def funds(self) -> DataFrame:
         return self.read("supplier").select(
             F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("cik"),
@@ -154,11 +175,12 @@ class Tables:
 
     # -- prices and insider trades --------------------------------------------
     def prices(self) -> DataFrame:
+        """Daily prices in whole cents (the tiny addend keeps half cents from rounding either way)."""
         l, p = self.read("lineitem"), self.read("part")
         return (
             l.join(p, l["l_partkey"] == p["p_partkey"])
             .groupBy(ticker_of(brand_no()).alias("ticker"), day("l_shipdate").alias("date"))
-            .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("adj_close"))
+            .agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) + 1e-7, 2).alias("adj_close"))
         )
 
     def fundamentals(self) -> DataFrame:

@@ -17,12 +17,12 @@ def ratio(c: str, alias: str | None = None):
 
 
 def all_moves(t: Tables):
-    return moves.quarter_moves(t.snapshots())
+    return t.moves()
 
 
 def a1_portfolio_positions(spark, sf):
     t = Tables(spark, sf)
-    positions = t.positions()
+    positions = t.holdings()
     out = holdings.add_weights(positions, holdings.filing_totals(positions))
     return out.select("accession", "cusip", "put_call", "issuer", "title_of_class",
                       money("value_usd"), "shares", ratio("weight"))
@@ -42,13 +42,12 @@ def w2_position_weights(spark, sf):
 
 def w3_previous_quarter(spark, sf):
     t = Tables(spark, sf)
-    chain = holdings.quarter_chain(t.resolved(t.flawed_lines()))
-    return chain.select("cik", "report_date", "accession", "prev_report_date", "prev_accession")
+    return t.chain(flawed=True).select("cik", "report_date", "accession", "prev_report_date", "prev_accession")
 
 
 def w6_latest_per_fund(spark, sf):
     t = Tables(spark, sf)
-    filings = t.filings(t.flawed_lines())
+    filings = holdings.filing_totals(t.holdings(flawed=True))
     current = holdings.current_filing(holdings.resolve_filings(filings)).select(
         "cik", F.col("report_date").alias("quarter"), F.col("accession").alias("current_accession"))
     newest = holdings.latest_filing_by_date(filings).select("cik", F.col("accession").alias("newest_accession"), "filing_date")
@@ -96,17 +95,15 @@ def j2_quarter_moves(spark, sf):
 
 def j2_moves_with_gaps(spark, sf):
     t = Tables(spark, sf)
-    out = moves.quarter_moves(t.snapshots(t.flawed_lines()))
+    out = t.moves(weights=False, flawed=True)
     return moves.move_counts(out, "cik", "report_date")
 
 
 def j3_latest_diff(spark, sf):
     """Moves between the two newest resolved quarters of every fund that has two."""
     t = Tables(spark, sf)
-    positions = t.positions()
-    chain = holdings.quarter_chain(holdings.resolve_filings(holdings.filing_totals(positions)))
-    two = holdings.latest_portfolios(chain, 2)
-    snap = holdings.snapshot(positions, two)
+    two = holdings.latest_portfolios(t.chain(), 2)
+    snap = holdings.snapshot(t.holdings(), two)
     newest = two.filter("recency = 1 and prev_report_date is not null").select("cik", "report_date")
     return moves.quarter_moves(snap).join(newest, ["cik", "report_date"], "left_semi").select(
         "cik", "report_date", "cusip", "put_call", "move", "prev_shares", "curr_shares")
@@ -121,14 +118,14 @@ def a3_consensus_holdings(spark, sf):
 
 def a4_consensus_buys(spark, sf):
     t = Tables(spark, sf)
-    out = consensus.consensus_moves(moves.quarter_moves(t.snapshots(weights=False)), t.funds())
+    out = consensus.consensus_moves(t.moves(weights=False), t.funds())
     vote = F.transform("votes", lambda v: F.concat_ws(":", v["label"], v["move"]))
     return out.select("report_date", "cusip", "ticker", "issuer", "n_funds", F.array_join(vote, ",").alias("votes"))
 
 
 def a4_consensus_sells(spark, sf):
     t = Tables(spark, sf)
-    out = consensus.consensus_moves(moves.quarter_moves(t.snapshots(weights=False)), t.funds(), moves.SELLS, 2)
+    out = consensus.consensus_moves(t.moves(weights=False), t.funds(), moves.SELLS, 2)
     return out.select("report_date", "cusip", "n_funds")
 
 
@@ -155,12 +152,12 @@ def a6_unresolved_tail(spark, sf):
 
 
 def a11_move_counts(spark, sf):
-    out = moves.quarter_moves(Tables(spark, sf).snapshots(weights=False))
+    out = Tables(spark, sf).moves(weights=False)
     return moves.move_counts(out, "cik", "report_date")
 
 
 def a11_ticker_summary(spark, sf):
-    out = moves.quarter_moves(Tables(spark, sf).snapshots(weights=False))
+    out = Tables(spark, sf).moves(weights=False)
     return moves.ticker_summary(out.filter("ticker is not null"), "report_date", "ticker").withColumn(
         "total_value_usd", F.round("total_value_usd", 2))
 
@@ -169,7 +166,7 @@ def j16_compare_funds(spark, sf):
     """Overlap of the twelve largest funds in the newest quarter."""
     t = Tables(spark, sf)
     snap = t.snapshots()
-    newest = t.resolved()
+    newest = t.chain()
     last = newest.agg(F.max("report_date").alias("d"))
     now = snap.filter(F.col("report_date") == last.scalar())
     top = newest.filter(F.col("report_date") == last.scalar()).orderBy(F.round("total_value", 2).desc(), "cik").limit(12)
@@ -219,7 +216,7 @@ def p4_fund_set_filter(spark, sf):
         F.max(F.struct("n", "s_nationkey"))["s_nationkey"].alias("k"))
     chosen = s.filter(F.col("s_nationkey") == nation.scalar()).select(
         F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("cik"))
-    r = t.resolved()
+    r = t.chain()
     count = lambda label, ciks: consensus.restrict_funds(r, ciks).groupBy("report_date").agg(
         F.count(F.lit(1)).alias("filings"), F.sum("n_positions").alias("positions")).withColumn("funds", F.lit(label))
     return count("all", None).unionByName(count("chosen", chosen)).unionByName(count("none", chosen.limit(0)))
@@ -247,7 +244,7 @@ def p2_blank_cusips(spark, sf):
 
 def o2_union_of_keys(spark, sf):
     """Security keys seen in either of two adjacent quarters of a fund."""
-    m = moves.quarter_moves(Tables(spark, sf).snapshots(weights=False))
+    m = Tables(spark, sf).moves(weights=False)
     return m.groupBy("cik", "report_date").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
