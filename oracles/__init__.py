@@ -2,7 +2,7 @@
 
 import importlib
 
-ORACLE_MODULES = ["filings", "quality", "prices", "scores", "research"]
+ORACLE_MODULES = ["filings", "quality", "prices", "scores", "research", "sources"]
 
 
 def all_sql() -> dict[str, str]:

@@ -122,10 +122,10 @@ CTES["ev"] = """
  SELECT event_id AS id, lpad(CAST(user_id AS VARCHAR), 6, '0') AS key_id,
   CASE WHEN event_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, '/api/' || event_type AS route, event_type AS tool,
   CASE WHEN k < 5 THEN 500 WHEN k < 10 THEN 429 WHEN k < 20 THEN 403 WHEN k < 30 THEN 401 ELSE 200 END AS status,
-  ts AS at, value AS duration_ms, k
+  ts AS tm, value AS duration_ms, k
  FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events)"""
 CTES["telemetry"] = """
- SELECT at AS ts, CASE tool WHEN 'signup' THEN 'initialize' WHEN 'error' THEN 'http' ELSE 'tool' END AS kind, status, tool,
+ SELECT tm AS ts, CASE tool WHEN 'signup' THEN 'initialize' WHEN 'error' THEN 'http' ELSE 'tool' END AS kind, status, tool,
   (['codex-cli', 'ChatGPT', 'cursor 1.2', 'VS Code; vscode', 'my cline bot', 'mcp-inspector', 'something else'])[k % 7 + 1] AS client,
   status = 200 AS success, duration_ms * 300 AS duration_ms FROM ev"""
 CTES["api_keys"] = f"""

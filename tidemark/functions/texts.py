@@ -57,7 +57,7 @@ def pad_cik(c: Column | str) -> Column:
 
 def clean_cik(c: Column | str) -> Column:
     """Ten digits after removing zeros on the left, null when it is no id."""
-    bare = F.ltrim(F.lit("0"), text(c))
+    bare = F.ltrim(text(c), F.lit("0"))
     bare = F.when(bare == "", F.lit("0")).otherwise(bare)
     return F.when(bare.rlike("^[0-9]{1,10}$"), F.lpad(bare, 10, "0"))
 
@@ -161,7 +161,7 @@ def client_family(c: Column | str, probe_pattern: str | None = None, probe_famil
 
 def split_list(c: Column | str, separator: str = ";") -> Column:
     """Trimmed non-blank parts of a separated list."""
-    return F.filter(F.transform(F.split(text(c), separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text(c), separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def join_list(c: Column | str, separator: str = ";") -> Column:

@@ -270,8 +270,8 @@ def validate_form4(rows: DataFrame, universe: DataFrame | None = None, start: Co
         k,
     )
     issuers = keys.groupBy("t").agg(F.count_distinct("cik").alias("ciks"), F.count_distinct("name").alias("names")).agg(
-        F.count_if("ciks > 1").alias("mixed_issuer_tickers"),
-        F.count_if("ciks = 1 and names > 1").alias("issuer_name_variants"), k,
+        F.count_if(F.col("ciks") > 1).alias("mixed_issuer_tickers"),
+        F.count_if((F.col("ciks") == 1) & (F.col("names") > 1)).alias("issuer_name_variants"), k,
     )
     out = base.join(totals, "_k").join(issuers, "_k")
     if universe is None:

@@ -58,17 +58,22 @@ def reject_reason(xml: Column, max_bytes: int) -> Column:
 
 
 def _parse(docs: DataFrame, schema: T.StructType, max_bytes: int) -> DataFrame:
+    """Documents with the top-level elements as columns and ``reject``. The generator makes
+    Spark parse each document once, however many fields are read later."""
+    keep = [c for c in docs.columns if c != "xml"]
     checked = docs.withColumn("reject", reject_reason(F.col("xml"), max_bytes))
     safe = F.when(F.col("reject").isNull(), F.col("xml"))
-    return checked.withColumn("doc", F.from_xml(safe, schema, XML_OPTIONS)).withColumn(
-        "reject", F.coalesce("reject", F.when(F.col("doc._corrupt_record").isNotNull(), "malformed"))
-    )
+    parsed = checked.select(*keep, "reject", F.inline(F.array(F.from_xml(safe, schema, XML_OPTIONS))))
+    return parsed.withColumn(
+        "reject", F.coalesce("reject", F.when(F.col("_corrupt_record").isNotNull(), "malformed"))
+    ).drop("_corrupt_record")
 
 
 def rejected(docs: DataFrame, kind: str = "13f", max_bytes: int | None = None) -> DataFrame:
     """Side output: documents left out and why. One bad document never stops the batch."""
     schema, limit = (INFO_TABLE, MAX_13F_XML_BYTES) if kind == "13f" else (OWNERSHIP, MAX_FORM4_XML_BYTES)
-    return _parse(docs, schema, max_bytes or limit).filter("reject is not null").drop("doc", "xml")
+    keep = [c for c in docs.columns if c != "xml"]
+    return _parse(docs, schema, max_bytes or limit).filter("reject is not null").select(*keep, "reject")
 
 
 def parse_info_tables(docs: DataFrame, max_bytes: int = MAX_13F_XML_BYTES) -> DataFrame:
@@ -76,7 +81,7 @@ def parse_info_tables(docs: DataFrame, max_bytes: int = MAX_13F_XML_BYTES) -> Da
     columns are kept. Commas in numbers are dropped, unreadable numbers count as zero."""
     keep = [c for c in docs.columns if c != "xml"]
     rows = _parse(docs, INFO_TABLE, max_bytes).filter("reject is null").select(
-        *keep, F.posexplode("doc.infoTable").alias("line_no", "t")
+        *keep, F.posexplode("infoTable").alias("line_no", "t")
     )
     number = lambda c: F.coalesce(lenient_double(c), F.lit(0.0))
     return rows.select(
@@ -95,25 +100,25 @@ def parse_form4(docs: DataFrame, max_bytes: int = MAX_FORM4_XML_BYTES) -> DataFr
     """Table I trades of ownership documents. ``docs`` has ``xml``, ``accession`` and
     ``filing_date``; the first reporting owner stands for the filing."""
     doc = _parse(docs, OWNERSHIP, max_bytes).filter("reject is null")
-    owner = F.get("doc.reportingOwner", 0)
+    owner = F.get("reportingOwner", F.lit(0))
     role = owner["reportingOwnerRelationship"]
     flag = lambda c: F.lower(text(c)).isin("1", "true")
-    period = text("doc.periodOfReport")
-    cik = text("doc.issuer.issuerCik")
+    period = text("periodOfReport")
+    cik = text("issuer.issuerCik")
     rows = doc.select(
         "accession",
         F.when(text("filing_date") == "", period).otherwise(text("filing_date")).alias("filing_date"),
         period.alias("period_of_report"),
         F.when(cik == "", "").otherwise(pad_cik(cik)).alias("issuer_cik"),
-        text("doc.issuer.issuerName").alias("issuer_name"),
-        F.upper(text("doc.issuer.issuerTradingSymbol")).alias("issuer_ticker"),
+        text("issuer.issuerName").alias("issuer_name"),
+        F.upper(text("issuer.issuerTradingSymbol")).alias("issuer_ticker"),
         text(owner["reportingOwnerId"]["rptOwnerCik"]).alias("owner_cik"),
         text(owner["reportingOwnerId"]["rptOwnerName"]).alias("owner_name"),
         text(role["officerTitle"]).alias("officer_title"),
         flag(role["isOfficer"]).alias("is_officer"),
         flag(role["isDirector"]).alias("is_director"),
         flag(role["isTenPercentOwner"]).alias("is_ten_percent_owner"),
-        F.explode("doc.nonDerivativeTable.nonDerivativeTransaction").alias("t"),
+        F.explode("nonDerivativeTable.nonDerivativeTransaction").alias("t"),
     )
     number = lambda c: F.coalesce(lenient_double(c), F.lit(0.0))
     amount = lambda c: F.col(f"t.transactionAmounts.{c}.value")
