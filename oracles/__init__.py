@@ -2,7 +2,7 @@
 
 import importlib
 
-ORACLE_MODULES = ["filings", "quality", "prices", "scores", "research", "sources"]
+ORACLE_MODULES = ["filings", "quality", "prices", "scores", "research", "sources", "workspace"]
 
 
 def all_sql() -> dict[str, str]:

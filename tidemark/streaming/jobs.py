@@ -144,67 +144,61 @@ def client_windows(events: DataFrame, limit: int = 120, window_ms: int = 60_000)
 
 
 # -- filings and workspace in foreachBatch ---------------------------------------------
-class Table:
-    """A small state table kept as versions in the shared folder. A version belongs to the
-    batch that wrote it, so a repeated batch reads the same previous version again."""
+class Log:
+    """An append-only table with one folder per batch. A batch that runs again overwrites
+    its own folder and reads only earlier ones, so its result does not change. Each batch
+    adds what it touched; nothing old is rewritten."""
 
     def __init__(self, spark, name: str, schema: str):
-        self.spark, self.schema, self.path = spark, schema, shared_folder(spark, name)
-        spark.createDataFrame([], schema).write.parquet(f"{self.path}/v=-1")
+        self.spark, self.path = spark, shared_folder(spark, name)
+        empty = spark.createDataFrame([], schema)
+        self.columns = empty.columns
+        self.schema = T.StructType([*empty.schema.fields, T.StructField("batch_id", T.LongType())])
+        empty.write.parquet(f"{self.path}/batch_id=-1")
 
-    def read(self, before: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={before - 1}")
+    def read(self, upto: int | None = None) -> DataFrame:
+        rows = self.spark.read.schema(self.schema).parquet(self.path)
+        return rows if upto is None else rows.filter(F.col("batch_id") <= upto)
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+    def append(self, df: DataFrame, batch_id: int) -> None:
+        df.select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
 
 def filing_alerts(filings: DataFrame, subscriptions: DataFrame, send: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Stream of filings to delivery rows: the newest filing of every fund in the batch goes
-    once to each pending subscription. ``send`` gets the pending rows and returns them with
-    a ``status``; delivery is at least once, and rows recorded as sent never go again."""
+    """Stream of filings to delivery outcomes: the newest filing of every fund goes once to
+    each pending subscription. ``send`` gets the pending rows and returns them with a
+    ``status``; delivery is at least once, and rows recorded as sent never go again."""
     spark = filings.sparkSession
-    log = Table(spark, "deliveries", "subscription_id string, accession string, status string, batch bigint")
-    newest = Table(spark, "newest", "cik string, filing_date date, accession string")
+    seen = Log(spark, "filings-seen", "cik string, filing_date date, accession string")
+    log = Log(spark, "deliveries", "subscription_id string, accession string, status string")
     send = send or (lambda pending: pending.withColumn("status", F.lit("sent")))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        seen = newest.read(batch_id).unionByName(batch.select("cik", "filing_date", "accession"))
-        latest = seen.groupBy("cik").agg(F.max(F.struct("filing_date", "accession")).alias("f")).select("cik", "f.*")
-        newest.write(latest, batch_id)
-        done = log.read(batch_id)
-        current = spark.read.schema(newest.schema).parquet(f"{newest.path}/v={batch_id}")
-        pending = watch.pending_deliveries(subscriptions, done, current)
-        results = send(pending).select("subscription_id", "accession", "status", F.lit(batch_id).cast("long").alias("batch"))
-        log.write(done.unionByName(results), batch_id)
-        step.last = batch_id
-
-    step.last = -1
+        seen.append(batch, batch_id)
+        newest = seen.read(batch_id).groupBy("cik").agg(
+            F.max(F.struct("filing_date", "accession")).alias("f")).select("cik", "f.accession")
+        pending = watch.pending_deliveries(subscriptions, log.read(batch_id - 1), newest)
+        log.append(send(pending), batch_id)
+
     run_available(filings, "filing-alerts", step, "append")
-    return spark.read.schema(log.schema).parquet(f"{log.path}/v={step.last}")
+    return latest_state(log.read(), ["subscription_id", "accession"])
 
 
 def resolved_stream(filings: DataFrame, resolve: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
     """Resolved filing per fund and quarter, kept current as filings arrive, however late:
     only the quarters touched by a batch are decided again."""
-    spark = filings.sparkSession
-    known = Table(spark, "known-filings", schema)
-    chosen = Table(spark, "resolved", schema)
+    spark, key = filings.sparkSession, ["cik", "report_date"]
+    known = Log(spark, "known-filings", schema)
+    chosen = Log(spark, "resolved", schema)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        key = ["cik", "report_date"]
-        everything = known.read(batch_id).unionByName(batch)
-        known.write(everything, batch_id)
-        touched = batch.select(*key).distinct()
-        stored = spark.read.schema(schema).parquet(f"{known.path}/v={batch_id}")
-        fresh = resolve(stored.join(touched, key, "left_semi"))
-        kept = chosen.read(batch_id).join(touched, key, "left_anti")
-        chosen.write(kept.unionByName(fresh.select(*kept.columns)), batch_id)
-        step.last = batch_id
-
-    step.last = -1
+        known.append(batch, batch_id)
+        stored = known.read(batch_id)
+        touched = stored.filter(F.col("batch_id") == batch_id).select(*key).distinct()
+        chosen.append(resolve(stored.drop("batch_id").join(touched, key, "left_semi")), batch_id)
+
     run_available(filings, "resolved-filings", step, "append")
-    return spark.read.schema(schema).parquet(f"{chosen.path}/v={step.last}")
+    return latest_state(chosen.read(), key)
 
 
 ALERT_SCHEMA = ("key_id string, watchlist_id string, ticker string, action string, severity int, reason_score double, "
@@ -213,18 +207,15 @@ ALERT_SCHEMA = ("key_id string, watchlist_id string, ticker string, action strin
 
 def alert_stream(candidates: DataFrame) -> DataFrame:
     """Stream of alert candidates to the alert table: first seen kept, the rest refreshed."""
-    spark = candidates.sparkSession
-    alerts = Table(spark, "alerts", ALERT_SCHEMA)
+    alerts = Log(candidates.sparkSession, "alerts", ALERT_SCHEMA)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        merged = watch.upsert_alerts(alerts.read(batch_id), batch)
-        names = [f.name for f in spark.createDataFrame([], ALERT_SCHEMA).schema]
-        alerts.write(merged.select(*names), batch_id)
-        step.last = batch_id
+        stored = latest_state(alerts.read(batch_id - 1), watch.ALERT_KEY)
+        touched = batch.select(*watch.ALERT_KEY).distinct()
+        alerts.append(watch.upsert_alerts(stored.join(touched, watch.ALERT_KEY, "left_semi"), batch), batch_id)
 
-    step.last = -1
     run_available(candidates, "alerts", step, "append")
-    return spark.read.schema(ALERT_SCHEMA).parquet(f"{alerts.path}/v={step.last}")
+    return latest_state(alerts.read(), watch.ALERT_KEY)
 
 
 def snapshot_run(schedule: DataFrame, flow: DataFrame, limit: int, now: Column) -> DataFrame:
