@@ -131,7 +131,7 @@ SQL = {
  FROM lp WHERE l_linenumber NOT IN (1, 3) GROUP BY ALL""",
     "s17_form4_aliases": f"""SELECT ticker, issuer_cik, CASE WHEN {ODD} = 0 THEN 'P' ELSE transaction_code END AS transaction_code,
   CASE WHEN {ODD} = 1 THEN acquired_disposed WHEN {ODD} = 0 OR transaction_code = 'P' THEN 'A' WHEN transaction_code = 'S' THEN 'D' ELSE '' END AS acquired_disposed, is_officer, NOT is_director AS direct,
-  count(*) AS n, round(sum(CASE WHEN {ODD} = 3 THEN round(shares * price_per_share, 2) ELSE shares * price_per_share END), 1) AS value, max(CASE WHEN {ODD} = 2 THEN filing_date ELSE transaction_date END) AS last_filed
+  count(*) AS n, round(sum(round(shares * price_per_share, 2)), 2) AS value, max(CASE WHEN {ODD} = 2 THEN filing_date ELSE transaction_date END) AS last_filed
  FROM trades GROUP BY ALL""",
     "s18_ticker_list": f"SELECT DISTINCT {TK} AS ticker FROM part WHERE p_size % 10 NOT IN (0, 1)",
     "s20_read_signal_history": "SELECT seq, ticker, CAST(w AS BIGINT) AS window_days, score, quadrant FROM hist WHERE k <> 50 AND ticker = 'TB' AND w = 90 ORDER BY seq DESC LIMIT 200",

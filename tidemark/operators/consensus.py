@@ -21,14 +21,15 @@ def restrict_funds(df: DataFrame, ciks: DataFrame | None) -> DataFrame:
 
 
 def consensus_holdings(snapshots: DataFrame, funds: DataFrame, min_funds: int = 3) -> DataFrame:
-    """Securities held long by at least ``min_funds`` funds in a quarter."""
+    """Securities held long by at least ``min_funds`` funds in a quarter. A fund has one
+    resolved filing per quarter and one long row per security, so rows are funds."""
     long = snapshots.filter("put_call = ''").join(funds.select("cik", "label"), "cik")
     return (
         long.groupBy("report_date", "cusip")
         .agg(
             F.max("ticker").alias("ticker"),
             F.max("issuer").alias("issuer"),
-            F.count_distinct("cik").alias("n_funds"),
+            F.count(F.lit(1)).alias("n_funds"),
             F.sum("value_usd").alias("total_value"),
             F.array_sort(F.collect_set("label")).alias("funds"),
         )

@@ -257,27 +257,34 @@ def validate_form4(rows: DataFrame, universe: DataFrame | None = None, start: Co
     ).select("copies", "r.*")
     buy = (F.col("code") == "P") & (F.col("side") == "A")
     sell = (F.col("code") == "S") & (F.col("side") == "D")
-    totals = keys.agg(
-        F.count(F.lit(1)).alias("rows_valid"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"),
-        F.count_distinct("t").alias("tickers_observed"),
-        F.count_if(buy).alias("open_market_buy_rows"),
-        F.count_distinct(F.when(buy, F.col("t"))).alias("open_market_buy_tickers"),
-        F.count_if(sell).alias("open_market_sell_rows"),
-        F.count_distinct(F.when(sell, F.col("t"))).alias("open_market_sell_tickers"),
-        F.min("traded").alias("earliest_transaction_date"),
-        F.max("traded").alias("latest_transaction_date"),
-        k,
+    # Per ticker first: counts of tickers and of tickers with several issuers need no
+    # distinct over the rows.
+    per_ticker = keys.groupBy("t").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("copies") - 1).alias("extra"),
+        F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"),
+        F.min("traded").alias("first"), F.max("traded").alias("last"),
+        (F.min("cik") != F.max("cik")).alias("mixed"), (F.min("name") != F.max("name")).alias("renamed"),
     )
-    issuers = keys.groupBy("t").agg(F.count_distinct("cik").alias("ciks"), F.count_distinct("name").alias("names")).agg(
-        F.count_if(F.col("ciks") > 1).alias("mixed_issuer_tickers"),
-        F.count_if((F.col("ciks") == 1) & (F.col("names") > 1)).alias("issuer_name_variants"), k,
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    totals = per_ticker.agg(
+        total("n").alias("rows_valid"),
+        total("extra").alias("duplicate_rows"),
+        F.count(F.lit(1)).alias("tickers_observed"),
+        total("buys").alias("open_market_buy_rows"),
+        F.count_if(F.col("buys") > 0).alias("open_market_buy_tickers"),
+        total("sells").alias("open_market_sell_rows"),
+        F.count_if(F.col("sells") > 0).alias("open_market_sell_tickers"),
+        F.min("first").alias("earliest_transaction_date"),
+        F.max("last").alias("latest_transaction_date"),
+        F.count_if("mixed").alias("mixed_issuer_tickers"),
+        F.count_if(~F.col("mixed") & F.col("renamed")).alias("issuer_name_variants"),
+        k,
     )
-    out = base.join(totals, "_k").join(issuers, "_k")
+    out = base.join(totals, "_k")
     if universe is None:
         out = out.withColumns({"ticker_universe_count": F.col("tickers_observed"), "tickers_empty": F.lit(0).cast("long")})
     else:
-        seen = keys.select(F.col("t").alias("ticker")).distinct().withColumn("_s", F.lit(1))
+        seen = per_ticker.select(F.col("t").alias("ticker"), F.lit(1).alias("_s"))
         wanted = universe.select("ticker").distinct().join(seen, "ticker", "left").agg(
             F.count(F.lit(1)).alias("ticker_universe_count"), F.count_if(F.col("_s").isNull()).alias("tickers_empty"), k)
         out = out.join(wanted, "_k")

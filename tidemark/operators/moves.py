@@ -128,15 +128,24 @@ def move_counts(moves: DataFrame, *keys: str) -> DataFrame:
 
 
 def ticker_summary(moves: DataFrame, *keys: str) -> DataFrame:
-    """Holders, buyers, sellers, openings, exits and value of long positions per key."""
-    is_ = lambda *kinds: F.col("move").isin(*kinds)
-    return moves.filter("put_call = ''").groupBy(*keys).agg(
-        F.count_distinct(F.when(~is_("EXIT"), F.col("cik"))).alias("holder_count"),
-        F.count_distinct(F.when(is_("NEW", "ADD"), F.col("cik"))).alias("buyers_count"),
-        F.count_distinct(F.when(is_("EXIT", "TRIM"), F.col("cik"))).alias("sellers_count"),
-        F.count_distinct(F.when(is_("NEW"), F.col("cik"))).alias("new_positions"),
-        F.count_distinct(F.when(is_("EXIT"), F.col("cik"))).alias("exits"),
-        F.sum("curr_value").alias("total_value_usd"),
+    """Holders, buyers, sellers, openings, exits and value of long positions per key.
+
+    Several distinct counts at once would copy every row once per count, so positions are
+    first folded to one row per (key, fund) and the flags of the funds are counted.
+    """
+    did = lambda *kinds: F.max(F.col("move").isin(*kinds))
+    per_fund = moves.filter("put_call = ''").groupBy(*keys, "cik").agg(
+        did("NEW", "ADD", "HOLD", "TRIM").alias("holds"), did("NEW", "ADD").alias("bought"),
+        did("EXIT", "TRIM").alias("sold"), did("NEW").alias("opened"), did("EXIT").alias("exited"),
+        F.sum("curr_value").alias("value"),
+    )
+    return per_fund.groupBy(*keys).agg(
+        F.count_if("holds").alias("holder_count"),
+        F.count_if("bought").alias("buyers_count"),
+        F.count_if("sold").alias("sellers_count"),
+        F.count_if("opened").alias("new_positions"),
+        F.count_if("exited").alias("exits"),
+        F.sum("value").alias("total_value_usd"),
     )
 
 

@@ -93,6 +93,29 @@ def a15_price_row_problems(spark, sf):
     return bad.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
+def l10_report_samples(spark, sf):
+    """The report's samples: the first 50 bad rows and the first 50 gaps, in a fixed order."""
+    t = Tables(spark, sf)
+    bad = pricing.price_row_problems(_raw_prices(t)).filter(F.size("problems") > 0).select(
+        F.lit("invalid_row").alias("sample"), F.col("t").alias("ticker"), F.col("date"), F.array_join("problems", ";").alias("detail"))
+    d = F.lit("2021-01-04").cast("date")
+    gaps = pricing.price_history(t.prices().select("ticker", "date"), t.fundamentals(), d, d).filter("max_gap_days > 3").select(
+        F.lit("major_gap").alias("sample"), "ticker", F.col("gap_from").cast("string").alias("date"), F.col("max_gap_days").cast("string").alias("detail"))
+    first = lambda df: df.orderBy("ticker", "date", "detail").limit(50)
+    return first(bad).unionByName(first(gaps))
+
+
+def u1_price_provider(spark, sf):
+    """Any (ticker, date, adj_close) table serves as the price source: here order totals."""
+    t = Tables(spark, sf)
+    from tidemark.plans.driver_tables import day, ticker_of
+    o = t.read("orders")
+    own = o.groupBy(ticker_of((F.col("o_custkey") % 25 + 1).cast("string")).alias("ticker"), day("o_orderdate").alias("date")).agg(
+        F.max("o_totalprice").alias("adj_close"))
+    points = t.snapshots(weights=False).filter("ticker is not null").select("ticker", F.col("report_date").alias("as_of")).distinct()
+    return pricing.close_on_or_before(points, own, 7).select("ticker", "as_of", "price_date", "price")
+
+
 def a16_history_coverage(spark, sf):
     t = Tables(spark, sf)
     start, end = F.lit("2021-01-04").cast("date"), F.lit("2027-10-30").cast("date")
@@ -132,6 +155,6 @@ def w15_dedupe_last_wins(spark, sf):
 QUERIES = {f.__name__: f for f in (
     j4_price_asof, j4_latest_close, j10_forward_returns, j17_fundamentals_join,
     v1_portfolio_valuation, v1_valuation_totals, f24_valuation_status, l1_top_by_current_value,
-    a15_price_validation, a15_price_row_problems, a16_history_coverage, w9_largest_gap,
+    a15_price_validation, a15_price_row_problems, l10_report_samples, u1_price_provider, a16_history_coverage, w9_largest_gap,
     k6_merge_prices, k6_merge_prices_forced, w15_dedupe_last_wins,
 )}

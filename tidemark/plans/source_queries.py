@@ -306,7 +306,7 @@ def s17_form4_aliases(spark, sf):
         F.when(F.col("is_director"), "indirect").otherwise("").alias("ownership_nature"))
     out = tables.parse_form4_rows(rows)
     return out.groupBy("ticker", "issuer_cik", "transaction_code", "acquired_disposed", "is_officer", "direct").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("shares") * F.col("price_per_share")), 1).alias("value"),
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round(F.col("shares") * F.col("price_per_share"), 2)), 2).alias("value"),
         F.max("filing_date").alias("last_filed"))
 
 

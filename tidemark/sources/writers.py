@@ -19,10 +19,10 @@ def replace_filings(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def write_holdings(holdings: DataFrame, path: str) -> None:
-    """Write holdings by quarter; only the quarters present in the data are replaced."""
+    """Write holdings by quarter; only the quarters present in the data are replaced. The
+    rebalance lets AQE cut a large quarter into files of the advisory size."""
     (
-        holdings.repartition("report_date", F.pmod(F.xxhash64("accession"), F.lit(64)))
-        .sortWithinPartitions("cik", "cusip")
+        holdings.hint("rebalance", "report_date")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("report_date").parquet(path)
     )
