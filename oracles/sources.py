@@ -47,7 +47,7 @@ EXTRA = {
     "f4good": "SELECT t, cik, name, code, side, td, accession, owner_cik, sh, px, count(*) AS copies FROM f4prob WHERE len(problems) = 0 GROUP BY ALL",
     "sec": f"""SELECT no, p_type, min(p_name) AS p_name, 'BR' || lpad(CAST(no AS VARCHAR), 4, '0') || CASE p_type WHEN 'ECONOMY' THEN '100' WHEN 'LARGE' THEN '200' WHEN 'MEDIUM' THEN '300' WHEN 'PROMO' THEN '400' WHEN 'SMALL' THEN '500' ELSE '600' END AS cusip,
   {tick('CAST(no AS VARCHAR)')} AS tk FROM (SELECT *, CAST({BNO} AS INT) AS no FROM part) GROUP BY no, p_type""",
-    "nidx2": f"SELECT norm, arg_min(ticker, file_order) AS ticker, arg_min(title, file_order) AS title FROM nidx WHERE file_order % 7 < 4 AND length(norm) >= 3 GROUP BY norm",
+    "nidx2": f"SELECT norm, arg_min(ticker, file_order) AS ticker, arg_min(title, file_order) AS title FROM nidx WHERE title NOT LIKE 'red %' AND title NOT LIKE 'old %' AND length(norm) >= 3 GROUP BY norm",
     "cache": """SELECT cusip, CASE WHEN p_type <> 'LARGE' THEN tk END AS ticker, upper(p_name) AS name, CASE p_type WHEN 'LARGE' THEN 0.0::DOUBLE WHEN 'SMALL' THEN 0.4::DOUBLE ELSE 0.95::DOUBLE END AS confidence,
   no * 3 AS age FROM sec WHERE no % 5 = 0""",
     "items": "SELECT cusip, p_name || ' Corp' AS issuer, no, p_type, p_name, tk FROM sec",
@@ -135,7 +135,7 @@ SQL = {
  FROM trades GROUP BY ALL""",
     "s18_ticker_list": f"SELECT DISTINCT {TK} AS ticker FROM part WHERE p_size % 10 NOT IN (0, 1)",
     "s20_read_signal_history": "SELECT seq, ticker, CAST(w AS BIGINT) AS window_days, score, quadrant FROM hist WHERE k <> 50 AND ticker = 'TB' AND w = 90 ORDER BY seq DESC LIMIT 200",
-    "s21_fund_registry": f"SELECT g.cik, g.label, g.manager, count(*) AS filings FROM resolved r JOIN {_registry()} ON CAST(r.cik AS BIGINT) % 46 = g.i WHERE CAST(r.cik AS BIGINT) < 60 GROUP BY ALL",
+    "s21_fund_registry": f"SELECT g.cik, g.label, g.manager, count(*) AS filings FROM resolved r JOIN {_registry()} ON CAST(r.cik AS BIGINT) % 46 = g.i GROUP BY ALL",
     "k10_signal_history": """SELECT strftime(tm, '%Y-%m-%d %H:%M:%S') AS recorded_at, CAST(w AS BIGINT) AS window_days, ticker, round(score, 1) AS score, quadrant,
   sha256('{"quadrant":"' || quadrant || '","score":"' || CAST(round(score, 1) AS VARCHAR) || '","ticker":"' || lower(ticker) || '","version":"confluence_v1","window_days":"' || w || '"}') AS revision_hash FROM hist""",
     "f1_normalize_name": f"SELECT file_order, {norm(chr(39) + 'The ' + chr(39) + ' || title || ' + chr(39) + ' & Co. Class A' + chr(39))} AS norm FROM co",

@@ -345,11 +345,11 @@ def s20_read_signal_history(spark, sf):
 
 
 def s21_fund_registry(spark, sf):
-    """Filings of suppliers that carry a tracked fund's cik, per tracked label."""
+    """Filings per tracked fund, the suppliers standing in for the tracked ciks in turn."""
     t = Tables(spark, sf)
     fund = F.col("cik").cast("long") % len(registry.TRACKED_FUNDS)
     ciks = F.array(*[F.lit(c.zfill(10)) for _, _, c in registry.TRACKED_FUNDS])
-    renamed = t.chain().withColumn("cik", F.when(F.col("cik").cast("long") < 60, F.element_at(ciks, (fund + 1).cast("int"))).otherwise(F.col("cik")))
+    renamed = t.chain().withColumn("cik", F.element_at(ciks, (fund + 1).cast("int")))
     return renamed.join(F.broadcast(registry.tracked_funds(spark)), "cik").groupBy("cik", "label", "manager").agg(
         F.count(F.lit(1)).alias("filings"))
 
@@ -528,7 +528,7 @@ def _chain_inputs(t: Tables):
     overrides = securities.filter("p_type = 'PROMO' and no % 4 = 1").select("cusip", F.concat(F.lit("M"), tick).alias("ticker"), F.col("p_name").alias("name"))
     mapping = securities.filter("p_type = 'STANDARD'").select(
         "cusip", F.when(F.col("no") % 3 != 0, tick).alias("ticker"), F.concat("p_name", F.lit(" Inc")).alias("name"), F.lit("BBG").alias("figi"))
-    names = resolve.name_index(_companies(t).filter("file_order % 7 < 4"))
+    names = resolve.name_index(_companies(t).filter("title not like 'red %' and title not like 'old %'"))
     return items, cache, overrides, mapping, names, now
 
 
