@@ -1,11 +1,14 @@
 """The operators' registered queries and, where SQL can express them, their checking SQL."""
 
-from tidemark.llm import packing, simhash, token_files
+from tidemark.llm import packing, simhash, token_files, warc
 
 QUERIES = {
+    "op1_captures": warc.op1_captures,
     "op2_packed_pieces": packing.op2_packed_pieces,
     "op4_token_files": token_files.op4_token_files,
     "op5_near_duplicates": simhash.op5_near_duplicates,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_captures": warc.OP1_SQL,
+}
