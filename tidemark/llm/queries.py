@@ -1,6 +1,6 @@
 """The operators' registered queries and, where SQL can express them, their checking SQL."""
 
-from tidemark.llm import host_rules, packing, simhash, token_files, warc
+from tidemark.llm import host_rules, packing, secret_scan, simhash, token_files, warc
 
 QUERIES = {
     "op1_captures": warc.op1_captures,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_token_files": token_files.op4_token_files,
     "op5_near_duplicates": simhash.op5_near_duplicates,
     "op8_host_rules": host_rules.op8_host_rules,
+    "op9_secret_spans": secret_scan.op9_secret_spans,
 }
 
 SQL: dict[str, str] = {
