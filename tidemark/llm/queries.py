@@ -1,12 +1,13 @@
 """The operators' registered queries and, where SQL can express them, their checking SQL."""
 
-from tidemark.llm import host_rules, packing, secret_scan, simhash, token_files, warc
+from tidemark.llm import decontaminate, host_rules, packing, secret_scan, simhash, token_files, warc
 
 QUERIES = {
     "op1_captures": warc.op1_captures,
     "op2_packed_pieces": packing.op2_packed_pieces,
     "op4_token_files": token_files.op4_token_files,
     "op5_near_duplicates": simhash.op5_near_duplicates,
+    "op7_contaminated": decontaminate.op7_contaminated,
     "op8_host_rules": host_rules.op8_host_rules,
     "op9_secret_spans": secret_scan.op9_secret_spans,
 }
