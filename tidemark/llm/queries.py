@@ -1,6 +1,6 @@
 """The operators' registered queries and, where SQL can express them, their checking SQL."""
 
-from tidemark.llm import decontaminate, host_rules, packing, secret_scan, simhash, token_files, warc
+from tidemark.llm import decontaminate, host_rules, packing, pitman_yor, secret_scan, simhash, token_files, warc
 
 QUERIES = {
     "op1_captures": warc.op1_captures,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_contaminated": decontaminate.op7_contaminated,
     "op8_host_rules": host_rules.op8_host_rules,
     "op9_secret_spans": secret_scan.op9_secret_spans,
+    "op10_pitman_yor": pitman_yor.op10_pitman_yor,
 }
 
 SQL: dict[str, str] = {
