@@ -1,10 +1,11 @@
 """The operators' registered queries and, where SQL can express them, their checking SQL."""
 
-from tidemark.llm import decontaminate, host_rules, packing, pitman_yor, secret_scan, simhash, token_files, warc
+from tidemark.llm import decontaminate, host_rules, packing, pitman_yor, secret_scan, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_captures": warc.op1_captures,
     "op2_packed_pieces": packing.op2_packed_pieces,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_files": token_files.op4_token_files,
     "op5_near_duplicates": simhash.op5_near_duplicates,
     "op7_contaminated": decontaminate.op7_contaminated,
