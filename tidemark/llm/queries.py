@@ -1,6 +1,6 @@
 """The operators' registered queries and, where SQL can express them, their checking SQL."""
 
-from tidemark.llm import decontaminate, host_rules, packing, pitman_yor, secret_scan, simhash, token_files, toxicity, warc
+from tidemark.llm import decontaminate, host_rules, language, packing, pitman_yor, secret_scan, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_captures": warc.op1_captures,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_files": token_files.op4_token_files,
     "op5_near_duplicates": simhash.op5_near_duplicates,
+    "op6_language": language.op6_language,
     "op7_contaminated": decontaminate.op7_contaminated,
     "op8_host_rules": host_rules.op8_host_rules,
     "op9_secret_spans": secret_scan.op9_secret_spans,
