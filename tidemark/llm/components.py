@@ -9,7 +9,7 @@ from tidemark.session import materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node with a link to another; root is the smallest node reachable.
+    """(node, root) for every node that reaches a smaller one; root is the smallest node reachable.
 
     Alternates two steps until nothing changes: every neighbour above a node is linked to the node's
     smallest neighbour, then every neighbour below it is. The links of a component shrink to a star
