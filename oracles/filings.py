@@ -43,8 +43,7 @@ SQL = {
  FROM resolved GROUP BY cik""",
     "p7_preferred_filings": """SELECT cik, report_date, accession, form, quarter_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY cik ORDER BY report_date DESC) AS quarter_rank FROM (
-   SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY cik, report_date ORDER BY (form LIKE '%/A'), filing_date DESC, accession DESC) = 1))
- WHERE quarter_rank <= 8""",
+   SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY cik, report_date ORDER BY (form LIKE '%/A'), filing_date DESC, accession DESC) = 1))""",
     "p8_latest_originals": """SELECT cik, accession, filing_date, filing_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession DESC) AS filing_rank FROM filings WHERE form = '13F-HR') WHERE filing_rank <= 2""",
     "j1_snapshot_join": """SELECT cik, label, report_date, cusip, put_call, round(value_usd, 2) AS value_usd, shares, round(weight, 6) AS weight FROM snap JOIN funds USING (cik)""",

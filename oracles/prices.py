@@ -71,9 +71,9 @@ SQL = {
  UNION ALL SELECT 'invalid_date', count(*) FROM rawpx WHERE d IS NULL HAVING count(*) > 0 UNION ALL SELECT 'invalid_adj_close', count(*) FROM rawpx WHERE px IS NULL HAVING count(*) > 0""",
     "l10_report_samples": f""", bad AS (SELECT {tick(BNO)} AS tk, l_linenumber AS n, l_quantity AS q, CAST(CAST(l_shipdate + INTERVAL 26 YEAR AS DATE) AS VARCHAR) AS d FROM lineitem JOIN part ON p_partkey = l_partkey
    WHERE (l_linenumber = 7 AND l_quantity = 50) OR (l_linenumber = 6 AND l_quantity = 49) OR (l_linenumber = 5 AND l_quantity = 48))
- SELECT * FROM (SELECT 'invalid_row' AS sample, CASE WHEN n = 7 THEN '' ELSE tk END AS ticker, CASE WHEN n = 6 THEN 'soon' ELSE d END AS date, CASE n WHEN 7 THEN 'missing_ticker' WHEN 6 THEN 'invalid_date' ELSE 'invalid_adj_close' END AS detail
-  FROM bad ORDER BY ticker, date, detail LIMIT 50)
- UNION ALL SELECT * FROM (SELECT 'major_gap', ticker, CAST(prev AS VARCHAR), CAST(date - prev AS VARCHAR) FROM (SELECT * FROM pgaps WHERE prev IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date - prev DESC, prev) = 1) WHERE date - prev > 3 ORDER BY ticker LIMIT 50)""",
+ SELECT 'invalid_row' AS sample, CASE WHEN n = 7 THEN '' ELSE tk END AS ticker, CASE WHEN n = 6 THEN 'soon' ELSE d END AS date, CASE n WHEN 7 THEN 'missing_ticker' WHEN 6 THEN 'invalid_date' ELSE 'invalid_adj_close' END AS detail
+  FROM bad
+ UNION ALL SELECT 'major_gap', ticker, CAST(prev AS VARCHAR), CAST(date - prev AS VARCHAR) FROM (SELECT * FROM pgaps WHERE prev IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date - prev DESC, prev) = 1) WHERE date - prev > 3""",
     "u1_price_provider": f"""SELECT s.ticker, s.as_of, o.date AS price_date, o.px AS price FROM (SELECT DISTINCT ticker, report_date AS as_of FROM snap WHERE ticker IS NOT NULL) s
  ASOF JOIN (SELECT {tick("CAST(o_custkey % 25 + 1 AS VARCHAR)")} AS ticker, CAST(o_orderdate + INTERVAL 26 YEAR AS DATE) AS date, max(o_totalprice) AS px FROM orders GROUP BY ALL) o ON o.ticker = s.ticker AND o.date <= s.as_of
  WHERE o.date >= s.as_of - 7""",

@@ -65,7 +65,7 @@ SQL = {
     "f20_severity_and_worst_status": """SELECT cik, CAST(rk AS BIGINT) AS status_rank, CASE WHEN max(ratio) >= 1000 THEN 'critical' WHEN max(ratio) >= 250 THEN 'high' ELSE 'review' END AS severity
  FROM gate JOIN jumps USING (cik) GROUP BY cik, rk""",
     "l5_findings_in_order": """SELECT cik, event_quarter, temporal_scope, round(size, 6) AS size FROM found WHERE kind = 'aum_jump'
- ORDER BY temporal_scope <> 'current_quarter', round(size, 6) DESC, cik, event_quarter LIMIT 100""",
+ ORDER BY temporal_scope <> 'current_quarter', round(size, 6) DESC, cik, event_quarter""",
     "v2_quality_summary": """SELECT *, CASE WHEN review_items > 0 THEN 'review' ELSE 'ok' END AS status,
   CASE WHEN current_review_items > 0 THEN 'review' ELSE 'ok' END AS current_status,
   review_items - current_review_items - historical_review_items AS outside_current_quarter_review_items FROM (

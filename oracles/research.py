@@ -88,7 +88,8 @@ SQL = {
  UNION ALL SELECT 'forward_return_20d', 'missing_value', count(*) FROM rowx WHERE forward_return_20d IS NULL HAVING count(*) > 0
  UNION ALL SELECT 'forward_return_60d', 'missing_value', count(*) FROM rowx WHERE forward_return_60d IS NULL HAVING count(*) > 0
  UNION ALL SELECT 'forward_return_120d', 'missing_value', count(*) FROM rowx WHERE forward_return_120d IS NULL HAVING count(*) > 0""",
-    "a31_content_hash": "SELECT count(*) AS rows, true AS same FROM lineitem",
+    "a31_content_hash": """SELECT count(*) AS rows, coalesce(bit_xor(h), 0) AS xor_hash, CAST(coalesce(sum(h % 1000003), 0) AS BIGINT) AS sum_hash
+ FROM (SELECT CAST('0x' || substr(md5(concat_ws('|', l_linenumber, l_linestatus, l_orderkey, l_partkey, l_returnflag, l_suppkey)), 1, 13) AS BIGINT) AS h FROM lineitem)""",
     "a32_evidence_review": f"""SELECT CASE WHEN b <> '' THEN 'blocked' WHEN w <> '' THEN 'smoke_passed_needs_larger_sample' ELSE 'mechanical_evidence_ready_for_review' END AS status, b AS blockers, w AS warnings FROM (
  SELECT concat_ws(';', CASE WHEN {ERR} > 0 THEN 'minimum_schema_not_valid' END, CASE WHEN rows_with_form4_accessions = 0 THEN 'no_visible_form4_accessions' END,
   CASE WHEN rows_with_open_market_buyers = 0 THEN 'no_open_market_form4_buyers' END, CASE WHEN forward_return_20d_coverage < 1 THEN 'incomplete_forward_return_20d' END,

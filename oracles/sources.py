@@ -134,7 +134,7 @@ SQL = {
   count(*) AS n, round(sum(round(shares * price_per_share, 2)), 2) AS value, max(CASE WHEN {ODD} = 2 THEN filing_date ELSE transaction_date END) AS last_filed
  FROM trades GROUP BY ALL""",
     "s18_ticker_list": f"SELECT DISTINCT {TK} AS ticker FROM part WHERE p_size % 10 NOT IN (0, 1)",
-    "s20_read_signal_history": "SELECT seq, ticker, CAST(w AS BIGINT) AS window_days, score, quadrant FROM hist WHERE k <> 50 AND ticker = 'TB' AND w = 90 ORDER BY seq DESC LIMIT 200",
+    "s20_read_signal_history": "SELECT seq, ticker, CAST(w AS BIGINT) AS window_days, score, quadrant FROM hist WHERE k <> 50 AND ticker = 'TB' AND w = 90 ORDER BY seq DESC",
     "s21_fund_registry": f"SELECT g.cik, g.label, g.manager, count(*) AS filings FROM resolved r JOIN {_registry()} ON CAST(r.cik AS BIGINT) % 46 = g.i GROUP BY ALL",
     "k10_signal_history": """SELECT strftime(tm, '%Y-%m-%d %H:%M:%S') AS recorded_at, CAST(w AS BIGINT) AS window_days, ticker, round(score, 1) AS score, quadrant,
   sha256('{"quadrant":"' || quadrant || '","score":"' || CAST(round(score, 1) AS VARCHAR) || '","ticker":"' || lower(ticker) || '","version":"confluence_v1","window_days":"' || w || '"}') AS revision_hash FROM hist""",

@@ -68,7 +68,7 @@ SQL = {
     "v7_ticker_flow": f"SELECT report_date, {FLOWC} FROM flow",
     "v8_watchlist_preview": f"""SELECT w.ticker, coalesce(holder_count, 0) AS holder_count, coalesce(buyers_count, 0) AS buyers_count, coalesce(sellers_count, 0) AS sellers_count, coalesce(new_positions, 0) AS new_positions, coalesce(exits, 0) AS exits,
   round(coalesce(total_value_usd, 0), 2) AS total_value_usd, coalesce(score, 0) AS score, coalesce(action, 'blocked') AS action, coalesce(triggers, '') AS triggers, coalesce(codes, '') AS codes
- FROM (SELECT * FROM (SELECT ticker FROM wl GROUP BY ticker ORDER BY count(*) DESC, ticker LIMIT 24) UNION ALL SELECT 'NONE') w LEFT JOIN nflow f ON f.ticker = w.ticker""",
+ FROM (SELECT DISTINCT ticker FROM wl UNION ALL SELECT 'NONE') w LEFT JOIN nflow f ON f.ticker = w.ticker""",
     "v9_discover": f"SELECT ticker, action, score, buyers_count, new_positions FROM nflow ORDER BY {RANK}, score DESC, buyers_count DESC, new_positions DESC, ticker LIMIT 10",
     "p16_discover_filters": f"""SELECT ticker, action, score, buyers_count, new_positions FROM nflow WHERE action IN ('alert', 'watch') AND list_contains(code_list, 'NEW') AND score >= 20 AND holder_count >= 1 AND buyers_count >= 1 AND total_value_usd < 1e8
  ORDER BY {RANK}, score DESC, buyers_count DESC, new_positions DESC, ticker LIMIT 50""",
@@ -116,7 +116,7 @@ SQL = {
     "a24_closeout_verdict": """SELECT *, CASE WHEN keys = 0 OR server_errors > 0 OR ok = 0 THEN 'hold' WHEN lifecycle_actions > 0 THEN 'continue' WHEN requests >= 10 AND (watchlists > 0 OR snapshots > 0) THEN 'expand_candidate' ELSE 'continue' END AS verdict FROM (
  SELECT count(*) AS keys, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(okc) AS BIGINT) AS ok, CAST(sum(server_errors) AS BIGINT) AS server_errors, CAST(sum(rate_limited) AS BIGINT) AS rate_limited, CAST(sum(watchlists) AS BIGINT) AS watchlists,
   CAST(sum(snapshots) AS BIGINT) AS snapshots, CAST(sum(alerts) AS BIGINT) AS alerts, CAST(sum(open_alerts) AS BIGINT) AS open_alerts, count(*) FILTER (revoked OR expired OR rotation_due) AS lifecycle_actions
- FROM (SELECT * FROM close ORDER BY coalesce(last_used_at, created_at) DESC, created_at DESC, key_id LIMIT 10))""",
+ FROM close)""",
     "a33_audit_freshness": f"SELECT count(*) AS rows, {T.format('max(tm)')} AS last_at, CASE WHEN max(tm) < TIMESTAMP '2024-02-01 00:00:00' THEN 'warn' ELSE 'pass' END AS status FROM ev",
     "st6_audit_retention": f"SELECT count(*) AS before, count(*) FILTER (tm >= {NOW} - to_days(10)) AS after, count(*) FILTER (tm < {NOW} - to_days(10)) AS deleted FROM ev",
     "a34_watchlists_per_key": "SELECT key_id, count(*) AS watchlists, count(*) >= 10 AS at_limit FROM watchlists GROUP BY 1",
@@ -126,7 +126,7 @@ SQL = {
  LEFT JOIN (SELECT key_id, count(*) AS n, max(created_at) AS m FROM wsnaps GROUP BY 1) s USING (key_id)
  LEFT JOIN (SELECT key_id, count(*) AS n, count(*) FILTER (status = 'open') AS o, count(*) FILTER (status = 'acknowledged') AS k, count(*) FILTER (status = 'dismissed') AS d FROM walerts GROUP BY 1) a USING (key_id)""",
     "j13_watchlist_schedule": f"SELECT watchlist_id, key_label, {T.format('latest_snapshot_at')} AS latest_snapshot_at, due FROM sched",
-    "st10_due_watchlists": "SELECT watchlist_id, frequency FROM sched WHERE due ORDER BY latest_snapshot_at NULLS FIRST, updated_at DESC, watchlist_id LIMIT 25",
+    "st10_due_watchlists": "SELECT watchlist_id, frequency FROM sched WHERE due ORDER BY latest_snapshot_at NULLS FIRST, updated_at DESC, watchlist_id",
     "a25_automation_demand": f"""SELECT count(*) FILTER (enabled) AS scheduled_watchlists, count(*) FILTER (enabled AND frequency = 'daily') AS daily, count(*) FILTER (enabled AND frequency = 'weekly') AS weekly,
   count(*) FILTER (enabled AND frequency = 'manual') AS invalid_policy, count(*) FILTER (due) AS due_count, {T.format('max(latest_snapshot_at) FILTER (valid)')} AS latest_snapshot_at FROM sched""",
     "l7_alerts_by_severity": """SELECT key_id, alert_id, ticker, severity, row_number() OVER w AS alert_rank FROM walerts WHERE status = 'open' WINDOW w AS (PARTITION BY key_id ORDER BY severity DESC, last_seen_at DESC, ticker, alert_id) QUALIFY row_number() OVER w <= 3""",
@@ -152,7 +152,7 @@ SQL = {
     "st8_alert_upserts": """SELECT ticker, action, 'open' AS status, CAST(max(report_date) AS VARCHAR) AS snapshot_id, min(report_date) AS first_seen, max(report_date) AS last_seen, CAST(CASE action WHEN 'alert' THEN 3 ELSE 2 END AS BIGINT) AS severity
  FROM flow WHERE action IN ('alert', 'watch') GROUP BY ALL""",
     "st11_snapshot_run": """SELECT d.watchlist_id, d.key_id, count(*) FILTER (action = 'alert') AS alerts, count(*) FILTER (action = 'watch') AS watch, count(*) FILTER (action = 'monitor') AS monitor, count(*) FILTER (action = 'blocked') AS blocked
- FROM (SELECT * FROM sched WHERE due ORDER BY latest_snapshot_at NULLS FIRST, updated_at DESC, watchlist_id LIMIT 25) d LEFT JOIN wsig s ON s.watchlist_id = d.watchlist_id GROUP BY ALL""",
+ FROM (SELECT * FROM sched WHERE due ORDER BY latest_snapshot_at NULLS FIRST, updated_at DESC, watchlist_id) d LEFT JOIN wsig s ON s.watchlist_id = d.watchlist_id GROUP BY ALL""",
 }
 SQL["a19_route_rollup"] = f"SELECT * EXCLUDE (m) FROM ({SQL['a19_route_rollup']})"
 

@@ -151,7 +151,7 @@ def severity(ratio: Column) -> Column:
 
 def client_family(c: Column | str, probe_pattern: str | None = None, probe_family: str = "Own probes") -> Column:
     """Family of a self-declared agent name."""
-    name = F.lower(F.substring(F.coalesce(col(c), F.lit("")), 1, 200))
+    name = F.lower(F.coalesce(col(c), F.lit("")))
     rules = ([(probe_pattern, probe_family)] if probe_pattern else []) + CLIENT_FAMILIES
     out = None
     for pattern, family in rules:

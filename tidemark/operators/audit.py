@@ -91,7 +91,7 @@ def health_report(audit: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
 def closeout_keys(audit: DataFrame, keys: DataFrame, watchlists: DataFrame, snapshots: DataFrame,
                   alerts: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """Per key: requests, workspace use and lifecycle over the trailing window."""
-    since = now - F.expr(f"INTERVAL {max(1, min(30, int(days)))} DAYS")
+    since = now - F.expr(f"INTERVAL {int(days)} DAYS")
     recent = F.coalesce(F.col("created_at") >= since, F.lit(False)) | F.coalesce(F.col("last_used_at") >= since, F.lit(False))
     chosen = key_lifecycle(keys.filter(recent & ~F.col("scopes").contains("admin:read")), now)
     used = status_rollup(audit.filter(F.col("at") >= since), "key_id").withColumnRenamed("total", "requests")
@@ -110,10 +110,10 @@ def closeout_keys(audit: DataFrame, keys: DataFrame, watchlists: DataFrame, snap
         "errors", F.col("unauthorized") + F.col("forbidden") + F.col("rate_limited") + F.col("server_errors"))
 
 
-def closeout_verdict(per_key: DataFrame, key_limit: int = 10) -> DataFrame:
-    """Totals over the ``key_limit`` keys used last, and the verdict."""
-    top = per_key.orderBy(F.coalesce("last_used_at", "created_at").desc(), F.col("created_at").desc(), "key_id").limit(
-        max(1, min(25, int(key_limit))))
+def closeout_verdict(per_key: DataFrame, key_limit: int | None = None) -> DataFrame:
+    """Totals over all keys, or the ``key_limit`` used last, and the verdict."""
+    top = per_key if key_limit is None else per_key.orderBy(
+        F.coalesce("last_used_at", "created_at").desc(), F.col("created_at").desc(), "key_id").limit(key_limit)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     t = top.agg(
         F.count(F.lit(1)).alias("keys"), *[total(c) for c in (
@@ -127,7 +127,7 @@ def closeout_verdict(per_key: DataFrame, key_limit: int = 10) -> DataFrame:
 
 def audit_freshness(audit: DataFrame, now: Column, hours: int = 24, required: bool = False) -> DataFrame:
     """Row count, last event and pass / warn / fail against a cutoff."""
-    cutoff = now - F.expr(f"INTERVAL {max(1, int(hours))} HOURS")
+    cutoff = now - F.expr(f"INTERVAL {int(hours)} HOURS")
     return audit.agg(F.count(F.lit(1)).alias("rows"), F.max("at").alias("last_at")).withColumn(
         "status", F.when(F.col("rows") == 0, "fail" if required else "warn").when(F.col("last_at") < cutoff, "warn").otherwise("pass"))
 

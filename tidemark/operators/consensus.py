@@ -117,10 +117,12 @@ def unresolved_tail(snapshots: DataFrame) -> DataFrame:
 
 
 def compare_funds(snapshots: DataFrame, ciks: DataFrame, max_funds: int = 12) -> DataFrame:
-    """Overlap of up to ``max_funds`` chosen funds: shared securities, Jaccard index and
-    common weight. Each security is folded to one map of the few chosen holders, so
+    """Overlap of a few chosen funds: shared securities, Jaccard index and common weight.
+    More than ``max_funds`` of them fail the job, as pairs are made within a security. Each security is folded to one map of the few chosen holders, so
     a pair of funds meets once per shared security at most."""
-    chosen = ciks.select("cik").distinct().orderBy("cik").limit(max_funds)
+    few = ciks.select("cik").distinct().groupBy().agg(F.collect_set("cik").alias("c"))
+    checked = F.when(F.size("c") > max_funds, F.raise_error(F.lit(f"more than {max_funds} funds to compare"))).otherwise(F.col("c"))
+    chosen = few.select(F.explode(checked).alias("cik"))
     held = snapshots.filter("put_call = ''").join(F.broadcast(chosen), "cik", "left_semi")
     sizes = held.groupBy("cik").agg(F.count(F.lit(1)).alias("n"))
     per_security = held.groupBy("cusip").agg(

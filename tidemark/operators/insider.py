@@ -98,9 +98,9 @@ def visible_at(folded: DataFrame, points: DataFrame, window_days: int = FORM4_WI
 def owner_activity(visible: DataFrame, window_days: int = FORM4_WINDOW_DAYS,
                    p: FeatureParams = DEFAULT_FEATURES, keys: tuple[str, ...] = ("ticker", "as_of")) -> DataFrame:
     """One row per (keys, owner): what the owner bought and sold."""
-    age = F.coalesce(
-        F.greatest(F.datediff("as_of", "transaction_date"), F.lit(0)), F.lit(int(window_days))
-    )
+    # A trade without a date counts as old as the window reaches.
+    age = F.when(F.col("transaction_date").isNull(), int(window_days)).otherwise(
+        F.greatest(F.datediff("as_of", "transaction_date"), F.lit(0)))
     decay = recency(F.col("_age"), p.recency_halflife_days)
     bought = F.col("n_buys") > 0
     # An owner is described as in the first filing that shows the trade.

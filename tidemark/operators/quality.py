@@ -17,12 +17,6 @@ from tidemark.params import (
 )
 
 
-def only_active(df: DataFrame, active: DataFrame | None) -> DataFrame:
-    """Restrict to an active-fund set; None means no restriction. (The reports treat an
-    empty set as no restriction too; the caller passes None for that.)"""
-    return df if active is None else df.join(active.select("cik").distinct(), "cik", "left_semi")
-
-
 def signal_quarter(resolved: DataFrame) -> DataFrame:
     """One row: the newest quarter that enough funds have as their latest, else the newest."""
     per_date = current_filing(resolved).groupBy("report_date").agg(F.count(F.lit(1)).alias("n"))

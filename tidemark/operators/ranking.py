@@ -1,9 +1,9 @@
 """Exact ranks and positions over groups of any size.
 
-A window over a whole group would sort the group in one task. Here each group is cut
-into value ranges, ranges are ranked separately, and the counts of the lower ranges are
-added. The cut points come from the keys with the smallest hashes, which is the same
-choice on every attempt; they only balance the work and do not affect the result.
+A window over a whole group would sort the group in one task. Here the rows are dealt out by ranges
+of (group, keys) once, with as many ranges as the session has shuffle partitions. Rows are ranked
+inside their range, and the weights of a group's lower ranges are added. Where the ranges are cut
+only balances the work; it does not affect the result.
 """
 
 from __future__ import annotations
@@ -12,72 +12,46 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-RANGES = 32
-ONE_TASK_ROWS = 200_000
+from tidemark.session import materialize
 
 
-def ranges_for(df: DataFrame, group: Sequence[str]) -> int:
-    """1 when the largest group of a stored table surely fits one task, else ``RANGES``."""
-    largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return 1 if largest <= ONE_TASK_ROWS else RANGES
-
-
-def weight_before(counts: DataFrame, group: Sequence[str], keys: Sequence[str], weight: str = "n",
-                  ranges: int = RANGES) -> DataFrame:
+def weight_before(counts: DataFrame, group: Sequence[str], keys: Sequence[str], weight: str = "n") -> DataFrame:
     """Add ``before`` (weight of all smaller keys in the group) and ``total``.
 
-    ``counts`` has one row per (group, keys). Keys are compared in the given order. With
-    ``ranges`` of 1 each group is sorted in one task, for groups of a checked size.
+    ``counts`` has one row per (group, keys). Keys are compared in the given order. The dealt rows
+    are written once, so that ranks and range weights see the same ranges, also after a lost task.
     """
     g = list(group)
-    if ranges <= 1:
-        lower = Window.partitionBy(*g).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumns({
-            "before": F.coalesce(F.sum(weight).over(lower), F.lit(0)),
-            "total": F.sum(weight).over(Window.partitionBy(*g)),
-        })
-    key = F.struct(*keys)
-    by_hash = Window.partitionBy(*g).orderBy(F.xxhash64(*keys), *keys)
-    cuts = (
-        counts.select(*g, *keys)
-        .withColumn("_r", F.row_number().over(by_hash))
-        .filter(F.col("_r") <= ranges)
-        .groupBy(*g)
-        .agg(F.sort_array(F.collect_list(key)).alias("_cuts"))
-    )
-    cut = counts.join(cuts, g).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c <= F.struct(*keys)))
-    ).drop("_cuts")
-    per_range = cut.groupBy(*g, "_range").agg(F.sum(weight).alias("_w"))
-    over_ranges = Window.partitionBy(*g).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(
+    dealt = materialize(
+        counts.repartitionByRange(*g, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    lower = Window.partitionBy(*g).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*g, "_range").agg(F.sum(weight).alias("_w")).select(
         *g, "_range",
-        F.coalesce(F.sum("_w").over(over_ranges), F.lit(0)).alias("_offset"),
+        F.coalesce(F.sum("_w").over(lower), F.lit(0)).alias("_offset"),
         F.sum("_w").over(Window.partitionBy(*g)).alias("total"),
     )
-    in_range = Window.partitionBy(*g, "_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*g, "_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        cut.withColumn("_inside", F.coalesce(F.sum(weight).over(in_range), F.lit(0)))
+        dealt.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
         .join(offsets, [*g, "_range"])
         .withColumn("before", F.col("_offset") + F.col("_inside"))
         .drop("_range", "_inside", "_offset")
     )
 
 
-def average_ranks(df: DataFrame, group: Sequence[str], value: str, weight: str | None = None,
-                  ranges: int = RANGES) -> DataFrame:
+def average_ranks(df: DataFrame, group: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """(group, value) -> 1-based average rank of the value, its count, and the group total."""
     w = F.lit(1) if weight is None else F.col(weight)
     counts = df.groupBy(*group, value).agg(F.sum(w).alias("n"))
-    return weight_before(counts, group, [value], "n", ranges).select(
+    return weight_before(counts, group, [value]).select(
         *group, value, "n", "total", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")
     )
 
 
-def positions(df: DataFrame, group: Sequence[str], order: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def positions(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Zero-based position of every row in its group; ``order`` must be unique in a group."""
     return (
-        weight_before(df.withColumn("n", F.lit(1)), group, order, "n", ranges)
+        weight_before(df.withColumn("n", F.lit(1)), group, order)
         .withColumnRenamed("before", "position")
         .drop("n")
     )

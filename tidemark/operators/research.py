@@ -41,22 +41,20 @@ def baseline_rows(features: DataFrame, horizon: int = 60) -> DataFrame:
     )
 
 
-def rank_pairs(obs: DataFrame, group: Sequence[str], weight: str | None = None,
-               ranges: int = ranking.RANGES) -> DataFrame:
+def rank_pairs(obs: DataFrame, group: Sequence[str], weight: str | None = None) -> DataFrame:
     """Add centered average ranks of score (``rx``) and return (``ry``). Average ranks
     always have the mean (total + 1) / 2, so no second pass is needed to center them."""
     def centered(value: str, name: str) -> DataFrame:
-        r = ranking.average_ranks(obs, group, value, weight, ranges)
+        r = ranking.average_ranks(obs, group, value, weight)
         return r.select(*group, value, (F.col("rank") - (F.col("total") + 1) / 2).alias(name))
 
     return obs.join(centered("score", "rx"), [*group, "score"]).join(centered("ret", "ry"), [*group, "ret"])
 
 
-def rank_ic(obs: DataFrame, group: Sequence[str], weight: str | None = None,
-            ranges: int = ranking.RANGES) -> DataFrame:
+def rank_ic(obs: DataFrame, group: Sequence[str], weight: str | None = None) -> DataFrame:
     """Spearman correlation per group; 0 with fewer than two rows or no variance."""
     w = F.lit(1.0) if weight is None else F.col(weight)
-    sums = rank_pairs(obs, group, weight, ranges).groupBy(*group).agg(
+    sums = rank_pairs(obs, group, weight).groupBy(*group).agg(
         F.sum(w * F.col("rx") * F.col("ry")).alias("xy"),
         F.sum(w * F.col("rx") * F.col("rx")).alias("xx"),
         F.sum(w * F.col("ry") * F.col("ry")).alias("yy"),
@@ -68,11 +66,11 @@ def rank_ic(obs: DataFrame, group: Sequence[str], weight: str | None = None,
 
 
 def bucket_metrics(obs: DataFrame, group: Sequence[str], tie: Sequence[str], q: int = QUANTILES,
-                   weight: str | None = None, ranges: int = ranking.RANGES) -> DataFrame:
+                   weight: str | None = None) -> DataFrame:
     """Mean return of the top minus the bottom bucket and share of positive returns in the
     top, for buckets of ``n // q`` rows in score order; ties follow the ``tie`` columns."""
     rows = obs.withColumn("_w", F.lit(1).cast("long") if weight is None else F.col(weight))
-    placed = ranking.weight_before(rows, group, ["score", *tie], "_w", ranges)
+    placed = ranking.weight_before(rows, group, ["score", *tie], "_w")
     size = F.greatest(F.lit(1), F.floor(F.col("total") / q))
     after = F.col("before") + F.col("_w")
     in_bottom = F.greatest(F.least(after, size) - F.col("before"), F.lit(0))
@@ -98,10 +96,9 @@ def bucket_metrics(obs: DataFrame, group: Sequence[str], tie: Sequence[str], q:
     )
 
 
-def metrics(obs: DataFrame, group: Sequence[str], tie: Sequence[str], q: int = QUANTILES,
-            ranges: int = ranking.RANGES) -> DataFrame:
+def metrics(obs: DataFrame, group: Sequence[str], tie: Sequence[str], q: int = QUANTILES) -> DataFrame:
     """n, rank IC, spread, hit rate and mean return per group."""
-    return bucket_metrics(obs, group, tie, q, None, ranges).join(rank_ic(obs, group, None, ranges), list(group))
+    return bucket_metrics(obs, group, tie, q, None).join(rank_ic(obs, group, None), list(group))
 
 
 # -- resampling -----------------------------------------------------------------
@@ -111,18 +108,17 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def _numbered(obs: DataFrame, group: Sequence[str], tie: Sequence[str], ranges: int) -> DataFrame:
+def _numbered(obs: DataFrame, group: Sequence[str], tie: Sequence[str]) -> DataFrame:
     """Rows with their position in the group and the group size, groups of at least 8."""
-    return ranking.positions(obs, group, tie, ranges).filter(F.col("total") >= MIN_RESAMPLE_ROWS)
+    return ranking.positions(obs, group, tie).filter(F.col("total") >= MIN_RESAMPLE_ROWS)
 
 
 def bootstrap_replicates(obs: DataFrame, group: Sequence[str], tie: Sequence[str],
-                         samples: int = BOOTSTRAP_SAMPLES, seed: int = BOOTSTRAP_SEED,
-                         ranges: int = ranking.RANGES) -> DataFrame:
+                         samples: int = BOOTSTRAP_SAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """Rows with how often each replicate drew them. Every row draws once per replicate;
     the draws are counted before they meet the rows again."""
     g = list(group)
-    rows = _numbered(obs, g, tie, ranges)
+    rows = _numbered(obs, g, tie)
     drawn = (
         rows.select(*g, "position", "total", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate"))
         .withColumn("position", draw(seed, *[F.col(c) for c in g], F.col("replicate"), F.col("position")) % F.col("total"))
@@ -143,11 +139,10 @@ def bootstrap_ci(obs: DataFrame, group: Sequence[str], tie: Sequence[str], sampl
                  q: int = QUANTILES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """95 % intervals of rank IC and spread; (0, 0) below eight rows."""
     g = list(group)
-    ranges = ranking.ranges_for(obs, g)
-    reps = materialize(bootstrap_replicates(obs, g, tie, samples, seed, ranges), "bootstrap")
+    reps = materialize(bootstrap_replicates(obs, g, tie, samples, seed), "bootstrap")
     keys = [*g, "replicate"]
-    stats = rank_ic(reps, keys, "weight", ranges).join(
-        bucket_metrics(reps, keys, ["position"], q, "weight", ranges), keys)
+    stats = rank_ic(reps, keys, "weight").join(
+        bucket_metrics(reps, keys, ["position"], q, "weight"), keys)
     ci = stats.groupBy(*g).agg(
         _interval("rank_ic", samples, "ic"), _interval("top_bottom_spread", samples, "spread")
     )
@@ -163,8 +158,7 @@ def permutation_pvalue(obs: DataFrame, group: Sequence[str], tie: Sequence[str],
     """Share of shuffles whose |rank IC| reaches the observed one, counting the observed
     one; 1 below eight rows. A shuffle permutes ranks, so ranks are computed once."""
     g = list(group)
-    ranges = ranking.ranges_for(obs, g)
-    ranked = materialize(_numbered(rank_pairs(obs, g, None, ranges), g, tie, ranges).select(*g, "position", "rx", "ry"), "ranks")
+    ranked = materialize(_numbered(rank_pairs(obs, g, None), g, tie).select(*g, "position", "rx", "ry"), "ranks")
     norms = ranked.groupBy(*g).agg(
         (F.sqrt(F.sum(F.col("rx") * F.col("rx"))) * F.sqrt(F.sum(F.col("ry") * F.col("ry")))).alias("norm"),
         F.sum(F.col("rx") * F.col("ry")).alias("xy"),
@@ -173,7 +167,7 @@ def permutation_pvalue(obs: DataFrame, group: Sequence[str], tie: Sequence[str],
         *g, "position", "rx", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate")
     ).withColumn("key", draw(seed, *[F.col(c) for c in g], F.col("replicate"), F.col("position")))
     target = (
-        ranking.weight_before(shuffled.withColumn("n", F.lit(1)), [*g, "replicate"], ["key", "position"], "n", ranges)
+        ranking.weight_before(shuffled.withColumn("n", F.lit(1)), [*g, "replicate"], ["key", "position"], "n")
         .select(*g, "replicate", "rx", F.col("before").cast("long").alias("position"))
     )
     per_replicate = (
@@ -205,10 +199,10 @@ def score_with_weight_sets(observations: DataFrame, sets: Mapping[str, Weights])
 
 
 def evaluate_weight_sets(observations: DataFrame, sets: Mapping[str, Weights], tie: Sequence[str],
-                         q: int = QUANTILES, ranges: int = ranking.RANGES) -> DataFrame:
+                         q: int = QUANTILES) -> DataFrame:
     """IC, spread, hit rate and objective (IC + half the spread) of each weight set."""
     scored = score_with_weight_sets(observations, sets).select("weight_set", "score", "ret", *tie)
-    return metrics(scored, ["weight_set"], tie, q, ranges).select(
+    return metrics(scored, ["weight_set"], tie, q).select(
         "weight_set", "n",
         F.col("rank_ic").alias("ic"), F.col("top_bottom_spread").alias("quantile_spread"), "hit_rate",
         (F.col("rank_ic") + 0.5 * F.col("top_bottom_spread")).alias("objective"),
@@ -220,10 +214,9 @@ def optimize_weights(observations: DataFrame, tie: Sequence[str], base: Weights
     """Coordinate search within bounds, steps 8, 4, 2, 1. Both candidates of a weight are
     judged in one job; the driver sees one objective per candidate."""
     obs = materialize(fill_missing_side(observations), "observations")
-    ranges = ranking.ranges_for(obs, [])
 
     def objective(sets: Mapping[str, Weights]) -> dict[str, float]:
-        return {r["weight_set"]: r["objective"] for r in evaluate_weight_sets(obs, sets, tie, q, ranges).collect()}
+        return {r["weight_set"]: r["objective"] for r in evaluate_weight_sets(obs, sets, tie, q).collect()}
 
     best = base
     start = best_value = objective({"base": base})["base"]

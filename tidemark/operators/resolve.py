@@ -169,11 +169,8 @@ def enrich_positions(positions: DataFrame, resolutions: DataFrame) -> DataFrame:
     return bare.join(r, cond, "left").drop(r["cusip"])
 
 
-def portfolio_tail(positions: DataFrame, n: int = 25) -> DataFrame:
-    """Largest ``n`` unresolved long positions of each filing."""
+def portfolio_tail(positions: DataFrame, n: int | None = None) -> DataFrame:
+    """Unresolved long positions of each filing by size; with ``n``, the largest so many."""
     order = Window.partitionBy("accession").orderBy(F.col("value_usd").desc(), "cusip")
-    return (
-        positions.filter("put_call = '' and coalesce(ticker, '') = ''")
-        .withColumn("tail_rank", F.row_number().over(order))
-        .filter(F.col("tail_rank") <= n)
-    )
+    ranked = positions.filter("put_call = '' and coalesce(ticker, '') = ''").withColumn("tail_rank", F.row_number().over(order))
+    return ranked if n is None else ranked.filter(F.col("tail_rank") <= n)

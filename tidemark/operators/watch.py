@@ -141,11 +141,11 @@ def watchlist_schedule(watchlists: DataFrame, keys: DataFrame, snapshots: DataFr
     return out.withColumns({"valid": valid, "due": due})
 
 
-def due_watchlists(schedule: DataFrame, limit: int | None = 25) -> DataFrame:
+def due_watchlists(schedule: DataFrame, limit: int | None = None) -> DataFrame:
     """Due watchlists, never-run ones first, then the longest waiting."""
     out = schedule.filter("due").orderBy(
         F.col("latest_snapshot_at").asc_nulls_first(), F.col("updated_at").desc(), "watchlist_id")
-    return out if limit is None else out.limit(max(1, min(100, int(limit))))
+    return out if limit is None else out.limit(limit)
 
 
 def schedule_summary(schedule: DataFrame) -> DataFrame:
@@ -199,13 +199,13 @@ def fold_alert_status(events: DataFrame) -> DataFrame:
     )
 
 
-def list_alerts(alerts: DataFrame, status: str | None = "open", limit: int = 50, *keys: str) -> DataFrame:
-    """Alerts by severity, then newest, then ticker; at most ``limit`` per key."""
+def list_alerts(alerts: DataFrame, status: str | None = "open", limit: int | None = None, *keys: str) -> DataFrame:
+    """Alerts by severity, then newest, then ticker; with a ``limit``, at most so many per key."""
     kept = alerts if status is None else alerts.filter(F.col("status") == status)
     order = Window.partitionBy(*(keys or ("key_id",))).orderBy(
         F.col("severity").desc(), F.col("last_seen_at").desc(), "ticker", "alert_id")
-    return kept.withColumn("alert_rank", F.row_number().over(order)).filter(
-        F.col("alert_rank") <= max(1, min(100, int(limit))))
+    ranked = kept.withColumn("alert_rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("alert_rank") <= limit)
 
 
 def newest_and_previous(snapshots: DataFrame) -> DataFrame:

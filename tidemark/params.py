@@ -80,8 +80,6 @@ PRECOMPUTE_WINDOWS = (30, 90, 180)
 DOLLARS_EFFECTIVE = "2023-01-03"
 HOLD_EPSILON = 0.005
 CONVICTION_WEIGHT = 0.05
-MAX_13F_XML_BYTES = 64 * 1024 * 1024
-MAX_FORM4_XML_BYTES = 8 * 1024 * 1024
 
 # Quality thresholds.
 AUM_JUMP_THRESHOLD = 100.0

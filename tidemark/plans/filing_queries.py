@@ -72,7 +72,7 @@ def w11_value_timeline(spark, sf):
 
 
 def p7_preferred_filings(spark, sf):
-    out = holdings.preferred_filings(Tables(spark, sf).filings(), max_quarters=8)
+    out = holdings.preferred_filings(Tables(spark, sf).filings(), max_quarters=None)
     return out.select("cik", "report_date", "accession", "form", F.col("quarter_rank").cast("long").alias("quarter_rank"))
 
 

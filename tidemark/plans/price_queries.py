@@ -94,15 +94,14 @@ def a15_price_row_problems(spark, sf):
 
 
 def l10_report_samples(spark, sf):
-    """The report's samples: the first 50 bad rows and the first 50 gaps, in a fixed order."""
+    """The rows that the report samples: bad rows and major gaps."""
     t = Tables(spark, sf)
     bad = pricing.price_row_problems(_raw_prices(t)).filter(F.size("problems") > 0).select(
         F.lit("invalid_row").alias("sample"), F.col("t").alias("ticker"), F.col("date"), F.array_join("problems", ";").alias("detail"))
     d = F.lit("2021-01-04").cast("date")
     gaps = pricing.price_history(t.prices().select("ticker", "date"), t.fundamentals(), d, d).filter("max_gap_days > 3").select(
         F.lit("major_gap").alias("sample"), "ticker", F.col("gap_from").cast("string").alias("date"), F.col("max_gap_days").cast("string").alias("detail"))
-    first = lambda df: df.orderBy("ticker", "date", "detail").limit(50)
-    return first(bad).unionByName(first(gaps))
+    return bad.unionByName(gaps)
 
 
 def u1_price_provider(spark, sf):

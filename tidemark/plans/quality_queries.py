@@ -65,12 +65,12 @@ def f20_severity_and_worst_status(spark, sf):
 
 
 def l5_findings_in_order(spark, sf):
-    """Jump findings with the current quarter first, then by ratio, at most 100 of them."""
+    """Jump findings with the current quarter first, then by ratio."""
     resolved, funds = _inputs(spark, sf)
     jumps = quality.findings(resolved, funds).filter("kind = 'aum_jump'").withColumn("size", F.round("size", 6))
     return jumps.orderBy(
         (F.col("temporal_scope") != "current_quarter"), F.col("size").desc(), "cik", "event_quarter"
-    ).limit(100).select("cik", "event_quarter", "temporal_scope", "size")
+    ).select("cik", "event_quarter", "temporal_scope", "size")
 
 
 def v2_quality_summary(spark, sf):

@@ -330,17 +330,21 @@ def _history(t: Tables):
 
 def k10_signal_history(spark, sf):
     s = _history(Tables(spark, sf))
-    out = writers.history_entries(s, F.col("w"), "stream", F.date_format("at", "yyyy-MM-dd HH:mm:ss"), "test")
+    entries = writers.history_entries(s, F.col("w"), "stream", F.date_format("at", "yyyy-MM-dd HH:mm:ss"), "test")
+    path = shared_folder(spark, "history")
+    for window in (30, 90):  # a run appends the windows that it has scored
+        writers.append_history(entries.filter(F.col("window_days") == window), path)
+    out = spark.read.schema(entries.schema).json(path)
     return out.select("recorded_at", F.col("window_days").cast("long").alias("window_days"), "ticker", "score", "quadrant", "revision_hash")
 
 
 def s20_read_signal_history(spark, sf):
-    """The last 200 good records of one ticker and window; some lines are not JSON."""
+    """The good records of one ticker and window; some lines are not JSON."""
     s = _history(Tables(spark, sf))
     good = F.to_json(F.struct("seq", F.upper("ticker").alias("ticker"), F.col("w").alias("window_days"), "score", "quadrant"))
     path = shared_folder(spark, "history")
     s.select(F.when(F.col("k") == 50, "{broken").otherwise(good).alias("value")).write.text(path)
-    out = tables.parse_signal_history(spark.read.text(path), 200, "tb", 90)
+    out = tables.parse_signal_history(spark.read.text(path), None, "tb", 90)
     return out.select("seq", "ticker", F.col("window_days").cast("long").alias("window_days"), "score", "quadrant")
 
 
@@ -528,7 +532,9 @@ def _chain_inputs(t: Tables):
     overrides = securities.filter("p_type = 'PROMO' and no % 4 = 1").select("cusip", F.concat(F.lit("M"), tick).alias("ticker"), F.col("p_name").alias("name"))
     mapping = securities.filter("p_type = 'STANDARD'").select(
         "cusip", F.when(F.col("no") % 3 != 0, tick).alias("ticker"), F.concat("p_name", F.lit(" Inc")).alias("name"), F.lit("BBG").alias("figi"))
-    names = resolve.name_index(_companies(t).filter("title not like 'red %' and title not like 'old %'"))
+    # Some names are not in the list under which their securities are looked up.
+    unlisted = F.col("title").rlike("^(red|old) ")
+    names = resolve.name_index(_companies(t).withColumn("title", F.when(unlisted, F.concat(F.lit("unlisted "), "title")).otherwise(F.col("title"))))
     return items, cache, overrides, mapping, names, now
 
 

@@ -63,11 +63,10 @@ def v7_ticker_flow(spark, sf):
 
 
 def v8_watchlist_preview(spark, sf):
-    """Preview of the tickers customers watch most, and one nobody holds."""
+    """Preview of the tickers that customers watch, and one nobody holds."""
     t = Tables(spark, sf)
-    named = t.watchlists().select(F.explode("tickers").alias("ticker")).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
-    top = named.orderBy(F.col("n").desc(), "ticker").limit(24).select("ticker")
-    out = watch.watchlist_preview(_now_flow(t), top.unionByName(spark.createDataFrame([("NONE",)], "ticker string")))
+    named = t.watchlists().select(F.explode("tickers").alias("ticker")).distinct()
+    out = watch.watchlist_preview(_now_flow(t), named.unionByName(spark.createDataFrame([("NONE",)], "ticker string")))
     return out.select(*_flow_columns())
 
 
@@ -348,7 +347,7 @@ def j13_watchlist_schedule(spark, sf):
 
 
 def st10_due_watchlists(spark, sf):
-    return watch.due_watchlists(_schedule(Tables(spark, sf)), 25).select("watchlist_id", "frequency")
+    return watch.due_watchlists(_schedule(Tables(spark, sf))).select("watchlist_id", "frequency")
 
 
 def a25_automation_demand(spark, sf):
@@ -508,7 +507,7 @@ def st8_alert_upserts(spark, sf):
 def st11_snapshot_run(spark, sf):
     """One automated run over the due watchlists: a snapshot row each."""
     t = Tables(spark, sf)
-    out = jobs.snapshot_run(_schedule(t), _now_flow(t), 25, now())
+    out = jobs.snapshot_run(_schedule(t), _now_flow(t), None, now())
     return out.select("watchlist_id", "key_id", "alerts", "watch", "monitor", "blocked")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.texts import pad_cik
 from tidemark.functions.values import lenient_double, text
-from tidemark.params import MAX_13F_XML_BYTES, MAX_FORM4_XML_BYTES
 
 XML_OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
@@ -47,17 +46,16 @@ OWNERSHIP = _record(
 )
 
 
-def reject_reason(xml: Column, max_bytes: int) -> Column:
-    """Why a document is not even parsed: empty, too large, or with its own entities."""
-    head = F.upper(F.substring(xml, 1, 4096))
-    return (
-        F.when(xml.isNull() | (F.trim(xml) == ""), "empty")
-        .when(F.octet_length(xml) > max_bytes, "too_large")
-        .when(head.contains("<!DOCTYPE") | head.contains("<!ENTITY"), "dtd_or_entity")
-    )
+def reject_reason(xml: Column, max_bytes: int | None = None) -> Column:
+    """Why a document is not even parsed: empty, over the caller's limit if there is one, or with
+    its own entities anywhere."""
+    reason = F.when(xml.isNull() | (F.trim(xml) == ""), "empty")
+    if max_bytes is not None:
+        reason = reason.when(F.octet_length(xml) > max_bytes, "too_large")
+    return reason.when(xml.rlike("(?i)<!(DOCTYPE|ENTITY)"), "dtd_or_entity")
 
 
-def _parse(docs: DataFrame, schema: T.StructType, max_bytes: int) -> DataFrame:
+def _parse(docs: DataFrame, schema: T.StructType, max_bytes: int | None) -> DataFrame:
     """Documents with the top-level elements as columns and ``reject``. The generator makes
     Spark parse each document once, however many fields are read later."""
     keep = [c for c in docs.columns if c != "xml"]
@@ -71,18 +69,24 @@ def _parse(docs: DataFrame, schema: T.StructType, max_bytes: int) -> DataFrame:
 
 def rejected(docs: DataFrame, kind: str = "13f", max_bytes: int | None = None) -> DataFrame:
     """Side output: documents left out and why. One bad document never stops the batch."""
-    schema, limit = (INFO_TABLE, MAX_13F_XML_BYTES) if kind == "13f" else (OWNERSHIP, MAX_FORM4_XML_BYTES)
+    schema = INFO_TABLE if kind == "13f" else OWNERSHIP
     keep = [c for c in docs.columns if c != "xml"]
-    return _parse(docs, schema, max_bytes or limit).filter("reject is not null").select(*keep, "reject")
+    return _parse(docs, schema, max_bytes).filter("reject is not null").select(*keep, "reject")
 
 
-def parse_info_tables(docs: DataFrame, max_bytes: int = MAX_13F_XML_BYTES) -> DataFrame:
+def parse_info_tables(docs: DataFrame, max_bytes: int | None = None, with_rejects: bool = False) -> DataFrame:
     """Holding lines of information-table documents. ``docs`` has an ``xml`` column; its other
-    columns are kept. Commas in numbers are dropped, unreadable numbers count as zero."""
+    columns are kept. Commas in numbers are dropped, unreadable numbers count as zero.
+
+    ``with_rejects`` adds ``reject`` and, from the same parse, a row for each document left out."""
     keep = [c for c in docs.columns if c != "xml"]
-    rows = _parse(docs, INFO_TABLE, max_bytes).filter("reject is null").select(
-        *keep, F.posexplode("infoTable").alias("line_no", "t")
-    )
+    parsed = _parse(docs, INFO_TABLE, max_bytes)
+    if with_rejects:
+        keep.append("reject")
+        lines = F.when(F.col("reject").isNull(), F.col("infoTable"))
+        rows = parsed.select(*keep, F.posexplode_outer(lines).alias("line_no", "t")).filter("reject is not null or line_no is not null")
+    else:
+        rows = parsed.filter("reject is null").select(*keep, F.posexplode("infoTable").alias("line_no", "t"))
     number = lambda c: F.coalesce(lenient_double(c), F.lit(0.0))
     return rows.select(
         *keep, "line_no",
@@ -96,7 +100,7 @@ def parse_info_tables(docs: DataFrame, max_bytes: int = MAX_13F_XML_BYTES) -> Da
     )
 
 
-def parse_form4(docs: DataFrame, max_bytes: int = MAX_FORM4_XML_BYTES) -> DataFrame:
+def parse_form4(docs: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Table I trades of ownership documents. ``docs`` has ``xml``, ``accession`` and
     ``filing_date``; the first reporting owner stands for the filing."""
     doc = _parse(docs, OWNERSHIP, max_bytes).filter("reject is null")
@@ -160,10 +164,10 @@ def list_13f_filings(docs: DataFrame, include_amendments: bool = True) -> DataFr
     return out if include_amendments else out.filter(~F.col("form").endswith("/A"))
 
 
-def list_form4_filings(docs: DataFrame, since: str | None = None, limit: int = 100) -> DataFrame:
-    """Insider filings of submissions documents: at most ``limit`` per document, in list
-    order, leaving out those filed before ``since``. The cut is made inside each
-    document's own list, before rows are made."""
+def list_form4_filings(docs: DataFrame, since: str | None = None, limit: int | None = None) -> DataFrame:
+    """Insider filings of submissions documents in list order, leaving out those filed before
+    ``since``; at most ``limit`` per document if the caller gives one. The cut is made inside
+    each document's own list, before rows are made."""
     keep = [c for c in docs.columns if c != "json"]
     r = docs.select(*keep, F.from_json("json", SUBMISSIONS)["filings"]["recent"].alias("r"))
     zipped = F.transform(
@@ -177,7 +181,9 @@ def list_form4_filings(docs: DataFrame, since: str | None = None, limit: int = 1
     wanted = lambda x: x["form"].isin("4", "4/A") & (x["accession"] != "") & (
         F.lit(True) if since is None else (x["filing_date"] == "") | (F.substring(x["filing_date"], 1, 10) >= since)
     )
-    first = F.slice(F.filter(zipped, wanted), 1, int(limit))
+    first = F.filter(zipped, wanted)
+    if limit is not None:
+        first = F.slice(first, 1, int(limit))
     return r.select(*keep, F.explode(first).alias("f")).select(*keep, "f.*")
 
 

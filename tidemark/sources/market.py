@@ -19,7 +19,7 @@ def parse_price_csv(docs: DataFrame) -> DataFrame:
     """(ticker, date, close) from CSV bodies with a Date and a Close column. Bodies without
     a Close column ('No data') give nothing, unreadable lines are skipped."""
     lines = F.split("body", "\r?\n")
-    headed = docs.select("ticker", F.split(F.get(lines, 0), ",").alias("h"), F.explode(F.slice(lines, 2, 10_000_000)).alias("line"))
+    headed = docs.select("ticker", F.split(F.get(lines, 0), ",").alias("h"), F.explode(F.slice(lines, 2, F.size(lines))).alias("line"))
     field = lambda name: F.try_element_at(F.split("line", ","), F.nullif(F.array_position("h", name), F.lit(0)).cast("int"))
     return headed.select(
         "ticker",

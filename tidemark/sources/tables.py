@@ -95,15 +95,15 @@ HISTORY_SCHEMA = (
 )
 
 
-def parse_signal_history(lines: DataFrame, limit: int = 100, ticker: str | None = None,
+def parse_signal_history(lines: DataFrame, limit: int | None = None, ticker: str | None = None,
                          window_days: int | None = None) -> DataFrame:
-    """Last ``limit`` (1..1000) good records of a score history, in append order. Lines that
-    are not JSON are skipped."""
-    limit = max(1, min(1000, int(limit)))
+    """Good records of a score history, newest first; with a ``limit``, the last so many. Lines
+    that are not JSON are skipped."""
     parsed = lines.select(F.from_json("value", HISTORY_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("h"))
     good = parsed.filter("h._corrupt_record is null and h is not null").select("h.*").drop("_corrupt_record")
     if ticker:
         good = good.filter(F.col("ticker") == ticker.upper())
     if window_days is not None:
         good = good.filter(F.coalesce("window_days", F.lit(0)) == window_days)
-    return good.orderBy(F.col("seq").desc()).limit(limit)
+    newest = good.orderBy(F.col("seq").desc())
+    return newest if limit is None else newest.limit(limit)

@@ -96,6 +96,7 @@ def history_entries(scored: DataFrame, window_days: Column, source: str, recorde
 
 
 def append_history(entries: DataFrame, path: str) -> None:
+    """Adds entries to a score history of JSON lines; earlier ones are never rewritten."""
     entries.write.mode("append").json(path)
 
 
