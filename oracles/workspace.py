@@ -151,6 +151,10 @@ SQL = {
     "st12_late_amendments": "SELECT cik, report_date, accession FROM resolved",
     "st8_alert_upserts": """SELECT ticker, action, 'open' AS status, CAST(max(report_date) AS VARCHAR) AS snapshot_id, min(report_date) AS first_seen, max(report_date) AS last_seen, CAST(CASE action WHEN 'alert' THEN 3 ELSE 2 END AS BIGINT) AS severity
  FROM flow WHERE action IN ('alert', 'watch') GROUP BY ALL""",
+    "st5_client_windows": """SELECT key_id, CAST(sum(n) AS BIGINT) AS requests, CAST(sum(greatest(n - 3, 0)) AS BIGINT) AS refused FROM (
+ WITH RECURSIVE e AS (SELECT key_id, epoch_ms(tm) AS ms FROM ev),
+ w AS (SELECT key_id, min(ms) AS s FROM e GROUP BY 1 UNION ALL SELECT w.key_id, min(e.ms) FROM w JOIN e ON e.key_id = w.key_id AND e.ms >= w.s + 21600000 GROUP BY w.key_id, w.s)
+ SELECT w.key_id, w.s, count(*) AS n FROM w JOIN e ON e.key_id = w.key_id AND e.ms >= w.s AND e.ms < w.s + 21600000 GROUP BY 1, 2) GROUP BY key_id""",
     "st11_snapshot_run": """SELECT d.watchlist_id, d.key_id, count(*) FILTER (action = 'alert') AS alerts, count(*) FILTER (action = 'watch') AS watch, count(*) FILTER (action = 'monitor') AS monitor, count(*) FILTER (action = 'blocked') AS blocked
  FROM (SELECT * FROM sched WHERE due ORDER BY latest_snapshot_at NULLS FIRST, updated_at DESC, watchlist_id) d LEFT JOIN wsig s ON s.watchlist_id = d.watchlist_id GROUP BY ALL""",
 }

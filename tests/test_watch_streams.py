@@ -11,10 +11,10 @@ D = dt.date.fromisoformat
 T0 = dt.datetime(2024, 1, 1, 12, 0, 0)
 
 
-def as_stream(df, batches, key):
+def as_stream(df, batches, key, path=None):
     """Files per batch number, read one file per trigger in that order."""
     spark = df.sparkSession
-    path = shared_folder(spark, "src")
+    path = path or shared_folder(spark, "src")
     for b in batches:
         df.filter(F.col(key) == b).drop(key).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.drop(key).schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -36,6 +36,39 @@ def test_filing_alerts_once_per_subscription_and_failed_ones_again(spark):
     assert sorted(sent) == [("s1", "a"), ("s1", "b"), ("s3", "c")]
 
 
+def test_a_later_run_goes_on_and_sends_nothing_twice(spark, tmp_path):
+    source, path = str(tmp_path / "src"), str(tmp_path / "alerts")
+    filings = spark.createDataFrame([("1", D("2024-02-14"), "a", 0), ("2", D("2024-02-14"), "x", 0), ("1", D("2024-05-15"), "b", 1), ("3", D("2024-05-15"), "y", 2)],
+                                    "cik string, filing_date date, accession string, b int")
+    subs = spark.createDataFrame([("s1", "1", True), ("s2", "2", True), ("s3", "3", True)], "subscription_id string, cik string, active boolean")
+    sent, fails = [], {"x": 2}
+
+    def send(pending):
+        rows = sorted((r.subscription_id, r.accession) for r in pending.select("subscription_id", "accession").collect())
+        sent.append(rows)
+        down = [a for _, a in rows if fails.get(a, 0) > 0]
+        for a in down:
+            fails[a] -= 1
+        return pending.withColumn("status", F.when(F.col("accession").isin(*down, ""), "failed").otherwise("sent"))
+
+    for b in range(3):  # each run is a new query on the same folders
+        out = jobs.filing_alerts(as_stream(filings, (b,), "b", source), subs, send, path)
+    once = [list(x) for k, x in enumerate(sent) if x != (sent[k - 1] if k else None) or k == 0]
+    assert {(r.subscription_id, r.accession, r.status) for r in out.collect()} == {("s1", "a", "sent"), ("s1", "b", "sent"), ("s2", "x", "sent"), ("s3", "y", "sent")}
+    assert once[0] == [("s1", "a"), ("s2", "x")] and ("s2", "x") in once[1] and ("s1", "a") not in sum(once[1:], [])
+    again = jobs.filing_alerts(as_stream(filings, (), "b", source), subs, send, path)
+    assert again.count() == 4
+
+
+def test_a_late_amendment_is_taken_up_by_a_later_run(spark, tmp_path):
+    schema = "accession string, cik string, report_date date, form string, filing_date date, total_value double, n_positions bigint"
+    rows = [("o", "1", D("2024-03-31"), "13F-HR", D("2024-05-15"), 1.0, 4, 0), ("n", "1", D("2024-06-30"), "13F-HR", D("2024-08-15"), 1.0, 4, 0), ("f", "1", D("2024-03-31"), "13F-HR/A", D("2025-05-15"), 1.0, 4, 1)]
+    df = spark.createDataFrame(rows, schema + ", b int")
+    for b, want in ((0, "o"), (1, "f")):
+        out = jobs.resolved_stream(as_stream(df, (b,), "b", str(tmp_path / "src")), holdings.resolve_filings, schema, str(tmp_path / "out"))
+        assert {r.report_date: r.accession for r in out.collect()} == {D("2024-03-31"): want, D("2024-06-30"): "n"}
+
+
 def test_pending_selection(spark):
     subs = spark.createDataFrame([("s1", "1", True), ("s2", "1", True), ("s3", "1", True)], "subscription_id string, cik string, active boolean")
     done = spark.createDataFrame([("s1", "a", "primed"), ("s2", "a", "failed")], "subscription_id string, accession string, status string")
@@ -80,7 +113,9 @@ def test_stream_counts_equal_batch_counts(spark):
 
 def test_client_windows_equal_a_plain_loop(spark):
     rows = [("a", t) for t in (0, 10, 20, 30, 1000, 1005, 1990, 2001)] + [("b", 5)]
-    df = spark.createDataFrame(rows, "key_id string, at_ms bigint").withColumn("b", F.lit(0))
+    own = spark.newSession()
+    own.conf.set(*jobs.ROCKSDB)
+    df = own.createDataFrame(rows[::-1], "key_id string, at_ms bigint").withColumn("b", F.lit(0))  # not in order of time
     out = jobs.updates_table(jobs.client_windows(as_stream(df, (0,), "b"), limit=2, window_ms=1000), "c")
     start, used, refused = None, 0, 0
     for k, t in rows:

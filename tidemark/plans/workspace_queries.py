@@ -450,7 +450,9 @@ def st13_audit_appends(spark, sf):
 
 def st5_client_windows(spark, sf):
     """Fixed windows from each client's first request: six hours, three requests allowed."""
-    e = _event_stream(Tables(spark, sf)).audit().select("key_id", F.unix_millis("at").alias("at_ms"))
+    own = spark.newSession()  # the state's setting holds for this query only
+    own.conf.set(*jobs.ROCKSDB)
+    e = _event_stream(Tables(own, sf)).audit().select("key_id", F.unix_millis("at").alias("at_ms"))
     log = jobs.updates_table(jobs.client_windows(e, limit=3, window_ms=6 * 3600 * 1000), "clients")
     return log.groupBy("key_id").agg(F.sum("requests").alias("requests"), F.sum("refused").alias("refused"))
 

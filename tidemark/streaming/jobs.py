@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,11 +14,12 @@ from tidemark.session import shared_folder
 
 
 def run_available(stream: DataFrame, name: str, write_batch: Callable[[DataFrame, int], None],
-                  mode: str = "update") -> None:
-    """Process everything that has arrived, then stop."""
+                  mode: str = "update", checkpoint: str | None = None) -> None:
+    """Process everything that has arrived, then stop. With the checkpoint of an earlier run
+    only what is new since then; without one, everything."""
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(write_batch)
-        .option("checkpointLocation", shared_folder(stream.sparkSession, f"{name}-checkpoint"))
+        .option("checkpointLocation", checkpoint or shared_folder(stream.sparkSession, f"{name}-checkpoint"))
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -30,13 +32,14 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def updates_table(stream: DataFrame, name: str, mode: str = "update") -> DataFrame:
-    """Run an update-mode query and return its change log with ``batch_id``."""
+def updates_table(stream: DataFrame, name: str, mode: str = "update", path: str | None = None) -> DataFrame:
+    """Run an update-mode query and return its change log with ``batch_id``. Under the same
+    ``path`` a later run goes on where the last one stopped."""
     spark = stream.sparkSession
-    path = shared_folder(spark, name)
-    run_available(stream, name, batch_writer(path), mode)
+    path = path or shared_folder(spark, name)
+    run_available(stream, name, batch_writer(f"{path}/log"), mode, f"{path}/checkpoint")
     schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(f"{path}/log")
 
 
 def latest_state(log: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,99 +106,129 @@ CLIENT_WINDOW_SCHEMA = "key_id string, requests bigint, refused bigint"
 class ClientWindow(StatefulProcessor):
     """Fixed window that starts at a client's first request and restarts after it is over.
 
-    State per client is two numbers, whatever the number of requests; requests of a batch
-    arrive as an iterator of Arrow chunks.
+    State per client is two numbers, whatever the number of requests; with ``expire`` it ends
+    when nothing has come for a window. A batch's requests are put in order of time first; then each
+    window is one look-up, not a loop over its requests.
     """
 
-    def __init__(self, limit: int, window_ms: int):
-        self.limit, self.window_ms = limit, window_ms
+    def __init__(self, limit: int, window_ms: int, expire: bool = False):
+        self.limit, self.window_ms, self.expire = limit, window_ms, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start bigint, used bigint")
+        self.state = handle.getValueState("window", "start bigint, used bigint", ttlDurationMs=self.window_ms if self.expire else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         start, used = self.state.get() if self.state.exists() else (None, 0)
-        requests = refused = 0
-        for chunk in rows:
-            for at in chunk["at_ms"]:
-                if start is None or at - start >= self.window_ms:
-                    start, used = int(at), 0
-                used += 1
-                requests += 1
-                refused += used > self.limit
+        at = np.sort(np.concatenate([chunk["at_ms"].to_numpy() for chunk in rows]))
+        refused = done = 0
+        while done < len(at):
+            if start is None or at[done] - start >= self.window_ms:
+                start, used = int(at[done]), 0
+            end = int(np.searchsorted(at, start + self.window_ms))
+            new = end - done
+            refused += max(0, used + new - max(self.limit, used))
+            used, done = used + new, end
         self.state.update((start, used))
-        yield pd.DataFrame({"key_id": [key[0]], "requests": [requests], "refused": [refused]})
+        yield pd.DataFrame({"key_id": [key[0]], "requests": [len(at)], "refused": [refused]})
 
     def close(self) -> None:
         pass
 
 
-def client_windows(events: DataFrame, limit: int = 120, window_ms: int = 60_000) -> DataFrame:
-    """Requests and refusals per client and batch. ``events`` has key_id and at_ms, in time
-    order within a client and batch."""
-    spark = events.sparkSession
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def client_windows(events: DataFrame, limit: int = 120, window_ms: int = 60_000, expire: bool = False) -> DataFrame:
+    """Requests and refusals per client and batch. ``events`` has key_id and at_ms. The session
+    must keep streaming state in RocksDB (``ROCKSDB``). ``expire`` drops the state of clients
+    that have been silent for a window by the clock; it is for queries that run on, as Spark
+    then starts batches without data too and a run over what is available would not end."""
     return events.select("key_id", "at_ms").groupBy("key_id").transformWithStateInPandas(
-        ClientWindow(limit, window_ms), CLIENT_WINDOW_SCHEMA, "Update", "None")
+        ClientWindow(limit, window_ms, expire), CLIENT_WINDOW_SCHEMA, "Update", "ProcessingTime" if expire else "None")
+
+
+#: Session setting for arbitrary state.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass",
+           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 # -- filings and workspace in foreachBatch ---------------------------------------------
+BUCKETS = 32
+
+
 class Log:
-    """An append-only table with one folder per batch. A batch that runs again overwrites
-    its own folder and reads only earlier ones, so its result does not change. Each batch
-    adds what it touched; nothing old is rewritten."""
+    """An append-only table with one folder per batch, and in it one per bucket of the keys. A
+    batch that runs again overwrites its own folder and reads only earlier ones, so its result
+    does not change. Each batch adds what it touched; nothing old is rewritten. A look-up of
+    some keys joins on their bucket too, so that Spark reads only the buckets it needs.
 
-    def __init__(self, spark, name: str, schema: str):
-        self.spark, self.path = spark, shared_folder(spark, name)
+    The table stays under ``path``: a later run goes on with it.
+    """
+
+    def __init__(self, spark, path: str, schema: str, keys: list[str]):
+        self.spark, self.path, self.keys = spark, path, keys
         empty = spark.createDataFrame([], schema)
         self.columns = empty.columns
-        self.schema = T.StructType([*empty.schema.fields, T.StructField("batch_id", T.LongType())])
-        empty.write.parquet(f"{self.path}/batch_id=-1")
+        self.schema = T.StructType([*empty.schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
+        empty.write.mode("ignore").parquet(f"{path}/batch_id=-1/bucket=0")
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int")
 
     def read(self, upto: int | None = None) -> DataFrame:
         rows = self.spark.read.schema(self.schema).parquet(self.path)
-        return rows if upto is None else rows.filter(F.col("batch_id") <= upto)
+        return (rows if upto is None else rows.filter(F.col("batch_id") <= upto)).drop("bucket")
+
+    def of(self, touched: DataFrame, upto: int) -> DataFrame:
+        """Rows of the touched keys."""
+        wanted = touched.select(*self.keys).distinct().withColumn("bucket", self.bucket())
+        rows = self.spark.read.schema(self.schema).parquet(self.path).filter(F.col("batch_id") <= upto)
+        return rows.join(wanted, ["bucket", *self.keys], "left_semi").drop("bucket")
+
+    def batch(self, batch_id: int) -> DataFrame:
+        return self.read().filter(F.col("batch_id") == batch_id)
 
     def append(self, df: DataFrame, batch_id: int) -> None:
-        df.select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        df.select(*self.columns).withColumn("bucket", self.bucket()).write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self.path}/batch_id={batch_id}")
 
 
-def filing_alerts(filings: DataFrame, subscriptions: DataFrame, send: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def filing_alerts(filings: DataFrame, subscriptions: DataFrame, send: Callable[[DataFrame], DataFrame] | None = None,
+                  path: str | None = None) -> DataFrame:
     """Stream of filings to delivery outcomes: the newest filing of every fund goes once to
     each pending subscription. ``send`` gets the pending rows and returns them with a
-    ``status``; delivery is at least once, and rows recorded as sent never go again."""
+    ``status``; delivery is at least once, and rows recorded as sent never go again, also in
+    later runs under the same ``path``. A batch looks at the funds it has filings of, and at
+    those with a delivery that failed in the batch before."""
     spark = filings.sparkSession
-    seen = Log(spark, "filings-seen", "cik string, filing_date date, accession string")
-    log = Log(spark, "deliveries", "subscription_id string, accession string, status string")
+    path = path or shared_folder(spark, "filing-alerts")
+    seen = Log(spark, f"{path}/seen", "cik string, filing_date date, accession string", ["cik"])
+    log = Log(spark, f"{path}/deliveries", "cik string, subscription_id string, accession string, status string", ["cik"])
     send = send or (lambda pending: pending.withColumn("status", F.lit("sent")))
 
     def step(batch: DataFrame, batch_id: int) -> None:
         seen.append(batch, batch_id)
-        newest = seen.read(batch_id).groupBy("cik").agg(
+        failed = log.batch(batch_id - 1).filter("status = 'failed'")
+        touched = batch.select("cik").unionByName(failed.select("cik"))
+        newest = seen.of(touched, batch_id).groupBy("cik").agg(
             F.max(F.struct("filing_date", "accession")).alias("f")).select("cik", "f.accession")
-        pending = watch.pending_deliveries(subscriptions, log.read(batch_id - 1), newest)
+        pending = watch.pending_deliveries(subscriptions, log.of(touched, batch_id - 1), newest)
         log.append(send(pending), batch_id)
 
-    run_available(filings, "filing-alerts", step, "append")
-    return latest_state(log.read(), ["subscription_id", "accession"])
+    run_available(filings, "filing-alerts", step, "append", f"{path}/checkpoint")
+    return latest_state(log.read().drop("cik"), ["subscription_id", "accession"])
 
 
-def resolved_stream(filings: DataFrame, resolve: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+def resolved_stream(filings: DataFrame, resolve: Callable[[DataFrame], DataFrame], schema: str, path: str | None = None) -> DataFrame:
     """Resolved filing per fund and quarter, kept current as filings arrive, however late:
     only the quarters touched by a batch are decided again."""
     spark, key = filings.sparkSession, ["cik", "report_date"]
-    known = Log(spark, "known-filings", schema)
-    chosen = Log(spark, "resolved", schema)
+    path = path or shared_folder(spark, "resolved-filings")
+    known = Log(spark, f"{path}/known", schema, key)
+    chosen = Log(spark, f"{path}/resolved", schema, key)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         known.append(batch, batch_id)
-        stored = known.read(batch_id)
-        touched = stored.filter(F.col("batch_id") == batch_id).select(*key).distinct()
-        chosen.append(resolve(stored.drop("batch_id").join(touched, key, "left_semi")), batch_id)
+        chosen.append(resolve(known.of(batch, batch_id).drop("batch_id")), batch_id)
 
-    run_available(filings, "resolved-filings", step, "append")
+    run_available(filings, "resolved-filings", step, "append", f"{path}/checkpoint")
     return latest_state(chosen.read(), key)
 
 
@@ -203,20 +236,21 @@ ALERT_SCHEMA = ("key_id string, watchlist_id string, ticker string, action strin
                 "snapshot_id string, status string, first_seen_at timestamp, last_seen_at timestamp")
 
 
-def alert_stream(candidates: DataFrame) -> DataFrame:
+def alert_stream(candidates: DataFrame, path: str | None = None) -> DataFrame:
     """Stream of alert candidates to the alert table: first seen kept, the rest refreshed."""
-    alerts = Log(candidates.sparkSession, "alerts", ALERT_SCHEMA)
+    spark = candidates.sparkSession
+    path = path or shared_folder(spark, "alerts")
+    alerts = Log(spark, f"{path}/alerts", ALERT_SCHEMA, watch.ALERT_KEY)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        stored = latest_state(alerts.read(batch_id - 1), watch.ALERT_KEY)
-        touched = batch.select(*watch.ALERT_KEY).distinct()
-        alerts.append(watch.upsert_alerts(stored.join(touched, watch.ALERT_KEY, "left_semi"), batch), batch_id)
+        stored = latest_state(alerts.of(batch, batch_id - 1), watch.ALERT_KEY)
+        alerts.append(watch.upsert_alerts(stored, batch), batch_id)
 
-    run_available(candidates, "alerts", step, "append")
+    run_available(candidates, "alerts", step, "append", f"{path}/checkpoint")
     return latest_state(alerts.read(), watch.ALERT_KEY)
 
 
-def snapshot_run(schedule: DataFrame, flow: DataFrame, limit: int, now: Column) -> DataFrame:
+def snapshot_run(schedule: DataFrame, flow: DataFrame, limit: int | None, now: Column) -> DataFrame:
     """One automated run: due watchlists, their signals, one snapshot row each with the
     action counts. A watchlist without signals still gets its snapshot."""
     due = watch.due_watchlists(schedule, limit).select(
