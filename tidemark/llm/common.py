@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
-import re
-import shutil
 import tempfile
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_tidemark_sent", False):
         return
     root = os.path.dirname(os.path.abspath(tidemark.__file__))
-    folder = tempfile.mkdtemp(prefix="tidemark-package-")
-    path = os.path.join(folder, "tidemark_package.zip")
+    # The driver serves the file to the executors; only the driver reads this folder.
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-package-"), "tidemark_package.zip")
     with zipfile.ZipFile(path, "w") as archive:
         for here, _, names in os.walk(root):
             for name in names:
@@ -37,10 +38,25 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(here, name)
                     archive.write(full, os.path.join("tidemark", os.path.relpath(full, root)))
     context.addPyFile(path)
-    shutil.rmtree(folder, ignore_errors=True) if not context.master.startswith("local") else None
     context._tidemark_sent = True
 
 
+def tidy(function: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """For functions given to mapInArrow: when a task ends, memory that it has freed goes back to
+    the system. Worker processes live on between tasks, and several share an executor's memory."""
+
+    @functools.wraps(function)
+    def run(batches: Iterator[pa.RecordBatch], *args, **kwargs) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches, *args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def crc_of(column: str | Column) -> Column:
     """crc32 of an id's decimal text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit("")).cast("binary"))
@@ -48,19 +64,3 @@ def crc_of(column: str | Column) -> Column:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
-
-
-#: Bytes that part words: space and \x09 to \x0D, as bytes.split() does.
-SPACES = re.compile(rb"[\x20\x09-\x0d]+")
-
-
-def groups_by_size(items: Iterable[bytes | str], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive items of about `most` characters together; a longer item stands alone."""
-    start = size = stop = 0
-    for stop, item in enumerate(items):
-        if stop > start and size + len(item) > most:
-            yield start, stop
-            start, size = stop, 0
-        size += len(item)
-    if items:
-        yield start, stop + 1

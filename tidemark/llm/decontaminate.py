@@ -33,6 +33,8 @@ LEAST_WORDS = 5
 FOLDED = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint64)
 FACTOR = 0xA24BAED4963EE407
 FILTER_BITS = 22
+#: Characters hashed together; each takes some tens of bytes for a while.
+BATCH_CHARS = 2_000_000
 SCHEMA = "doc_id long, item_id long, start long, end long, distance long, item_words long"
 
 
@@ -230,10 +232,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         index = spark.sparkContext.broadcast(build_index([r["item_id"] for r in part], [r["text"] for r in part], sampling))
 
+        @common.tidy
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             known = index.value
             for batch in batches:
-                for first, texts in slices(batch.column(1).fill_null("")):
+                for first, texts in slices(batch.column(1).fill_null(""), BATCH_CHARS):
                     words, at = word_hashes(texts)
                     hits = list(matches(known, sampling, words, at, share))
                     if hits:

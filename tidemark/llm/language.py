@@ -244,6 +244,7 @@ def predicted(docs: DataFrame, field: Field) -> DataFrame:
     common.ship(spark)
     shared = spark.sparkContext.broadcast(field)  # 2 ** bits rows of one weight for each language
 
+    @common.tidy
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         names = np.array([*known.languages, UNKNOWN], object)

@@ -23,6 +23,8 @@ from tidemark.llm import common
 from tidemark.llm.tokenize import encoder, slices
 from tidemark.session import materialize, shared_folder
 
+#: Characters encoded together, and segments that a worker keeps; fewer than where tokenising stands alone.
+BATCH_CHARS, KEPT_SEGMENTS = 2_000_000, 250_000
 PIECES = "piece long, part long, doc_id long, start long, length long, doc_tokens long, bin long, rank long, ids binary"
 
 
@@ -169,11 +171,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, unit:
     `bin` is a piece's length in units, rounded up; `rank` counts pieces of a bin within `part`.
     """
 
+    @common.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, part = encoder(tokenizer, kind), TaskContext.get().partitionId()
+        tool, part = encoder(tokenizer, kind, KEPT_SEGMENTS), TaskContext.get().partitionId()
         seen, made = np.zeros(length // unit + 1, np.int64), 0
         for batch in batches:
-            for first, texts in slices(batch.column(1).fill_null("")):
+            for first, texts in slices(batch.column(1).fill_null(""), BATCH_CHARS):
                 flat, at = tool.ids(texts)
                 ids = np.insert(flat, at[1:], end_id).astype("<u4")
                 sizes = np.diff(at) + 1

@@ -111,6 +111,7 @@ def batch_pairs(texts: pa.Array, train: np.ndarray, classes: int) -> tuple[np.nd
 def count_pairs(docs: DataFrame, holds: int, out_of: int, buckets: int, classes: int) -> DataFrame:
     """Rows (bucket, batch, pairs) and, with a null bucket, (batch, tokens), in the shared folder."""
 
+    @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("pairs", pa.binary()), ("tokens", pa.binary())])
@@ -151,6 +152,7 @@ def merge_buckets(counted: DataFrame, classes: int) -> DataFrame:
         for batch, a, b in zip(batches, cuts, cuts[1:], strict=False):
             yield {"bucket": bucket, "batch": batch, "request": packed(np.diff(inverse[a:b], prepend=0).astype("<u4"))}
 
+    @common.tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("model", pa.binary()), ("request", pa.binary())])
         now, ids, parts = None, [], []
@@ -265,6 +267,7 @@ class Restaurants:
 def total(buckets: DataFrame, model: Model, before: list[Totals]) -> Totals:
     """Sums after as many sweeps as there are totals: a row per context, and one more."""
 
+    @common.tidy
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         customers, tables = np.zeros(model.classes + 1, np.int64), np.zeros(model.classes + 1, np.int64)
         rest = np.zeros(4, np.int64)
@@ -291,6 +294,7 @@ def answers(buckets: DataFrame, model: Model, totals: list[Totals]) -> DataFrame
     models = buckets.where("model is not null").select("bucket", "model")
     requests = buckets.where("request is not null").select("bucket", "batch", "request")
 
+    @common.tidy
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, logs, counts = None, None, None
         schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary())])
@@ -341,6 +345,7 @@ def score_texts(docs: DataFrame, holds: int, out_of: int, model: Model | None =
         totals.append(total(merged, model, list(totals)))
     tokens, known = totals[0].tokens, totals[0].known
 
+    @common.tidy
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, parts in zip(*batch.columns, strict=True):

@@ -57,6 +57,7 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id and fp of every document; a null text is an empty one."""
 
+    @common.tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words, seed) for x in batch.column(1)]
@@ -149,6 +150,7 @@ def too_long(key: int, chunk: int, members: np.ndarray) -> pa.RecordBatch:
 def similar_fingerprints(prints: DataFrame, max_bits: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the distinct values of fp that connect all pairs within max_bits."""
 
+    @common.tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp, chunks = np.empty(0, np.int64), np.empty(0, np.uint64), {}
 
@@ -187,6 +189,7 @@ def similar_fingerprints(prints: DataFrame, max_bits: int, block: int = BLOCK) -
         else:
             yield from closed(key, fp)
 
+    @common.tidy
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

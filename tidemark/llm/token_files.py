@@ -182,6 +182,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     after `file_tokens` ids.
     """
 
+    @common.tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, writer, done = encoder(tokenizer, kind), None, []
         for batch in batches:
@@ -213,6 +214,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     their sizes are summed in one window; the files themselves are read in parallel.
     """
 
+    @common.tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -29,7 +29,7 @@ KEPT_SEGMENTS = 800_000
 #: Characters that are split and looked up together.
 BATCH_CHARS = 8_000_000
 
-_open: dict[tuple[str, str], "Encoder"] = {}
+_open: dict[tuple[str, str, int], "Encoder"] = {}
 
 
 def byte_characters() -> dict[int, int]:
@@ -43,11 +43,11 @@ def byte_characters() -> dict[int, int]:
 class Encoder:
     """kind: "words" for a vocabulary that drops white space, "bytes" for one that keeps it."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, kept: int = KEPT_SEGMENTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = kind
+        self.kind, self.most = kind, kept
         self.alphabet = byte_characters()
         self.forget()
 
@@ -88,7 +88,7 @@ class Encoder:
         return [x.id for x in self.tokenizer.model.tokenize(piece.translate(self.alphabet))]
 
     def look_up(self, wanted: list[str]) -> np.ndarray:
-        if len(self.number) > KEPT_SEGMENTS:
+        if len(self.number) > self.most:
             self.forget()
         found = np.fromiter((self.number.get(x, -1) for x in wanted), np.int64, len(wanted))
         for i in np.flatnonzero(found < 0).tolist():
@@ -124,19 +124,18 @@ class Encoder:
         return flat, at
 
 
-def encoder(path: str, kind: str) -> Encoder:
-    """One encoder per worker process."""
-    if (path, kind) not in _open:
-        _open[path, kind] = Encoder(path, kind)
-    return _open[path, kind]
+def encoder(path: str, kind: str, kept: int = KEPT_SEGMENTS) -> Encoder:
+    """One encoder per worker process and size of cache."""
+    if (path, kind, kept) not in _open:
+        _open[path, kind, kept] = Encoder(path, kind, kept)
+    return _open[path, kind, kept]
 
 
 def slices(texts: pa.Array, most: int = BATCH_CHARS) -> Iterator[tuple[int, pa.Array]]:
     """The texts in order in parts of about `most` bytes, each with its first position."""
-    texts = texts.cast(pa.large_string())
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False) if len(texts) else np.empty(0, np.int64)
     part = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
-            yield a, texts.slice(a, b - a)
+            yield a, texts.slice(a, b - a).cast(pa.large_string())

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
-from tidemark.llm.decontaminate import word_hashes
+from tidemark.llm.decontaminate import BATCH_CHARS, word_hashes
 from tidemark.llm.tokenize import slices
 
 # Terms that name groups, in sets whose members can stand for each other.
@@ -154,7 +154,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, l1: float = 3e-5, counterfa
     return Classifier(chosen[keep], w[keep], float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, learns: Column, most_rows: int = 12_000, **how) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, learns: Column, most_rows: int = 8_000, **how) -> Classifier:
     """Fits on rows of docs for which `learns` holds and that have one label (toxic 0 or 1).
 
     The model is fitted on a bounded sample: about `most_rows` labelled rows, chosen by a hash of
@@ -168,9 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, most_rows: int = 1
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select("doc_id", common.text_of().alias("text")).join(known, "doc_id").select("doc_id", "text", "toxic")
 
+    @common.tidy
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
+            for first, texts in slices(batch.column(1), BATCH_CHARS):
                 flat, at = word_hashes(texts)
                 found = [np.unique(flat[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(found, pa.binary()), batch.column(2).slice(first, len(texts))], names=["doc_id", "words", "toxic"])
@@ -185,11 +186,12 @@ def scored(docs: DataFrame, classifier: Classifier) -> DataFrame:
     common.ship(spark)
     shared = spark.sparkContext.broadcast(classifier)  # at most the features of fit()
 
+    @common.tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         sieve = model.sieve()
         for batch in batches:
-            for first, texts in slices(batch.column(1).fill_null("")):
+            for first, texts in slices(batch.column(1).fill_null(""), BATCH_CHARS):
                 found = model.scores(*word_hashes(texts), sieve)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(found)], names=["doc_id", "score"])
 

@@ -112,6 +112,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 1000, block_
     records. An empty table gives an archive without blocks.
     """
 
+    @common.tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = name = index = index_name = None
         at = index_at = 0
@@ -184,6 +185,7 @@ def read_archive(archive: Archive) -> DataFrame:
     """Every record, through the directory and the index; tasks take blocks."""
     folder = archive.folder
 
+    @common.tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -222,6 +224,7 @@ def searcher(folder: str, rows: list[dict]):
     """rows: a slice of the directory in key order, so that last keys ascend as well."""
     first, last = [r["first_key"] for r in rows], [r["last_key"] for r in rows]
 
+    @common.tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key in batch.column(0).to_pylist():
