@@ -34,10 +34,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = simhash.near_duplicates(docs)
     kept = without(docs, groups.where("component_id != doc_id"))
-    repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "repeated")
-    marked = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left")
-    once = marked.where("_id is not null").drop("_id").dropDuplicates(["doc_id"])
-    return marked.where("_id is null").drop("_id").unionByName(once).select(*docs.columns)
+    repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__repeated_id")), "repeated")
+    marked = kept.join(repeated, F.col("doc_id") == F.col("__repeated_id"), "left")
+    once = marked.where("__repeated_id is not null").drop("__repeated_id").dropDuplicates(["doc_id"])
+    return marked.where("__repeated_id is null").drop("__repeated_id").unionByName(once).select(*docs.columns)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,9 +168,9 @@ def without_secrets(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.05)
     """
     key = F.xxhash64(common.text_of())
     found = find_secrets(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"), rate)
-    found = found.where(F.size("spans") > 0).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.key").alias("_key"), F.col("spans").alias("_spans"))
-    found = materialize(found.dropDuplicates(["_id", "_key"]), "found-secrets")
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
+    found = found.where(F.size("spans") > 0).select(F.col("doc_id.doc_id").alias("__found_id"), F.col("doc_id.key").alias("__found_key"), F.col("spans").alias("__found_spans"))
+    found = materialize(found.dropDuplicates(["__found_id", "__found_key"]), "found-secrets")
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__found_id")) & (key == F.col("__found_key")), "left")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(seen: Column, x: Column) -> Column:
@@ -179,7 +179,7 @@ def without_secrets(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.05)
         return F.struct(F.greatest(seen["at"], x["end"]).alias("at"), new.alias("text"))
 
     rest = lambda seen: F.concat(seen["text"], F.substring(F.col("text"), seen["at"] + 1, F.char_length("text")))
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", begin, step, rest))
+    clean = F.when(F.col("__found_spans").isNull(), F.col("text")).otherwise(F.aggregate("__found_spans", begin, step, rest))
     return joined.withColumn("text", clean).select(*docs.columns)
 
 
