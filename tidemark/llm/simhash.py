@@ -223,6 +223,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, words: int = 4, seed: in
     roots = connected_components(links.where("doc_a is not null and doc_b is not null"), "doc_a", "doc_b")
     # A component of several doc_ids may be reached through one doc_id under several fingerprints.
     named = least.join(roots, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("root", "least").alias("component_id"))
+    # Written, so that the join below stands alone in its stage and Spark can split a fingerprint of very many rows.
+    named = materialize(named, "components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
