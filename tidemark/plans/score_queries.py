@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from tidemark.functions import score as scoring
 from tidemark.functions import texts, values
 from tidemark.operators import insider, quality
-from tidemark.params import EXPORT_COLUMNS
+from tidemark.params import EXPORT_COLUMNS, FORM4_WINDOW_DAYS, PRECOMPUTE_WINDOWS
 from tidemark.plans import features as feat
 from tidemark.plans.driver_tables import Tables
 from tidemark.plans.filing_queries import money, ratio
@@ -124,13 +124,16 @@ def f10_quadrants(spark, sf):
                     scoring.rationale(F.col("quadrant")).alias("rationale"))
 
 
-def _latest_sides(t: Tables):
-    """Fund side of the signal quarter, and insider side at a date."""
+def _latest_sides(t: Tables, days: int = FORM4_WINDOW_DAYS):
+    """Fund side of the signal quarter, and insider side at a date: trades that can be seen then and
+    are at most ``days`` old, chosen before they are joined and folded."""
     m = t.moves()
     quarter = quality.signal_quarter(t.chain())
     signals = feat.institutional_signals(m).filter(F.col("report_date") == quarter.scalar()).drop("as_of")
     trades = t.trades()
-    points = trades.select("ticker").distinct().withColumn("as_of", F.lit(AS_OF).cast("date"))
+    as_of = F.lit(AS_OF).cast("date")
+    trades = trades.filter((F.col("transaction_date") >= F.date_sub(as_of, days)) & (F.col("filing_date") <= as_of))
+    points = trades.select("ticker").distinct().withColumn("as_of", as_of)
     return signals, trades, points
 
 
@@ -143,12 +146,11 @@ def j5_score_table(spark, sf):
 def p11_min_score_filter(spark, sf):
     """Score floor, kept inside 0..100 whatever is asked for."""
     signals, trades, points = _latest_sides(Tables(spark, sf))
-    activity = insider.insider_activity(trades, points).drop("as_of")
-    parts = [
-        feat.score_table(signals, activity, low).select(F.lit(str(low)).alias("floor"), "ticker", F.round("score", 6).alias("score"))
-        for low in (-5, 70, 900)
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    scored = feat.score_table(signals, insider.insider_activity(trades, points).drop("as_of"))
+    floors = F.explode(F.array(*[F.lit(str(low)) for low in (-5, 70, 900)]))
+    asked = scored.select(floors.alias("floor"), "ticker", "score")
+    kept = F.col("score") >= F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("floor").cast("double")))
+    return asked.filter(kept).select("floor", "ticker", F.round("score", 6).alias("score"))
 
 
 def l6_signals_by_score(spark, sf):
@@ -158,13 +160,13 @@ def l6_signals_by_score(spark, sf):
 
 
 def k11_score_windows(spark, sf):
-    signals, trades, _ = _latest_sides(Tables(spark, sf))
+    signals, trades, _ = _latest_sides(Tables(spark, sf), max(PRECOMPUTE_WINDOWS))
     out = feat.precompute_scores(signals, trades, F.lit(AS_OF).cast("date"))
     return out.select("window_days", "ticker", "quadrant", F.col("n_buyers").cast("long").alias("n_buyers"), *_scored_columns())
 
 
 def a12_score_kpis(spark, sf):
-    signals, trades, _ = _latest_sides(Tables(spark, sf))
+    signals, trades, _ = _latest_sides(Tables(spark, sf), max(PRECOMPUTE_WINDOWS))
     return feat.score_kpis(feat.precompute_scores(signals, trades, F.lit(AS_OF).cast("date")), "window_days")
 
 
