@@ -118,3 +118,15 @@ def test_issuer_mismatch_is_dropped_once(spark):
     expected = spark.createDataFrame([("XOM", "0000034088")], "ticker string, cik string")
     kept, dropped = insider.guard_issuers(parsed, expected)
     assert [r.accession for r in kept.collect()] == ["a"] and [r.accession for r in dropped.collect()] == ["b"]
+
+
+def test_a_trade_without_a_date_counts_as_old_as_the_window(spark):
+    who = "struct<name: string, role: string, is_c_suite: boolean>"
+    seen = spark.createDataFrame(
+        [("T", dt.date(2024, 6, 30), o, dt.date(2024, 6, 1), d, 1, 1, 0, 1.0, 100.0, 1.0, 0.0, 0.0, 0.0, ("a", (o, "CEO", True)), None, "I")
+         for o, d in (("dated", dt.date(2024, 6, 29)), ("undated", None), ("ahead", dt.date(2024, 7, 5)))],
+        "ticker string, as_of date, owner string, filing_date date, transaction_date date, n_rows bigint, n_buys bigint, n_sells bigint, buy_shares double, buy_value double, "
+        f"buy_weight double, buy_stake double, sell_shares double, sell_value double, first_buy struct<accession: string, who: {who}>, first_sell struct<accession: string, who: {who}>, issuer_name string")
+    got = {r.owner: r for r in insider.owner_activity(seen, 90).collect()}
+    assert {o: r.last_buy_age for o, r in got.items()} == {"dated": 1, "undated": 90, "ahead": 0}
+    assert got["undated"].recent_usd < got["dated"].recent_usd
