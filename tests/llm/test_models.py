@@ -50,6 +50,20 @@ def test_table_counts_follow_the_exact_distribution():
     assert big[:2].tolist() == [0, 1] and big[2] < 10 and big[3] > 4990
 
 
+def test_many_customers_follow_the_same_distribution():
+    n, rng = 4000, np.random.default_rng(3)
+    for discount, customers, weight in ((0.8, 65, 5.0), (0.8, 200, 50.0), (0.8, 2000, 0.5), (0.8, 2000, 5.0), (0.8, 2000, 50.0), (0.8, 2000, 2000.0), (0.7, 1000, 3.0)):
+        table = pitman_yor.log_stirling(customers, discount)
+        t = np.arange(1, customers + 1)
+        logs = table[customers, 1:] + t * np.log(weight)
+        chance = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        mean = (chance * t).sum()
+        spread = math.sqrt((chance * t * t).sum() - mean**2)
+        got = pitman_yor.draw_tables(np.full(n, customers), np.full(n, weight), discount, table[: pitman_yor.EXACT + 1, : pitman_yor.EXACT + 1], rng)
+        assert got.mean() == pytest.approx(mean, abs=5 * spread / math.sqrt(n))
+        assert got.std() == pytest.approx(spread, rel=0.08)
+
+
 def test_base_scores_match_brute_force_and_the_model_is_better(spark):
     pick = random.Random(7)
     nouns, verbs = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]

@@ -39,9 +39,10 @@ from tidemark.session import materialize
 
 #: Stands for the end of a text among the hashes of words.
 END = xxh64_intdigest(b"\x00end of text")
-#: Up to so many customers, tables are drawn from the exact distribution at once; beyond, the rest
-#: of the customers come in groups of a sixteenth of those seated.
+#: Up to so many customers, Stirling numbers come from a table; beyond, from contour integrals.
 EXACT = 64
+#: Nodes of a contour above the real axis, Metropolis steps of a draw, and draws made together.
+NODES, MOVES, AT_ONCE = 24, 16, 10_000
 BATCH_CHARS = 12_000_000
 
 
@@ -187,11 +188,82 @@ def log_stirling(most: int, discount: float) -> np.ndarray:
     return out
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function of positive numbers, by Stirling's series above 8."""
+    low = np.zeros(np.shape(x))
+    x = np.asarray(x, float) + 0.0
+    for _ in range(8):
+        small = x < 8
+        low -= np.where(small, np.log(np.where(small, x, 1.0)), 0.0)
+        x = x + small
+    y = 1 / (x * x)
+    return low + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
+
+
+def draw_many(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables by the same distribution as below EXACT, S(customers, t) * weight ** t, for any customers.
+
+    S(n, t) is n! / (t! d^t) times the coefficient of x^n in (1 - (1 - x)^d)^t, so t is Poisson with
+    mean weight / d, given that t draws of the power series sum to n. The coefficient is a contour
+    integral through the saddle point: a circle round 0, or a parabola round the cut from 1 on where
+    the saddle is close to the cut; the trapezoid rule is as good as exact on either. Metropolis steps
+    with independent binomial proposals, MOVES of them, do the draw.
+    """
+    n, d, rate = customers.astype(float), discount, weight / discount
+    low, high = np.full(len(n), -1500.0), np.full(len(n), 1500.0)
+    for _ in range(64):  # the saddle x = 1 - z, by its logit: n = weight * x * z ** (d - 1)
+        v = (low + high) / 2
+        less = np.log(weight) - np.logaddexp(0, -v) + (1 - d) * np.logaddexp(0, v) < np.log(n)
+        low, high = np.where(less, v, low), np.where(less, high, v)
+    x, log_z = np.exp(-np.logaddexp(0, -low)), -np.logaddexp(0, low)
+    mean = np.minimum(-np.expm1(d * log_z) * rate, n)
+    z = np.maximum(np.exp(log_z), 2 / n)
+    circle = z >= 0.25
+    at = np.arange(NODES + 1)
+
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        f, slope, bend = -np.expm1(d * log_z), d * np.exp((d - 1) * log_z) * x, d * (1 - d) * np.exp((d - 2) * log_z) * x * x
+        spread = mean * ((slope + bend) / f - (slope / f) ** 2)
+        turn = np.minimum(np.pi / NODES, 0.5 / np.sqrt(np.maximum(spread, 1e-9)))[:, None] * at
+        round0 = np.log(x)[:, None] + 1j * turn
+        on_circle = np.log(-np.expm1(d * np.log1p(-np.exp(round0)))), -n[:, None] * round0
+
+        zd, z0 = z**d, np.minimum(z, 0.25)
+        g1 = (n + 1) / (1 - z0) - d * mean * zd / z0 / (1 - zd)
+        g2 = (n + 1) / (1 - z0) ** 2 + d * mean * zd / z0**2 * ((1 - d) * (1 - zd) - d * zd) / (1 - zd) ** 2
+        spread = np.maximum(4 * z0 * z0 * g2 + 2 * z0 * g1, 1.0)
+        u = 1 + 1j * np.minimum(0.28, 0.5 / np.sqrt(spread))[:, None] * at
+        log_cut = np.log(z0)[:, None] + 2 * np.log(u)
+        on_cut = np.log1p(-np.exp(d * log_cut)), np.log(u) - (n + 1)[:, None] * np.log1p(-np.exp(log_cut))
+    per_table, rest = (np.where(circle[:, None], a, b) for a, b in zip(on_circle, on_cut, strict=True))
+    half = np.where((at == 0) | (at == NODES), 0.5, 1.0)
+
+    chance = np.clip(mean / n, 1e-300, 1 - 1e-16)
+
+    def propose() -> tuple[np.ndarray, np.ndarray]:
+        t = 1 + rng.binomial(customers - 1, chance)
+        logs = t[:, None] * per_table + rest
+        top = logs[:, :1].real
+        sums = (np.exp(logs - top) * half).real.sum(axis=1)
+        with np.errstate(divide="ignore"):
+            target = np.log(np.maximum(sums, 0)) + top[:, 0] + t * np.log(rate) - log_gamma(t + 1)
+        own = -log_gamma(t) - log_gamma(n - t + 1) + (t - 1) * np.log(chance) + (n - t) * np.log1p(-chance)
+        return t, target - own
+
+    tables, score = propose()
+    for _ in range(MOVES):
+        t, new = propose()
+        with np.errstate(invalid="ignore"):
+            take = (np.log(rng.random(len(n))) < new - score) | np.isneginf(score)
+        tables, score = np.where(take, t, tables), np.where(take, new, score)
+    return tables
+
+
 def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Tables of one dish in each restaurant, given its customers and the weight of a new table."""
     tables = np.minimum(customers, 1).astype(np.int64)
-    some = np.flatnonzero(customers > 1)
-    first = np.minimum(customers[some], EXACT)
+    some = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    first = customers[some]
     order = np.argsort(first, kind="stable")
     some, first = some[order], first[order]
     cuts = np.searchsorted(first, np.arange(EXACT + 2))
@@ -201,15 +273,10 @@ def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, stir
             logs = stirling[c, 1 : c + 1] + np.log(weight[rows])[:, None] * np.arange(1, c + 1)
             chance = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
             tables[rows] = 1 + (chance < (rng.random(len(rows)) * chance[:, -1])[:, None]).sum(axis=1)
-    rows = some[customers[some] > EXACT]
-    seated = np.full(len(rows), EXACT, np.int64)
-    while len(rows):
-        group = np.minimum(seated // 16, customers[rows].astype(np.int64) - seated)
-        chance = weight[rows] / (weight[rows] + seated - discount * tables[rows])
-        tables[rows] += rng.binomial(group, np.minimum(chance, 1.0))
-        seated += group
-        going = seated < customers[rows]
-        rows, seated = rows[going], seated[going]
+    many = np.flatnonzero(customers > EXACT)
+    for rows in np.split(many, range(AT_ONCE, len(many), AT_ONCE)):
+        if len(rows):
+            tables[rows] = draw_many(customers[rows].astype(np.int64), weight[rows], discount, rng)
     return tables
 
 
