@@ -89,6 +89,42 @@ def test_base_scores_match_brute_force_and_the_model_is_better(spark):
     assert {r.train_tokens for r in pitman_yor.score_texts(docs, 0, 1).collect()} == {0}
 
 
+def test_slices_of_texts_count_as_whole_texts():
+    texts = pa.array(["First é text " * 9, "SECOND Text", "a B", "Text ü first"])
+    part = texts.slice(1, 3).cast(pa.large_string())
+    for a, b in zip(pitman_yor.batch_pairs(part, np.ones(3), None), pitman_yor.batch_pairs(pa.array(part.to_pylist(), pa.large_string()), np.ones(3), None), strict=True):
+        assert a.tolist() == b.tolist()
+    assert len(pitman_yor.batch_pairs(part, np.ones(3), None)[0]) == len({"second", "text", "a", "b", "ü", "first", None})
+
+
+def test_every_word_is_a_context_of_its_own(spark):
+    pick, n = random.Random(9), 3000
+    after = [pick.sample(range(n), 1)[0] for _ in range(n)]
+
+    def walk(k):
+        at, out = pick.randrange(n), []
+        for _ in range(k):
+            out.append(f"w{at}")
+            at = after[at] if pick.random() < 0.9 else pick.randrange(n)
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, walk(120)) for i in range(1500)], "doc_id long, text string").repartition(3)
+
+    def bits(model):
+        rows = pitman_yor.score_texts(docs, 2, 7, model, buckets=3).where("held_out").collect()
+        return -sum(r.score for r in rows) / sum(r.n_tokens for r in rows)
+
+    # a tenth of the words is free, the others follow from the word before; a class mixes a dozen words
+    assert pitman_yor.Model().classes is None
+    assert bits(None) < 0.8 < 1.0 < bits(pitman_yor.Model(classes=256))
+
+
+def test_draws_repeat(spark):
+    docs = spark.range(200).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 80), i -> concat('w', cast((id * i) % 13 as string)))) as text")
+    a, b = (sorted(map(tuple, pitman_yor.score_texts(docs, 2, 7, buckets=3).collect())) for _ in range(2))
+    assert a == b
+
+
 def test_probabilities_of_a_context_sum_to_one():
     texts = pa.array(["a b a c a b", "b a", "c a b b"], pa.large_string())
     words, per_word, context, counts, _, _ = pitman_yor.batch_pairs(texts, np.ones(3), 4)

@@ -3,19 +3,22 @@
 A word's probability in a context comes from a restaurant whose customers are the word's training
 tokens after that context; each table that they open sends a customer to the parent restaurant,
 which all contexts share, and whose own tables draw from a uniform base over the known words and one
-unknown. A context is the hash class of the word before, so there is a bounded number of
-restaurants, whatever the vocabulary.
+unknown. A context is the word before, by its 64-bit hash, or the start of a text; there are as many
+restaurants as the corpus has words.
 
 Given the parent's probabilities, the tables of one word in one restaurant are independent of other
 words, so Gibbs sampling runs word by word: a sweep draws every restaurant's number of tables from
 its exact conditional distribution (generalised Stirling numbers), then the parent's. What words
-share are totals per context, a small vector that Spark sums between sweeps. Draws are seeded by
-sweep and bucket: a task repeats earlier sweeps from their totals instead of storing their seats,
-and gives the same result after a lost executor. Predictive probabilities are averaged over sweeps.
+share are customers and tables per context. After each sweep a bucket sends those of its own words,
+by ranges of the context's hash; a range adds up what the buckets sent and tells each bucket the sums
+of the contexts it asked for. A context of any frequency is one entry per bucket there, so a hot one
+needs no salt, and the driver only sees four sums over the corpus. Seats are written after every
+sweep, and draws are seeded by sweep and bucket, so a repeated task gives the same result. Predictive
+probabilities are averaged over sweeps.
 
 Data move as follows. Each task counts the distinct (word, context) pairs of a batch of documents
 and sends the counts to buckets by ranges of the word's hash; a word of any frequency sends at most
-one row per context and batch. A bucket answers each batch with the pairs' probabilities and the
+one entry per context and batch. A bucket answers each batch with the pairs' probabilities and the
 words' counts, and the batch adds them up by document.
 """
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -70,25 +74,27 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Discounts and strengths of the context restaurants and of their parent; number of context
-    classes (the start of a text is one more); sweeps, and how many of them at the end are averaged."""
+    """Discounts and strengths of the context restaurants and of their parent; sweeps, and how many
+    of them at the end are averaged. Contexts are words; a caller may have that many hash classes of
+    them instead (the start of a text is one more)."""
 
     discount: float = 0.8
     strength: float = 1.0
     parent_discount: float = 0.7
     parent_strength: float = 10.0
-    classes: int = 256
+    classes: int | None = None
     sweeps: int = 4
     averaged: int = 2
     seed: int = 11
 
 
-def batch_pairs(texts: pa.Array, train: np.ndarray, classes: int) -> tuple[np.ndarray, ...]:
-    """For a batch of texts: words' hashes (ascending), pairs per word, pairs' contexts and training
-    counts; then tokens per text and, by text and in ascending order, the tokens' pairs."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+def batch_pairs(texts: pa.Array, train: np.ndarray, classes: int | None) -> tuple[np.ndarray, ...]:
+    """For a batch of texts: words' hashes (ascending), pairs per word, pairs' contexts (the hash of the
+    word before, END's for the first; or classes) and training counts; then tokens per text and, by text and in ascending order, the tokens' pairs."""
+    parts = pc.ascii_split_whitespace(texts)
     words = parts.flatten().dictionary_encode()
-    hashes = np.fromiter(map(xxh64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    # Words are lowered, not texts: ascii_lower breaks the offsets of a slice that was cast.
+    hashes = np.fromiter(map(xxh64_intdigest, pc.ascii_lower(words.dictionary).to_pylist()), np.uint64, len(words.dictionary))
     hashes = np.append(hashes, np.uint64(END))
     which = words.indices.to_numpy()
     full = pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False)[which] > 0 if len(which) else np.empty(0, bool)
@@ -98,18 +104,27 @@ def batch_pairs(texts: pa.Array, train: np.ndarray, classes: int) -> tuple[np.nd
     first = np.cumsum(sizes) - sizes
     distinct, rank = np.unique(hashes, return_inverse=True)
     rank = rank[token]
-    context = np.empty(len(token), np.int64)
-    context[1:] = (distinct[rank[:-1]] >> np.uint64(20)) % np.uint64(classes)
-    context[first] = classes
-    pairs, inverse = np.unique(rank * (classes + 1) + context, return_inverse=True)
+    context, names = np.empty(len(token), np.int64), distinct
+    context[1:] = rank[:-1]
+    if classes is not None:
+        names = np.arange(classes + 1, dtype=np.uint64)
+        context[1:] = (distinct[rank[:-1]] >> np.uint64(20)) % np.uint64(classes)
+    context[first] = np.searchsorted(distinct, np.uint64(END)) if classes is None else classes
+    pairs, inverse = np.unique(rank * len(names) + context, return_inverse=True)
     count = np.bincount(inverse, weights=np.repeat(train, sizes), minlength=len(pairs)).astype("<u8")
-    used, per_word = np.unique(pairs // (classes + 1), return_counts=True)
+    used, per_word = np.unique(pairs // len(names), return_counts=True)
     text = np.repeat(np.arange(len(sizes)), sizes)
     ordered = np.sort(text * len(pairs) + inverse) - text * len(pairs)
-    return distinct[used], per_word.astype("<u4"), (pairs % (classes + 1)).astype("<u2"), count, sizes.astype("<u4"), ordered.astype("<u4")
+    return distinct[used], per_word.astype("<u4"), names[pairs % len(names)], count, sizes.astype("<u4"), ordered.astype("<u4")
 
 
-def count_pairs(docs: DataFrame, holds: int, out_of: int, buckets: int, classes: int) -> DataFrame:
+def range_edges(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of equal ranges of ascending hashes begins, with the end."""
+    cuts = (np.arange(1, ranges) * (2**64 // ranges)).astype(np.uint64) if ranges > 1 else np.empty(0, np.uint64)
+    return np.concatenate([[0], np.searchsorted(hashes, cuts), [len(hashes)]])
+
+
+def count_pairs(docs: DataFrame, holds: int, out_of: int, buckets: int, classes: int | None) -> DataFrame:
     """Rows (bucket, batch, pairs) and, with a null bucket, (batch, tokens), in the shared folder."""
 
     @common.tidy
@@ -121,13 +136,13 @@ def count_pairs(docs: DataFrame, holds: int, out_of: int, buckets: int, classes:
                 doc_ids, crc = batch.column(0).slice(start, len(texts)), batch.column(2).slice(start, len(texts)).to_numpy()
                 held = crc % out_of == holds
                 words, per_word, context, counts, sizes, tokens = batch_pairs(texts, (~held).astype(float), classes)
-                edge = np.searchsorted(words, (np.arange(1, buckets) * (2**64 // buckets)).astype(np.uint64)) if buckets > 1 else np.empty(0, int)
-                edge = np.concatenate([[0], edge, [len(words)]])
+                edge = range_edges(words, buckets)
                 place = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])[edge]
                 for b in range(buckets):
                     w, p = slice(edge[b], edge[b + 1]), slice(place[b], place[b + 1])
                     if edge[b] < edge[b + 1]:
-                        data = packed(words[w], per_word[w], context[p], counts[p])
+                        names, which = np.unique(context[p], return_inverse=True)
+                        data = packed(words[w], per_word[w], names, which.astype("<u4"), counts[p])
                         yield pa.RecordBatch.from_pylist([{"bucket": b, "batch": number, "pairs": data}], schema)
                 step = np.diff(tokens, prepend=np.uint32(0))  # wraps round where a text begins, and back
                 data = packed(doc_ids.fill_null(0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False).view(np.uint8), held.view(np.uint8), sizes, step)
@@ -138,18 +153,21 @@ def count_pairs(docs: DataFrame, holds: int, out_of: int, buckets: int, classes:
     return materialize(rows.mapInArrow(count, "bucket int, batch long, pairs binary, tokens binary"), "pitman-yor-pairs")
 
 
-def merge_buckets(counted: DataFrame, classes: int) -> DataFrame:
+def merge_buckets(counted: DataFrame) -> DataFrame:
     """A row per bucket with its restaurants (model), and for each batch which pairs it asks for (request)."""
 
     def merged(bucket: int, batches: list[int], parts: list[list[np.ndarray]]) -> Iterator[dict]:
         words, rank = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         rank = np.repeat(rank, np.concatenate([p[1] for p in parts]))
-        pairs, inverse = np.unique(rank * (classes + 1) + np.concatenate([p[2] for p in parts]).astype(np.int64), return_inverse=True)
+        names, context = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        begin = np.cumsum([0, *(len(p[2]) for p in parts)])
+        context = context[np.concatenate([p[3] + a for p, a in zip(parts, begin, strict=False)])]
+        pairs, inverse = np.unique(rank * len(names) + context, return_inverse=True)
         counts = np.zeros(len(pairs), np.uint64)
-        np.add.at(counts, inverse, np.concatenate([p[3] for p in parts]))
-        per_word = np.bincount(pairs // (classes + 1), minlength=len(words)).astype("<u4")
-        yield {"bucket": bucket, "model": packed(per_word, (pairs % (classes + 1)).astype("<u2"), counts)}
-        cuts = np.cumsum([0, *(len(p[2]) for p in parts)])
+        np.add.at(counts, inverse, np.concatenate([p[4] for p in parts]))
+        per_word = np.bincount(pairs // len(names), minlength=len(words)).astype("<u4")
+        yield {"bucket": bucket, "model": packed(per_word, (pairs % len(names)).astype("<u4"), counts, names)}
+        cuts = np.cumsum([0, *(len(p[3]) for p in parts)])
         for batch, a, b in zip(batches, cuts, cuts[1:], strict=False):
             yield {"bucket": bucket, "batch": batch, "request": packed(np.diff(inverse[a:b], prepend=0).astype("<u4"))}
 
@@ -282,8 +300,8 @@ def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, stir
 
 @dataclass(frozen=True)
 class Totals:
-    """Sums over all words: customers and tables by context; customers and tables of the parent;
-    training tokens and known words."""
+    """Sums over all words: customers and tables by context, for the contexts of one bucket; customers
+    and tables of the parent; training tokens and known words."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -294,20 +312,27 @@ class Totals:
 
 
 class Restaurants:
-    """One bucket's seats."""
+    """One bucket's seats. `names` are the hashes of its contexts, ascending, `mean` the sum of the
+    predictive probabilities to be averaged."""
 
     def __init__(self, data: bytes, bucket: int, model: Model):
-        per_word, context, counts = unpacked(data)
+        per_word, context, counts, *rest = unpacked(data)
+        self.names, self.per_word = rest[0] if rest else np.empty(0, np.uint64), per_word
         self.model, self.bucket = model, bucket
         self.word = np.repeat(np.arange(len(per_word)), per_word)
         self.begin = np.cumsum(per_word, dtype=np.int64) - per_word
         self.context, self.counts = context.astype(np.int64), counts.astype(np.int64)
         self.word_counts = np.add.reduceat(self.counts, self.begin) if len(self.begin) else np.empty(0, np.int64)
-        self.tables = np.minimum(self.counts, 1)  # one table each, before the first sweep
+        self.tables = rest[1].astype(np.int64) if len(rest) > 1 else np.minimum(self.counts, 1)  # one table each, before the first sweep
         self.up()
-        self.parent_tables = np.minimum(self.parent_customers, 1)
+        self.parent_tables = rest[2].astype(np.int64) if len(rest) > 1 else np.minimum(self.parent_customers, 1)
+        self.mean = rest[3] if len(rest) > 3 else np.zeros(0)
         self.stirling = log_stirling(EXACT, model.discount), log_stirling(EXACT, model.parent_discount)
 
+    def packed(self) -> bytes:
+        more = (self.mean.astype("<f8"),) if len(self.mean) else ()
+        return packed(self.per_word, self.context.astype("<u4"), self.counts.astype("<u8"), self.names, self.tables.astype("<u8"), self.parent_tables.astype("<u8"), *more)
+
     def up(self) -> None:
         self.parent_customers = np.add.reduceat(self.tables, self.begin) if len(self.begin) else np.empty(0, np.int64)
 
@@ -321,6 +346,11 @@ class Restaurants:
         new = (m.strength + m.discount * totals.tables)[self.context] * self.parent(totals)[self.word]
         return (self.counts - m.discount * self.tables + new) / (m.strength + totals.customers)[self.context]
 
+    def collect_mean(self, turn: int, totals: Totals) -> None:
+        """Adds the state after `turn` sweeps to the mean, if it is one of the last."""
+        if turn > self.model.sweeps - self.model.averaged:
+            self.mean = self.predictive(totals) / self.model.averaged + (self.mean if len(self.mean) else 0.0)
+
     def sweep(self, turn: int, totals: Totals) -> None:
         """New seats, given the totals that the sweep before has left."""
         m, rng = self.model, np.random.default_rng([self.model.seed, turn, self.bucket])
@@ -331,60 +361,129 @@ class Restaurants:
         self.parent_tables = draw_tables(self.parent_customers, new, m.parent_discount, self.stirling[1], rng)
 
 
-def total(buckets: DataFrame, model: Model, before: list[Totals]) -> Totals:
-    """Sums after as many sweeps as there are totals: a row per context, and one more."""
+SEATS = "bucket int, part int, data binary, parent_customers long, parent_tables long, tokens long, known long"
+
+
+def seats_rows(seats: Restaurants, ranges: int) -> Iterator[pa.RecordBatch]:
+    """A bucket's seats, with its sums over words (part null), and for each range of contexts what the
+    bucket has of them: hashes, customers and tables."""
+    schema = pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in SEATS.split(", ")])
+    yield pa.RecordBatch.from_pylist([{
+        "bucket": seats.bucket, "data": seats.packed(), "parent_customers": int(seats.parent_customers.sum()), "parent_tables": int(seats.parent_tables.sum()),
+        "tokens": int(seats.counts.sum()), "known": int((seats.word_counts > 0).sum())}], schema)
+    customers, tables = np.zeros(len(seats.names), np.int64), np.zeros(len(seats.names), np.int64)
+    np.add.at(customers, seats.context, seats.counts)
+    np.add.at(tables, seats.context, seats.tables)
+    edge = range_edges(seats.names, ranges)
+    for part, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
+        if a < b:
+            yield pa.RecordBatch.from_pylist([{"bucket": seats.bucket, "part": part, "data": packed(seats.names[a:b], customers[a:b], tables[a:b])}], schema)
+
+
+def context_sums(seats: DataFrame) -> DataFrame:
+    """(bucket, part, data): customers and tables of the contexts that a bucket asked a range for, over all buckets."""
+
+    def replies(part: int, asked: list[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        names, which = np.unique(np.concatenate([x[0] for _, x in asked]), return_inverse=True)
+        customers, tables = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        np.add.at(customers, which, np.concatenate([x[1] for _, x in asked]))
+        np.add.at(tables, which, np.concatenate([x[2] for _, x in asked]))
+        cuts = np.cumsum([0, *(len(x[0]) for _, x in asked)])
+        schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
+        for (bucket, _), a, b in zip(asked, cuts, cuts[1:], strict=False):
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "part": part, "data": packed(customers[which[a:b]], tables[which[a:b]])}], schema)
+
+    @common.tidy
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked = None, []
+        for batch in batches:
+            for bucket, part, data in zip(*batch.columns, strict=True):
+                if part.as_py() != now and asked:
+                    yield from replies(now, asked)
+                    asked = []
+                now = part.as_py()
+                asked.append((bucket.as_py(), unpacked(data.as_py())))
+        if asked:
+            yield from replies(now, asked)
+
+    n = int(seats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = seats.where("part is not null").select("bucket", "part", "data")
+    return rows.repartitionByRange(n, "part").sortWithinPartitions("part", "bucket").mapInArrow(add, "bucket int, part int, data binary")
+
+
+def seated(merged: DataFrame, model: Model, ranges: int) -> DataFrame:
+    """SEATS before the first sweep."""
 
     @common.tidy
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        customers, tables = np.zeros(model.classes + 1, np.int64), np.zeros(model.classes + 1, np.int64)
-        rest = np.zeros(4, np.int64)
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, data in zip(*batch.columns, strict=True):
-                seats = Restaurants(data.as_py(), bucket.as_py(), model)
-                for turn, totals in enumerate(before):
-                    seats.sweep(turn, totals)
-                np.add.at(customers, seats.context, seats.counts)
-                np.add.at(tables, seats.context, seats.tables)
-                rest += [seats.parent_customers.sum(), seats.parent_tables.sum(), seats.counts.sum(), (seats.word_counts > 0).sum()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*range(model.classes + 1), -1, -2]), pa.array([*customers, rest[0], rest[2]], pa.int64()), pa.array([*tables, rest[1], rest[3]], pa.int64())],
-            names=["context", "customers", "tables"])
-
-    rows = buckets.where("model is not null").select("bucket", "model").mapInArrow(sums, "context long, customers long, tables long")
-    got = {r["context"]: (int(r["c"]), int(r["t"])) for r in rows.groupBy("context").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()}
-    by = [got.get(k, (0, 0)) for k in range(model.classes + 1)]
-    return Totals(np.array([c for c, _ in by]), np.array([t for _, t in by]), *got.get(-1, (0, 0)), *got.get(-2, (0, 0)))
-
-
-def answers(buckets: DataFrame, model: Model, totals: list[Totals]) -> DataFrame:
+                yield from seats_rows(Restaurants(data.as_py(), bucket.as_py(), model), ranges)
+
+    return materialize(merged.where("model is not null").select("bucket", "model").mapInArrow(begin, SEATS), "pitman-yor-seats")
+
+
+def corpus_sums(seats: DataFrame) -> tuple[int, int, int, int]:
+    row = seats.where("part is null").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("parent_customers", "parent_tables", "tokens", "known"))).first()
+    return tuple(int(x) for x in row)
+
+
+def with_sums(seats: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """(bucket, part, batch, data), a bucket's rows together: its seats, the sums of its contexts, and requests."""
+    none = F.lit(None).cast("long").alias("batch")
+    both = seats.where("part is null").select("bucket", "part", none, "data").unionByName(context_sums(seats).select("bucket", "part", none, "data"))
+    if requests is not None:
+        both = both.unionByName(requests.select("bucket", F.lit(2**31 - 1).alias("part"), "batch", F.col("request").alias("data")))
+    n = int(seats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartitionByRange(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("part"), "batch")
+
+
+def read_seats(batches: Iterator[pa.RecordBatch], model: Model, sums: tuple[int, int, int, int]) -> Iterator[tuple[Restaurants, Totals, Iterator[tuple[int, bytes]]]]:
+    """Each bucket of with_sums: its seats, the totals, and its requests as (batch, data)."""
+    rows = ((b.as_py(), p.as_py(), n.as_py(), d.as_py()) for batch in batches for b, p, n, d in zip(*batch.columns, strict=True))
+    for bucket, own in groupby(rows, key=lambda r: r[0]):
+        seats, row = Restaurants(next(own)[3], bucket, model), None
+        parts: list[list[np.ndarray]] = []
+        for row in own:
+            if row[2] is not None:
+                break
+            parts.append(unpacked(row[3]))
+        customers, tables = (np.concatenate(x) for x in zip(*parts, strict=True))
+        assert len(customers) == len(seats.names)
+        asked = ((r[2], r[3]) for r in chain([row], own)) if row and row[2] is not None else iter(())
+        yield seats, Totals(customers, tables, *sums), asked
+
+
+def swept(seats: DataFrame, model: Model, turn: int, ranges: int) -> DataFrame:
+    """SEATS after one more sweep; the state before it counts for the mean if it is one of the last."""
+    sums = corpus_sums(seats)
+
+    @common.tidy
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, totals, _ in read_seats(batches, model, sums):
+            own.collect_mean(turn, totals)
+            own.sweep(turn, totals)
+            yield from seats_rows(own, ranges)
+
+    return materialize(with_sums(seats).mapInArrow(sweep, SEATS), "pitman-yor-seats")
+
+
+def answers(seats: DataFrame, merged: DataFrame, model: Model) -> DataFrame:
     """(batch, bucket, answer): log10 probability of each pair asked for, and the word's training count."""
-    models = buckets.where("model is not null").select("bucket", "model")
-    requests = buckets.where("request is not null").select("bucket", "batch", "request")
+    sums = corpus_sums(seats)
 
     @common.tidy
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, logs, counts = None, None, None
         schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary())])
-        for batch in batches:
-            for bucket, number, data in zip(*batch.columns, strict=True):
-                if number.as_py() is None:
-                    now = bucket.as_py()
-                    seats = Restaurants(data.as_py(), now, model)
-                    mean = np.zeros(len(seats.counts))
-                    for turn in range(model.sweeps):
-                        seats.sweep(turn, totals[turn])
-                        if turn >= model.sweeps - model.averaged:
-                            mean += seats.predictive(totals[turn + 1]) / model.averaged
-                    logs, counts = np.log10(mean).astype("<f4"), seats.word_counts[seats.word].astype("<u8")
-                else:
-                    assert bucket.as_py() == now
-                    at = np.cumsum(unpacked(data.as_py())[0], dtype=np.uint32)
-                    yield pa.RecordBatch.from_pylist([{"batch": number.as_py(), "bucket": now, "answer": packed(logs[at], counts[at])}], schema)
-
-    both = models.select("bucket", F.lit(None).cast("long").alias("batch"), F.col("model").alias("data")).unionByName(requests.withColumnRenamed("request", "data"))
-    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A bucket's model, with a null batch, comes before its requests.
-    return both.repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(answer, "batch long, bucket int, answer binary")
+        for own, totals, asked in read_seats(batches, model, sums):
+            own.collect_mean(model.sweeps, totals)
+            logs, counts = np.log10(own.mean).astype("<f4"), own.word_counts[own.word].astype("<u8")
+            for number, data in asked:
+                at = np.cumsum(unpacked(data)[0], dtype=np.uint32)
+                yield pa.RecordBatch.from_pylist([{"batch": number, "bucket": own.bucket, "answer": packed(logs[at], counts[at])}], schema)
+
+    requests = merged.where("request is not null").select("bucket", "batch", "request")
+    return with_sums(seats, requests).mapInArrow(answer, "batch long, bucket int, answer binary")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -400,17 +499,17 @@ def score_texts(docs: DataFrame, holds: int, out_of: int, model: Model | None =
     training texts all probability is the unknown word's. An empty table gives no rows.
 
     buckets (default: the session's shuffle partitions) should keep corpus / buckets within a task's
-    memory. Words are told apart by 64-bit hashes.
+    memory; contexts are dealt to as many ranges. Words are told apart by 64-bit hashes.
     """
     spark, model = docs.sparkSession, model or Model()
     common.ship(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = count_pairs(docs, holds, out_of, buckets, model.classes)
-    merged = merge_buckets(counted, model.classes)
-    totals: list[Totals] = []
-    for _ in range(model.sweeps + 1):
-        totals.append(total(merged, model, list(totals)))
-    tokens, known = totals[0].tokens, totals[0].known
+    merged = merge_buckets(counted)
+    seats = seated(merged, model, buckets)
+    _, _, tokens, known = corpus_sums(seats)
+    for turn in range(model.sweeps):
+        seats = swept(seats, model, turn, buckets)
 
     @common.tidy
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +529,7 @@ def score_texts(docs: DataFrame, holds: int, out_of: int, model: Model | None =
                      pa.array(base), pa.array(score), pa.array(10 ** np.minimum(-score / sizes, 300.0))],
                     names=[x.split()[0] for x in SCORES.split(", ")])
 
-    found = answers(merged, model, totals)
+    found = answers(seats, merged, model)
     found = found.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))  # no more than a batch asked for
     texts = counted.where("tokens is not null").select("batch", "tokens")
     return texts.join(found, "batch").select("tokens", "answers").mapInArrow(add_up, SCORES)
