@@ -119,6 +119,30 @@ def test_words_are_folded_runs_of_letters_and_digits():
     assert len(decontaminate.word_hashes(pa.array(["", None]).fill_null(""))[0]) == 0
 
 
+def test_copies_at_the_edit_threshold_are_candidates():
+    rng = np.random.default_rng(5)
+    sampling = decontaminate.Sampling(24, 8)
+    fresh = lambda n: rng.integers(1, 2**62, n).tolist()
+
+    def found(n, share, kinds):
+        item = fresh(n)
+        copy = list(item)
+        for _ in range(int(share * n + 1e-9)):
+            kind, i = rng.choice(kinds), int(rng.integers(len(copy)))
+            copy[i : i + (kind != "insert")] = [] if kind == "delete" else fresh(1)
+        doc = np.array(fresh(int(rng.integers(20, 60))) + copy + fresh(30), np.uint64)
+        size, places = decontaminate.window_of(n)
+        item = np.array(item, np.uint64)
+        own = sampling.keys(sampling.symbols(item), np.arange(n - size + 1), size, places)
+        other = sampling.keys(sampling.symbols(doc), np.arange(0, len(doc) - size + 1, size // 2), size, places)
+        return any(np.isin(a, b).any() for a, b in zip(own, other, strict=True))
+
+    for n in (11, 15, 23, 38, 39, 47, 63, 95):
+        for share in (0.1, 0.15, 0.2):
+            for kinds in (["replace"], ["replace", "insert", "delete"]):
+                assert sum(found(n, share, kinds) for _ in range(100)) >= 94, (n, share, kinds)
+
+
 def test_edited_passages_are_found_and_nothing_else(spark):
     pick = random.Random(1)
     vocabulary = ["the", "of", "and"] * 20 + [f"w{i}" for i in range(400)]
