@@ -92,6 +92,20 @@ def test_random_tokens_are_found_and_words_and_patterns_are_not(spark):
     assert not hit & set(range(60, 60 + len(plain)))
 
 
+def test_every_token_goes_through_the_battery(spark):
+    pick = random.Random(4)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    lower = upper.lower()
+    cases = [("", upper + digits), ("key-", lower + digits), ("", lower + digits + "-_"), ("", upper + digits + "-_"), ("", lower + upper + digits + "+/-_"), ("", digits)]
+    # digits are kept shorter than a run that the base scan reports as hex
+    keys = [(c, head + "".join(pick.choice(values) for _ in range(21 if values == digits else 32)) + "9") for c, (head, values) in enumerate(cases) for _ in range(40)]
+    rows = table(spark, [f"see {k} end" for _, k in keys])
+    hit = {r.doc_id for r in secret_scan.find_secrets(rows).collect() if any(s.kind == 3 for s in r.spans)}
+    for c in range(len(cases)):
+        own = [i for i, (case, _) in enumerate(keys) if case == c]
+        assert len(hit & set(own)) >= 0.85 * len(own), c
+
+
 # Decontamination
 
 def edits(a, b):

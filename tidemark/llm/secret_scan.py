@@ -39,6 +39,11 @@ ENCODINGS = {
     "base36": (r"^(?=.*[a-z])[a-z0-9]+$", DIGITS + LOWER, 20),
     "base64": (r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/", 20),
     "base64url": (r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_", 20),
+    "upper_base36": (r"^(?=.*[A-Z])[A-Z0-9]+=*$", UPPER + DIGITS, 20),
+    "lower_url": (r"^(?=.*[a-z])[a-z0-9_-]+=*$", DIGITS + LOWER + "-_", 20),
+    "upper_url": (r"^(?=.*[A-Z])[A-Z0-9_-]+=*$", UPPER + DIGITS + "-_", 20),
+    "digits": (r"^[0-9]+=*$", DIGITS, 20),
+    "any": (r"^[A-Za-z0-9+/_-]+=*$", UPPER + LOWER + DIGITS + "+/-_", 20),
 }
 #: p-values are counted in bins of this many to a factor of ten.
 BINS_PER_TEN, MOST_TENS = 10, 30
@@ -104,7 +109,7 @@ def randomness(token: Column, alphabet: str) -> Column:
 
 
 def read_tokens(tokens: Column) -> Column:
-    """Tokens with the encoding they imply, their length class and p-value; others are left out."""
+    """Tokens with the encoding they imply, their length class and p-value; the last encoding takes every token."""
 
     def read(x: Column) -> Column:
         kind, p = F.lit(None).cast("string"), F.lit(None).cast("double")
