@@ -1,6 +1,6 @@
 """The operators' registered queries and, where SQL can express them, their checking SQL."""
 
-from tidemark.llm import decontaminate, filter_audit, host_rules, language, packing, pitman_yor, secret_scan, simhash, token_files, toxicity, warc
+from tidemark.llm import conversation_repair, decontaminate, filter_audit, host_rules, language, packing, pitman_yor, secret_scan, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_captures": warc.op1_captures,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_host_rules": host_rules.op8_host_rules,
     "op9_secret_spans": secret_scan.op9_secret_spans,
     "op10_pitman_yor": pitman_yor.op10_pitman_yor,
+    "op11_repaired_conversations": conversation_repair.op11_repaired_conversations,
     "op12_filter_orders": filter_audit.op12_filter_orders,
 }
 
 SQL: dict[str, str] = {
     "op1_captures": warc.OP1_SQL,
+    "op11_repaired_conversations": conversation_repair.OP11_SQL,
     "op12_filter_orders": filter_audit.OP12_SQL,
 }
