@@ -1,6 +1,6 @@
 """The operators' registered queries and, where SQL can express them, their checking SQL."""
 
-from tidemark.llm import conversation_repair, decontaminate, filter_audit, host_rules, language, packing, pitman_yor, secret_scan, simhash, token_files, toxicity, warc
+from tidemark.llm import conversation_repair, decontaminate, filter_audit, host_rules, language, packing, pitman_yor, secret_scan, simhash, substring_dedup, token_files, toxicity, warc
 
 QUERIES = {
     "op1_captures": warc.op1_captures,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_pitman_yor": pitman_yor.op10_pitman_yor,
     "op11_repaired_conversations": conversation_repair.op11_repaired_conversations,
     "op12_filter_orders": filter_audit.op12_filter_orders,
+    "op13_repeated_strings": substring_dedup.op13_repeated_strings,
 }
 
 SQL: dict[str, str] = {
