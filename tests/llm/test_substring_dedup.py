@@ -88,12 +88,12 @@ def test_windows_belong_to_one_anchor_also_across_strides(monkeypatch):
     assert all(first <= last and last <= at <= first + 40 - 8 for _, _, at, first, last in runs)
 
 
-def test_levels_double_and_replace_each_other(spark, tmp_path):
-    schema = "batch int, head long, cover long, file long, row int, anchor int, first int, last int"
+def test_levels_double_and_replace_each_other(spark):
+    schema = "head long, cover long, file long, place long, shape int"
     family = sd.Family()
     sizes = []
     for k in range(7):
-        family.add(spark.createDataFrame([(k, 100 + k // 2, k, 1, k, 0, 0, 0)], schema).drop("batch"))
+        family.add(spark.createDataFrame([(100 + k // 2, k, 1, k, 0)], schema))
         sizes.append([s for s, _, _ in family.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]]
     assert sorted(r.head for r in family.repeated().collect()) == [100, 100, 101, 101, 102, 102]

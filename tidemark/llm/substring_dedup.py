@@ -163,13 +163,17 @@ def read_texts(folder: str, number: int) -> Iterator[tuple[int, object, bytes]]:
 
 # --- suffix arrays ---
 
-SUFFIX = "batch int, head long, cover long, file long, row int, anchor int, first int, last int"
+#: place: the text's row in its file, and below it the anchor; shape: bytes from the first start to the
+#: anchor, and below it starts after the first. Narrow rows, since arrays are shuffled with each merge.
+SUFFIX = "batch int, head long, cover long, file long, place long, shape int"
+ANCHOR = (1 << 32) - 1
+FILES = -1
 
 
 def suffixes(docs: DataFrame, folder: str, batches: int, sizes: Sizes) -> DataFrame:
     """The sampled suffixes of all texts, which are written to files in folder on the way.
 
-    Documents are dealt to batches by a hash of doc_id. A row without a head stands for each file.
+    Documents are dealt to batches by a hash of doc_id. A row of batch FILES stands for each file.
     """
     schema = T.StructType.fromDDL(SUFFIX)
     target = to_arrow_schema(schema)
@@ -198,18 +202,22 @@ def suffixes(docs: DataFrame, folder: str, batches: int, sizes: Sizes) -> DataFr
                 begin = end
                 if found:
                     counts = [len(x[2]) for x in found]
-                    columns = [np.repeat(np.array([x[0] for x in found], np.int32), counts)]
-                    columns += [np.concatenate([x[i] for x in found]) for i in (2, 3)]
-                    columns += [np.full(sum(counts), writer.number, np.int64), np.repeat(np.array([x[1] for x in found], np.int32), counts)]
-                    columns += [np.concatenate([x[i] for x in found]).astype(np.int32) for i in (4, 5, 6)]
+                    head, cover, at, first, last = (np.concatenate([x[i] for x in found]) for i in range(2, 7))
+                    of_row = np.repeat(np.array([x[1] for x in found], np.int64), counts)
+                    shape = ((at - first) << 16 | (last - first)).astype(np.int32)
+                    columns = [np.repeat(np.array([x[0] for x in found], np.int32), counts), head, cover, np.full(len(head), writer.number), of_row << 32 | at, shape]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=target)
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_pylist([{"batch": 0, "file": writer.number, "row": -1}], schema=target)
+            yield pa.RecordBatch.from_pylist([{"batch": FILES, "file": writer.number}], schema=target)
 
     return rows.mapInArrow(run, schema)
 
 
+#: More than a head has suffixes in the levels.
+NEW = 2.0**52
+
+
 @dataclass
 class Family:
     """Suffix arrays of sizes 1, 2, 4, ... batches, and the heads that were met again."""
@@ -222,26 +230,30 @@ class Family:
         spark = rows.sparkSession
         path = shared_folder(spark, "suffix-array")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.repartitionByRange(n, "head", "cover", "file", "row", "first").sortWithinPartitions("head", "cover").write.parquet(path)
+        rows.repartitionByRange(n, "head", "cover", "file", "place").sortWithinPartitions("head", "cover").write.parquet(path)
         return spark.read.schema(rows.schema).parquet(path), path
 
     def add(self, batch: DataFrame) -> None:
-        """Takes in the suffixes of a batch: sort, scan against all levels, merge equal levels."""
-        size, array, path = 1, *self.write(batch)
+        """Takes in the suffixes of a batch: sort, scan against all levels, merge equal levels. Merges that follow from each other are one."""
+        size, (array, path) = 1, self.write(batch)
         self.scan(array)
+        parts = [(array, path)]
         while self.levels and self.levels[-1][0] == size:
-            _, other, other_path = self.levels.pop()
-            merged, merged_path = self.write(other.unionByName(array))
-            for old in (other_path, path):  # merged is committed and reads neither
-                remove(array.sparkSession, old)
-            size, array, path = 2 * size, merged, merged_path
+            parts.append(self.levels.pop()[1:])
+            size *= 2
+        if len(parts) > 1:
+            array, path = self.write(reduce(DataFrame.unionByName, (rows for rows, _ in parts)))
+            for _, old in parts:  # the merged array is committed and reads none of them
+                remove(batch.sparkSession, old)
         self.levels.append((size, array, path))
 
     def scan(self, array: DataFrame) -> None:
-        """Notes each head of array that occurs twice, in array or in a level."""
-        runs = [array.select("head", F.lit(1).alias("new")), *(level.select("head", F.lit(0).alias("new")) for _, level, _ in self.levels)]
-        heads = reduce(DataFrame.unionByName, runs).groupBy("head").agg(F.count("*").alias("n"), F.max("new").alias("new"))
-        self.found.append(materialize(heads.where("new = 1 AND n > 1").select("head"), "heads-again"))
+        """Notes each head of array that occurs twice, in array or in a level. One number a head keeps the
+        rows that meet narrow: it counts suffixes of levels as one and those of array as NEW, so it is
+        above NEW if there is one of array and another. A double can't overflow, and is exact up to there."""
+        runs = [array.select("head", F.lit(NEW).alias("n")), *(level.select("head", F.lit(1.0).alias("n")) for _, level, _ in self.levels)]
+        heads = reduce(DataFrame.unionByName, runs).groupBy("head").agg(F.sum("n").alias("n"))
+        self.found.append(materialize(heads.where(F.col("n") > NEW).select("head"), "heads-again"))
 
     def repeated(self) -> DataFrame:
         """Suffixes whose head occurs again."""
@@ -258,14 +270,14 @@ def remove(spark: SparkSession, path: str) -> None:
 # --- matches ---
 
 
-def by_file(rows: DataFrame, *order: str) -> DataFrame:
+def by_file(rows: DataFrame) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "file").sortWithinPartitions("file", "row", *order)
+    return rows.repartition(n, "file").sortWithinPartitions("file", "place")
 
 
 def blocks(open_: DataFrame, folder: str, sizes: Sizes) -> DataFrame:
     """Blocks of window starts of each suffix in open_: the core's digest, the bytes left and right of it, and the place of the core."""
-    schema = T.StructType.fromDDL("core binary, left_bytes binary, right_bytes binary, file long, row int, at int")
+    schema = T.StructType.fromDDL("core binary, left_bytes binary, right_bytes binary, file long, place long")
     target = to_arrow_schema(schema)
 
     @common.tidy
@@ -277,7 +289,10 @@ def blocks(open_: DataFrame, folder: str, sizes: Sizes) -> DataFrame:
             def columns() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
-            for file, of_row, anchor, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, place, shape in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                of_row, anchor = place >> 32, place & ANCHOR
+                first = anchor - (shape >> 16)
+                last = first + (shape & 0xFFFF)
                 if file != now:
                     texts, now, row = read_texts(folder, file), file, -1
                 while row < of_row:
@@ -287,18 +302,18 @@ def blocks(open_: DataFrame, folder: str, sizes: Sizes) -> DataFrame:
                     core = text[at : at + sizes.core]
                     left = text[max(first, at - sizes.block + 1) : at]
                     right = text[at + sizes.core : min(last, at) + sizes.length]
-                    for column, value in zip(out, (xxh3_128_digest(core), left, right, file, row, at), strict=True):
+                    for column, value in zip(out, (xxh3_128_digest(core), left, right, file, row << 32 | at), strict=True):
                         column.append(value)
                 if len(out[0]) >= 50_000:
                     yield columns()
                     out = [[] for _ in target]
             yield columns()
 
-    return by_file(open_.select("file", "row", "anchor", "first", "last"), "anchor").mapInArrow(run, schema)
+    return by_file(open_.select("file", "place", "shape")).mapInArrow(run, schema)
 
 
 def repeated_starts(cut: DataFrame, sizes: Sizes) -> DataFrame:
-    """(file, row, first, last): window starts in blocks that occur elsewhere too.
+    """(file, place, n): n window starts from place on, in blocks that occur elsewhere too.
 
     The window that begins i bytes before its core is told by the core, the i bytes left of it and
     the block - 1 - i bytes right of it.
@@ -307,23 +322,26 @@ def repeated_starts(cut: DataFrame, sizes: Sizes) -> DataFrame:
     most = sizes.block - 1
     cells = materialize(cut.groupBy(*key).agg(F.count("*").alias("n")), "blocks-counted")
     whole = cells.where("n > 1").select(*key, (F.length("left_bytes")).alias("far"), (most - F.length("right_bytes")).alias("near"))
-    shared = cells.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+    # Tables to join are written first: between plain tables, adaptive execution can split a hot core.
+    shared = materialize(cells.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "shared-cores")
     edge = cells.join(shared, "core", "left_semi").select(
         *key, "n", F.explode(F.sequence(most - F.length("right_bytes"), F.length("left_bytes"))).alias("i"))
     edge = edge.withColumn("l", F.expr("substring(left_bytes, length(left_bytes) - i + 1, i)")).withColumn("r", F.expr(f"substring(right_bytes, 1, {most} - i)"))
-    again = edge.groupBy("core", "i", "l", "r").agg(F.sum("n").alias("total")).where("total > 1").select("core", "i", "l", "r")
+    edge = materialize(edge, "edges")
+    again = materialize(edge.groupBy("core", "i", "l", "r").agg(F.sum("n").alias("total")).where("total > 1").select("core", "i", "l", "r"), "edges-again")
     single = edge.where("n = 1").join(again, ["core", "i", "l", "r"], "left_semi").select(*key, F.col("i").alias("far"), F.col("i").alias("near"))
-    found = whole.unionByName(single)
-    return cut.join(found, key).select("file", "row", (F.col("at") - F.col("far")).alias("first"), (F.col("at") - F.col("near")).alias("last"))
+    found = materialize(whole.unionByName(single), "blocks-again")
+    return cut.join(found, key).select("file", (F.col("place") - F.col("far")).alias("place"), (F.col("far") - F.col("near") + 1).cast("int").alias("n"))
 
 
 def matches(family: Family, folder: str, sizes: Sizes) -> DataFrame:
-    """(file, row, first, last): runs of starts whose windows occur elsewhere too."""
+    """(file, place, n): runs of starts whose windows occur elsewhere too."""
     again = materialize(family.repeated(), "suffixes-again")
-    place = F.struct("file", "row", "anchor", "first", "last")
-    covers = materialize(again.groupBy("head", "cover").agg(F.count("*").alias("n"), F.min(place).alias("one")), "covers")
-    whole = again.join(covers.where("n > 1").select("head", "cover"), ["head", "cover"], "left_semi").select("file", "row", "first", "last")
-    differing = covers.groupBy("head").agg(F.count("*").alias("c")).where("c > 1").select("head")
+    covers = materialize(again.groupBy("head", "cover").agg(F.count("*").alias("n"), F.min(F.struct("file", "place", "shape")).alias("one")), "covers")
+    twice = materialize(covers.where("n > 1").select("head", "cover"), "covers-again")
+    first = F.col("place") - F.shiftright("shape", 16)
+    whole = again.join(twice, ["head", "cover"], "left_semi").select("file", first.alias("place"), (F.col("shape").bitwiseAND(0xFFFF) + 1).alias("n"))
+    differing = materialize(covers.groupBy("head").agg(F.count("*").alias("c")).where("c > 1").select("head"), "heads-differing")
     one_of_each = covers.join(differing, "head", "left_semi").select("one.*")
     cut = materialize(blocks(one_of_each, folder, sizes), "blocks")
     return whole.unionByName(repeated_starts(cut, sizes))
@@ -337,7 +355,7 @@ def stripped(found: DataFrame, every_file: DataFrame, folder: str, id_type: T.Da
     fields = [T.StructField("doc_id", id_type), *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")]
     schema = T.StructType(fields if with_text else fields[:-1])
     target = to_arrow_schema(schema)
-    starts = every_file.select("file", "row", F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    starts = every_file.select("file", F.lit(-1).cast("long").alias("place"), F.lit(0).alias("n"))
 
     @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,21 +387,22 @@ def stripped(found: DataFrame, every_file: DataFrame, folder: str, id_type: T.Da
                     return
 
         for batch in batches:
-            for file, row, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, place, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if file != state["file"]:
                     reach(None)
                     state |= {"texts": read_texts(folder, file), "file": file, "row": -1, "spans": []}
                     reach(0)
-                if row >= 0:
-                    reach(row)
-                    state["spans"].append((first, last + sizes.length))
+                if n:
+                    reach(place >> 32)
+                    first = place & ANCHOR
+                    state["spans"].append((first, first + n - 1 + sizes.length))
                 if len(out) >= 2000 or with_text and sum(len(x["kept"]) for x in out[-64:]) > CHUNK_BYTES:
                     yield pa.RecordBatch.from_pylist(out, schema=target)
                     out.clear()
         reach(None)
         yield pa.RecordBatch.from_pylist(out, schema=target)
 
-    return by_file(starts.unionByName(found), "first").select("file", "row", "first", "last").mapInArrow(run, schema)
+    return by_file(starts.unionByName(found)).select("file", "place", "n").mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, batches: int = 4, sizes: Sizes = Sizes(), with_text: bool = False) -> DataFrame:
@@ -403,8 +422,9 @@ def without_repeats(docs: DataFrame, batches: int = 4, sizes: Sizes = Sizes(), w
     everything = spark.read.schema(rows.schema).parquet(path)
     family = Family()
     for number in range(batches):
-        family.add(everything.where((F.col("batch") == number) & F.col("head").isNotNull()).drop("batch"))
-    every_file = everything.where("head IS NULL")
+        family.add(everything.where(F.col("batch") == number).drop("batch"))
+        remove(spark, f"{path}/batch={number}")  # its array holds it now
+    every_file = everything.where(F.col("batch") == FILES)
     return stripped(matches(family, folder, sizes), every_file, folder, docs.schema["doc_id"].dataType, sizes, with_text)
 
 
