@@ -2,7 +2,7 @@
 
 import importlib
 
-ORACLE_MODULES = ["filings", "quality", "prices", "scores", "research", "sources", "workspace"]
+ORACLE_MODULES = ["filings", "quality", "prices", "scores", "research", "sources", "workspace", "automation", "delivery", "pages", "stored"]
 
 
 def all_sql() -> dict[str, str]:

@@ -1,5 +1,7 @@
 """SQL for the rank-statistic and evidence queries."""
 
+import math
+
 from oracles.base import sql
 from oracles.scores import EXTRA as SCORES, SPLIT, scored
 
@@ -28,6 +30,7 @@ def stats(source: str, g: str) -> str:
   rank() OVER (PARTITION BY {g} ORDER BY ret) + (count(*) OVER (PARTITION BY {g}, ret) - 1) / 2 AS ry FROM {source})) GROUP BY {g}, n"""
 
 
+STEPS = [math.floor(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * (2**31 - 1)) for k in range(9)]
 EXTRA = {
     **SCORES,
     "ft": f"SELECT *, {SPLIT} AS split FROM feats",
@@ -49,6 +52,11 @@ EXTRA = {
     "perm": """SELECT s.split, s.baseline, rep, sum((s.rx - (total + 1) / 2) * (r.ry - (total + 1) / 2)) AS xy
  FROM shuf s JOIN rowsn r ON r.split = s.split AND r.baseline = s.baseline AND r.pos = s.tgt GROUP BY ALL""",
     "seen": "SELECT split, baseline, sum((rx - (total + 1) / 2) * (ry - (total + 1) / 2)) AS xy FROM rowsn GROUP BY ALL",
+    "facs": """SELECT r, 1 + CAST('0x' || substr(md5('a|13|' || r), 1, 7) AS BIGINT) AS a, CAST('0x' || substr(md5('b|13|' || r), 1, 7) AS BIGINT) AS b FROM range(250) t(r)""",
+    "numd": "SELECT *, CAST('0x' || substr(md5(concat_ws('|', split, baseline, CAST(as_of AS VARCHAR), ticker)), 1, 8) AS BIGINT) % 2147483647 AS x FROM obs",
+    "wrows": f"""SELECT split, baseline, r, score, ret, len(list_filter({STEPS}, lambda s: s <= (a * x + b) % 2147483647)) AS w FROM numd, facs UNION ALL SELECT split, baseline, -1, score, ret, 1 FROM obs""",
+    "repv": """SELECT split, baseline, r, CASE WHEN vv > 1e-12 THEN (xy * w - x * y) / sqrt(vv) END AS v FROM (SELECT *, (xx * w - x * x) * (yy * w - y * y) AS vv FROM (
+   SELECT split, baseline, r, sum(w)::DOUBLE AS w, sum(w * score) AS x, sum(w * ret) AS y, sum(w * score * score) AS xx, sum(w * ret * ret) AS yy, sum(w * score * ret) AS xy FROM wrows GROUP BY ALL))""",
     "wobs": " UNION ALL ".join(variant(n) for n in SETS),
     "wstat": stats("wobs", "weight_set"),
     "rowx": "SELECT f.* EXCLUDE (accs), a.accs FROM ft f LEFT JOIN f4acc a ON a.ticker = f.ticker AND a.as_of = f.as_of",
@@ -62,6 +70,8 @@ EXTRA = {
 ERR = "(SELECT count(*) - count(forward_return_20d) + count(*) - count(forward_return_60d) + count(*) - count(forward_return_120d) FROM rowx)"
 
 SQL = {
+    "u5_resampled_correlation": """SELECT split, baseline, round(max(v) FILTER (r = -1), 6) AS value, round(l[CAST(floor(0.025 * (len(l) - 1)) AS INT) + 1], 6) AS lo, round(l[CAST(floor(0.975 * (len(l) - 1)) AS INT) + 1], 6) AS hi
+ FROM repv JOIN (SELECT split, baseline, list(v ORDER BY v) FILTER (v IS NOT NULL AND r >= 0) AS l FROM repv GROUP BY ALL) USING (split, baseline) GROUP BY split, baseline, l""",
     "w12_average_ranks": """SELECT l_returnflag, l_linestatus, l_extendedprice, count(*) AS n, any_value(r) + (count(*) - 1) / 2 AS rank FROM (
   SELECT *, rank() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) AS r FROM lineitem) GROUP BY ALL""",
     "w13_top_bottom_buckets": """SELECT split, baseline, CASE WHEN pos < greatest(1, n // 5) THEN 'bottom' ELSE 'top' END AS side, as_of, ticker, pos AS position FROM (

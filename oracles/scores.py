@@ -49,13 +49,13 @@ SHORT = """CASE WHEN {x} >= 1e6 THEN '$' || format('{{:.1f}}', round({x} / 1e6,
  ELSE '$' || format('{{:.0f}}', round({x}, 0)) END"""
 LABEL = """CASE quadrant WHEN 'conviction' THEN 'Conviction' WHEN 'institutional' THEN 'Institutional bid' WHEN 'insider' THEN 'Insider conviction'
  WHEN 'distribution' THEN 'Distribution' WHEN 'divergent' THEN 'Divergent' ELSE 'Neutral' END"""
-RATIONALE = f"""CASE quadrant WHEN 'conviction' THEN fa || ' fund(s) accumulating while ' || nbuy || ' insider(s) bought ' || {SHORT.format(x='bval')} || ' open-market'
-  || CASE WHEN n_c_suite_buyers > 0 THEN ', incl. ' || n_c_suite_buyers || ' C-suite' ELSE '' END
-  || CASE WHEN days_since_last_buy IS NOT NULL AND nbuy > 0 THEN ' (freshest buy ' || days_since_last_buy || 'd ago)' ELSE '' END || '.'
- WHEN 'distribution' THEN 'Funds trimming and insiders selling ' || {SHORT.format(x='sval')} || '; both sides exiting.'
- WHEN 'divergent' THEN 'Institutions and insiders disagree; no agreement.' WHEN 'institutional' THEN fa || ' fund(s) accumulating; no insider buying yet.'
- WHEN 'insider' THEN nbuy || ' insider(s) bought ' || {SHORT.format(x='bval')} || CASE WHEN days_since_last_buy IS NOT NULL THEN ' (freshest buy ' || days_since_last_buy || 'd ago)' ELSE '' END || '; funds not yet in.'
- ELSE 'No meaningful accumulation on either side.' END"""
+FRESH = "CASE WHEN days_since_last_buy IS NOT NULL AND nbuy > 0 THEN ', last ' || days_since_last_buy || ' day(s) before' ELSE '' END"
+RATIONALE = f"""CASE quadrant WHEN 'conviction' THEN 'Both sides buy: ' || fa || ' fund(s) built up while ' || nbuy || ' insider(s) spent ' || {SHORT.format(x='bval')}
+  || CASE WHEN n_c_suite_buyers > 0 THEN ', ' || n_c_suite_buyers || ' of them at the top' ELSE '' END || {FRESH} || '.'
+ WHEN 'distribution' THEN 'Both sides sell: funds cut back and insiders sold ' || {SHORT.format(x='sval')} || '.'
+ WHEN 'divergent' THEN 'Funds and insiders point in opposite directions.' WHEN 'institutional' THEN fa || ' fund(s) built up; insiders have not bought.'
+ WHEN 'insider' THEN nbuy || ' insider(s) spent ' || {SHORT.format(x='bval')} || {FRESH} || '; funds have not followed.'
+ ELSE 'Neither side builds up.' END"""
 PARTS = "round(score, 6) AS score, round(institutional_score, 6) AS institutional_score, round(insider_score, 6) AS insider_score, round(dollar_score, 6) AS dollar_score, round(agreement_score, 6) AS agreement_score, round(penalty_score, 6) AS penalty_score, round(x, 6) AS x, round(y, 6) AS y"
 ACT = """ticker, as_of, n_visible, n_buyers, n_sellers, n_c_suite_buyers, recent_cluster_n, days_since_last_buy, round(buy_value_usd, 2) AS buy_value_usd,
  round(sell_value_usd, 2) AS sell_value_usd, conviction_units, recency_weighted_buy_usd, max_stake_increase_pct"""

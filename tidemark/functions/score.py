@@ -7,6 +7,7 @@ same expression scores one weight set or a whole grid of them.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -134,37 +135,41 @@ def quadrant() -> Column:
     )
 
 
-def rationale(quadrant_col: Column) -> Column:
-    """One sentence on why a ticker sits in its quadrant."""
-    funds = F.col("funds_accumulating").cast("string")
-    buyers = F.col("n_buyers").cast("string")
-    fresh = F.when(
-        F.col("days_since_last_buy").isNotNull() & (F.col("n_buyers") > 0),
-        F.concat(F.lit(" (freshest buy "), F.col("days_since_last_buy").cast("string"), F.lit("d ago)")),
-    ).otherwise("")
-    top = F.when(
-        F.col("n_c_suite_buyers") > 0,
-        F.concat(F.lit(", incl. "), F.col("n_c_suite_buyers").cast("string"), F.lit(" C-suite")),
-    ).otherwise("")
-    bought = short_usd(F.col("buy_value_usd"))
-    return (
-        F.when(
-            quadrant_col == "conviction",
-            F.concat(funds, F.lit(" fund(s) accumulating while "), buyers, F.lit(" insider(s) bought "),
-                     bought, F.lit(" open-market"), top, fresh, F.lit(".")),
-        )
-        .when(
-            quadrant_col == "distribution",
-            F.concat(F.lit("Funds trimming and insiders selling "), short_usd(F.col("sell_value_usd")),
-                     F.lit("; both sides exiting.")),
-        )
-        .when(quadrant_col == "divergent", "Institutions and insiders disagree; no agreement.")
-        .when(quadrant_col == "institutional",
-              F.concat(funds, F.lit(" fund(s) accumulating; no insider buying yet.")))
-        .when(quadrant_col == "insider",
-              F.concat(buyers, F.lit(" insider(s) bought "), bought, fresh, F.lit("; funds not yet in.")))
-        .otherwise("No meaningful accumulation on either side.")
-    )
+#: Why a ticker sits in its quadrant, in words of our own. Braces name what is put in; see rationale().
+RATIONALES = {
+    "conviction": "Both sides buy: {funds} fund(s) built up while {buyers} insider(s) spent {bought}{top}{fresh}.",
+    "distribution": "Both sides sell: funds cut back and insiders sold {sold}.",
+    "divergent": "Funds and insiders point in opposite directions.",
+    "institutional": "{funds} fund(s) built up; insiders have not bought.",
+    "insider": "{buyers} insider(s) spent {bought}{fresh}; funds have not followed.",
+    "neutral": "Neither side builds up.",
+}
+
+
+def rationale(quadrant_col: Column, texts: Mapping[str, str] = RATIONALES) -> Column:
+    """One sentence on why a ticker sits in its quadrant, from ``texts`` by quadrant.
+
+    {funds}, {buyers}, {bought} and {sold} are counts and dollars; {top} names buyers of the first rank and
+    {fresh} the age of the last buy, where there are any."""
+    parts = {
+        "funds": F.col("funds_accumulating").cast("string"),
+        "buyers": F.col("n_buyers").cast("string"),
+        "bought": short_usd(F.col("buy_value_usd")),
+        "sold": short_usd(F.col("sell_value_usd")),
+        "top": F.when(F.col("n_c_suite_buyers") > 0, F.concat(
+            F.lit(", "), F.col("n_c_suite_buyers").cast("string"), F.lit(" of them at the top"))).otherwise(""),
+        "fresh": F.when(F.col("days_since_last_buy").isNotNull() & (F.col("n_buyers") > 0), F.concat(
+            F.lit(", last "), F.col("days_since_last_buy").cast("string"), F.lit(" day(s) before"))).otherwise(""),
+    }
+
+    def sentence(text: str) -> Column:
+        pieces = re.split(r"\{(\w+)\}", text)
+        return F.concat(*(F.coalesce(parts[x], F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(pieces)))
+
+    out = F.lit(None).cast("string")
+    for name, text in texts.items():
+        out = F.when(quadrant_col == name, sentence(text)).otherwise(out)
+    return out
 
 
 def add_score(df: DataFrame, weights: Mapping[str, Column | float] | None = None) -> DataFrame:

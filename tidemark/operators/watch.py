@@ -69,6 +69,12 @@ def watchlist_preview(flow: DataFrame, tickers: DataFrame) -> DataFrame:
     })
 
 
+def with_links(preview: DataFrame, base: str = "") -> DataFrame:
+    """Preview rows with ``links``: where a ticker's page and its data are, below ``base``."""
+    at = lambda path: F.concat(F.lit(f"{base}/{path}/"), F.url_encode("ticker"))
+    return preview.withColumn("links", F.struct(at("stocks").alias("page"), at("api/stocks").alias("data")))
+
+
 def matches(actions=None, moves=None, min_score=None, min_holders=None, min_buyers=None, max_value=None) -> Column:
     """Saved-filter predicate. Every argument may be a constant or a column; a null or empty
     one switches its clause off."""

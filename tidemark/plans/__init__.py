@@ -3,7 +3,7 @@
 import importlib
 
 # Modules that define QUERIES, in the order they are listed.
-QUERY_MODULES = ["filing_queries", "quality_queries", "price_queries", "score_queries", "research_queries", "source_queries", "workspace_queries"]
+QUERY_MODULES = ["filing_queries", "quality_queries", "price_queries", "score_queries", "research_queries", "source_queries", "workspace_queries", "automation_queries", "delivery_queries", "page_queries", "stored_queries"]
 
 
 def all_queries() -> dict:

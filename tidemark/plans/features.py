@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import score as scoring
-from tidemark.functions.texts import join_list, list_hash, ticker_flags
+from tidemark.functions.texts import list_hash, ticker_flags
 from tidemark.functions.values import split_of
 from tidemark.operators import insider, pricing
+from tidemark.operators.digests import list_digests
 from tidemark.params import (
     CONVICTION_WEIGHT, EXPORT_COLUMNS, FEATURE_SCHEMA_VERSION, FORM4_WINDOW_DAYS, PARAMETER_HASH,
     PRECOMPUTE_WINDOWS, SCOPE_13F_ONLY, SCOPE_JOINED, SCORE_VERSION, WEIGHT_VERSION,
@@ -49,25 +50,13 @@ def institutional_signals(moves: DataFrame, include_non_priceable: bool = False,
 
 def filing_lineage(moves: DataFrame, signals: DataFrame, funds: DataFrame) -> DataFrame:
     """Per (quarter, ticker): fund labels and moves in cik order, and the sorted distinct
-    filings behind them. One entry per fund position and one per filing."""
+    filings behind them with their hash. Entries stay rows until their texts are put together."""
+    key = ["report_date", "ticker"]
     long = moves.filter("put_call = '' and coalesce(ticker, '') <> ''").withColumn("ticker", F.upper("ticker"))
-    entry = F.struct("cik", "cusip", "label", "move")
-    return (
-        long.join(signals.select("report_date", "ticker"), ["report_date", "ticker"], "left_semi")
-        .join(funds.select("cik", "label"), "cik")
-        .groupBy("report_date", "ticker")
-        .agg(
-            F.array_sort(F.collect_list(entry)).alias("_e"),
-            F.array_sort(F.collect_set("accession")).alias("_a"),
-        )
-        .select(
-            "report_date", "ticker",
-            F.array_join(F.transform("_e", lambda e: e["label"]), ";").alias("fund_labels"),
-            F.array_join(F.transform("_e", lambda e: e["move"]), ";").alias("fund_moves"),
-            list_hash("_a").alias("13f_accession_hash"),
-            join_list("_a").alias("13f_accessions"),
-        )
-    )
+    long = long.join(signals.select(*key), key, "left_semi").join(funds.select("cik", "label"), "cik")
+    who = list_digests(long, key, "cik", ["cik", "cusip", "label", "move"], distinct=False, texts={"fund_labels": "label", "fund_moves": "move"})
+    filed = list_digests(long, key, "accession", texts={"13f_accessions": F.nullif("accession", F.lit(""))})
+    return who.drop("n", "digest").join(filed.drop("n").withColumnRenamed("digest", "13f_accession_hash"), key, "left")
 
 
 def build_features(moves: DataFrame, trades: DataFrame | None = None, prices: DataFrame | None = None,
@@ -123,12 +112,11 @@ def export_features(features: DataFrame, moves: DataFrame, funds: DataFrame, tra
     """The feature table in the file layout: fixed columns, rounded, with filing lists."""
     out = features.join(filing_lineage(moves, features, funds), ["report_date", "ticker"], "left")
     if trades is None:
-        lists = features.select("ticker", "as_of").distinct().withColumn("_f", F.array().cast("array<string>"))
+        out = out.withColumns({"_hash": F.lit(None).cast("string"), "_list": F.lit(None).cast("string")})
     else:
-        lists = insider.visible_accessions(trades, features.select("ticker", "as_of"), window_days).groupBy(
-            "ticker", "as_of").agg(F.array_sort(F.collect_set("accession")).alias("_f"))
-    out = out.join(lists, ["ticker", "as_of"], "left").withColumn(
-        "_f", F.coalesce("_f", F.array().cast("array<string>")))
+        visible = insider.visible_accessions(trades, features.select("ticker", "as_of"), window_days)
+        lists = list_digests(visible, ["ticker", "as_of"], "accession", texts={"_list": F.nullif("accession", F.lit(""))})
+        out = out.join(lists.drop("n").withColumnRenamed("digest", "_hash"), ["ticker", "as_of"], "left")
     source = F.lit("")
     if priced is not None:
         out = out.join(priced.select("ticker").distinct().withColumn("_p", F.lit(True)), "ticker", "left")
@@ -143,8 +131,8 @@ def export_features(features: DataFrame, moves: DataFrame, funds: DataFrame, tra
         "total_value_usd": F.round("total_value_usd", 2),
         "open_market_buyers": F.col("n_buyers"),
         "open_market_buy_value_usd": F.round("buy_value_usd", 2),
-        "form4_accession_hash": list_hash("_f"),
-        "form4_accessions": join_list("_f"),
+        "form4_accession_hash": F.coalesce("_hash", list_hash(F.array().cast("array<string>"))),
+        "form4_accessions": F.coalesce("_list", blank),
         "price_source": source,
         **{c: blank for c in ("dollar_volume", "market_cap", "sector", "beta")},
     })

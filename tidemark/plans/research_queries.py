@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.score import INSIDER_DEFAULTS, INSTITUTIONAL_DEFAULTS
-from tidemark.operators import evidence, ranking, research
+from tidemark.operators import evidence, ranking, resample, research
 from tidemark.params import DEFAULT_WEIGHTS, EXPORT_COLUMNS, TUNABLE_BOUNDS
 from tidemark.plans.driver_tables import Tables
 from tidemark.plans.score_queries import _export, _features
@@ -56,6 +56,12 @@ def b5_bootstrap_ci(spark, sf):
     return research.bootstrap_ci(_observations(Tables(spark, sf)), GROUP, TIE)
 
 
+def u5_resampled_correlation(spark, sf):
+    """A metric of the caller's, here Pearson's correlation, with an interval by replicates that copy no rows."""
+    obs = _observations(Tables(spark, sf))
+    return resample.metric_interval(obs, GROUP, [*GROUP, *TIE], resample.correlation_terms(F.col("score"), F.col("ret")), resample.correlation)
+
+
 def b6_permutation_p(spark, sf):
     return research.permutation_pvalue(_observations(Tables(spark, sf)), GROUP, TIE)
 
@@ -144,7 +150,7 @@ def u5_custom_metric(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     w12_average_ranks, w13_top_bottom_buckets, b1_rank_ic, b2_b3_spread_and_hit_rate, b4_metrics_by_split,
-    b5_bootstrap_ci, b6_permutation_p, b7_weight_sets, b8_weight_search, s19_feature_rows_csv,
+    b5_bootstrap_ci, u5_resampled_correlation, b6_permutation_p, b7_weight_sets, b8_weight_search, s19_feature_rows_csv,
     s19_feature_rows_jsonl, a13_evidence, a13_evidence_counts, a14_manifest, a14_row_errors,
     a31_content_hash, a32_evidence_review, k9_feature_summary, u5_custom_metric,
 )}

@@ -57,11 +57,15 @@ def reject_reason(xml: Column, max_bytes: int | None = None) -> Column:
 
 def _parse(docs: DataFrame, schema: T.StructType, max_bytes: int | None) -> DataFrame:
     """Documents with the top-level elements as columns and ``reject``. The generator makes
-    Spark parse each document once, however many fields are read later."""
+    Spark parse each document once, however many fields are read later.
+
+    Parsing costs far more than moving a document, so documents are first dealt out evenly: a few
+    large files, or one, would else be parsed by as many tasks. Rejected ones leave their text behind."""
     keep = [c for c in docs.columns if c != "xml"]
     checked = docs.withColumn("reject", reject_reason(F.col("xml"), max_bytes))
-    safe = F.when(F.col("reject").isNull(), F.col("xml"))
-    parsed = checked.select(*keep, "reject", F.inline(F.array(F.from_xml(safe, schema, XML_OPTIONS))))
+    safe = F.when(F.col("reject").isNull(), F.col("xml")).alias("xml")
+    dealt = checked.select(*keep, "reject", safe).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parsed = dealt.select(*keep, "reject", F.inline(F.array(F.from_xml("xml", schema, XML_OPTIONS))))
     return parsed.withColumn(
         "reject", F.coalesce("reject", F.when(F.col("_corrupt_record").isNotNull(), "malformed"))
     ).drop("_corrupt_record")

@@ -5,7 +5,7 @@ Tables are replaced a partition at a time, so a rerun of a batch gives the same
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.params import (
     EXPORT_COLUMNS, FEATURE_SCHEMA_VERSION, FORM4_ROW_KEY, PARAMETER_HASH, SCORE_VERSION, WEIGHT_VERSION,
@@ -115,3 +115,49 @@ def workspace_export(watchlists: DataFrame, latest: DataFrame, alerts: DataFrame
         watchlists.select("watchlist_id", "key_id", "name", F.array_join("tickers", ";").alias("tickers"))
         .join(s, "watchlist_id", "left").join(a, "watchlist_id", "left")
     )
+
+
+WORKSPACE = (
+    "key_id string, watchlists array<struct<id: string, name: string, tickers: array<string>, "
+    "latest_snapshot: struct<id: string, created_at: timestamp, signals: array<struct<ticker: string, action: string, score: double>>>, "
+    "alerts: array<struct<ticker: string, action: string, severity: bigint, status: string>>>>"
+)
+
+
+def nested_workspaces(watchlists: DataFrame, latest: DataFrame, alerts: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """One row per key with its workspace as a nested record, built from the leaves up: signals and alerts
+    per watchlist, then watchlists per key. ``signals`` (snapshot_id, ticker, action, score) are
+    optional. Lists are in order of severity and ticker, score and ticker, and name."""
+    entry = F.struct((-F.col("severity")).alias("_order"), "ticker", "action", F.col("severity").cast("bigint").alias("severity"), "status")
+    raised = alerts.groupBy("watchlist_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x.dropFields("_order")).alias("alerts"))
+    kind = "array<struct<ticker: string, action: string, score: double>>"
+    newest = latest.select("watchlist_id", F.col("snapshot_id").alias("_id"), F.col("created_at").alias("_at"))
+    if signals is None:
+        newest = newest.withColumn("_signals", F.lit(None).cast(kind))
+    else:
+        one = F.struct((-F.col("score")).alias("_order"), "ticker", "action", "score")
+        lists = signals.groupBy(F.col("snapshot_id").alias("_id")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("_order")).alias("_signals"))
+        newest = newest.join(lists, "_id", "left").withColumn("_signals", F.coalesce("_signals", F.array().cast(kind)))
+    snapshot = F.when(F.col("_id").isNotNull(), F.struct(F.col("_id").alias("id"), F.col("_at").alias("created_at"), F.col("_signals").alias("signals")))
+    whole = watchlists.join(newest, "watchlist_id", "left").join(raised, "watchlist_id", "left")
+    record = F.struct("name", F.col("watchlist_id").alias("id"), "tickers", snapshot.alias("latest_snapshot"), F.coalesce("alerts", F.array()).alias("alerts"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("name", F.col("watchlist_id").alias("id"), record.alias("r"))), lambda a, b: F.when(
+        (a["name"] < b["name"]) | ((a["name"] == b["name"]) & (a["id"] < b["id"])), -1).otherwise(1))
+    return whole.groupBy("key_id").agg(F.transform(sorted_, lambda x: F.struct(
+        x["r"]["id"].alias("id"), x["r"]["name"].alias("name"), x["r"]["tickers"].alias("tickers"), x["r"]["latest_snapshot"].alias("latest_snapshot"),
+        x["r"]["alerts"].alias("alerts"))).alias("watchlists"))
+
+
+def write_workspaces(nested: DataFrame, path: str, buckets: int = 16) -> None:
+    """Workspaces as JSON, an object a line, in folders by a hash of the key, so that one key's export is
+    found without reading the others."""
+    nested.withColumn("bucket", F.pmod(F.xxhash64("key_id"), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").json(path)
+
+
+def read_workspaces(spark: SparkSession, path: str) -> DataFrame:
+    """Exported workspaces as flat rows: one per watchlist and alert, watchlists without alerts included."""
+    rows = spark.read.schema(WORKSPACE).json(path).select("key_id", F.explode("watchlists").alias("w"))
+    rows = rows.select("key_id", "w.*").select("*", F.explode_outer("alerts").alias("a"))
+    return rows.select("key_id", F.col("id").alias("watchlist_id"), "name", "tickers", F.col("latest_snapshot.id").alias("latest_snapshot_id"),
+                       F.col("latest_snapshot.signals").alias("signals"), F.col("a.ticker").alias("alert_ticker"), F.col("a.action").alias("alert_action"),
+                       F.col("a.severity").alias("alert_severity"), F.col("a.status").alias("alert_status"))
