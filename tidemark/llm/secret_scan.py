@@ -10,8 +10,6 @@ left is a secret. Encodings have a least length, below which a token says too li
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,47 +79,58 @@ def two_sided(z: Column) -> Column:
     return F.greatest(F.least(2 * above(F.abs(z)), F.lit(1.0)), F.lit(10.0 ** -(MOST_TENS / 3)))
 
 
-def randomness(token: Column, alphabet: str) -> Column:
-    """p-value of the combined battery under the hypothesis that the token's values are random."""
-    size = len(alphabet)
-    values = F.transform(F.split(F.rtrim(token, F.lit("=")), ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))
+def randomness(values: Column, size: Column) -> Column:
+    """p-value of the combined battery under the hypothesis that values, an array of doubles below size, are random."""
 
-    def battery(v: Column) -> Column:
+    def battery(x: Column) -> Column:
+        v, k = x["values"], x["size"]
         n = F.size(v).cast("double")
-        squares = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0.0), lambda s, k: s + F.pow(F.size(F.filter(v, lambda x: x == k)), F.lit(2.0)))
-        chi = F.greatest(squares * size / n - n, F.lit(0.0)) / (size - 1)
-        part = 2 / (9.0 * (size - 1))
-        even = (F.pow(chi, F.lit(1 / 3)) - (1 - part)) / math.sqrt(part)
-        high = F.size(F.filter(v, lambda x: x >= size / 2)).cast("double")
+        squares = F.aggregate(F.sequence(F.lit(0), (k - 1).cast("int")), F.lit(0.0), lambda s, y: s + F.pow(F.size(F.filter(v, lambda z: z == y)), F.lit(2.0)))
+        chi = F.greatest(squares * k / n - n, F.lit(0.0)) / (k - 1)
+        part = 2 / (9.0 * (k - 1))
+        even = (F.pow(chi, F.lit(1 / 3)) - (1 - part)) / F.sqrt(part)
+        high = F.size(F.filter(v, lambda y: y >= k / 2)).cast("double")
         low = n - high
-        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-        runs = 1.0 + F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when((p["x"] >= size / 2) != (p["y"] >= size / 2), 1.0).otherwise(0.0))
+        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda y, z: F.struct(y.alias("x"), z.alias("y")))
+        # Of each pair: does it begin a run, and its product about the middle.
+        begin = F.struct(F.lit(1.0).alias("runs"), F.lit(0.0).alias("products"))
+        sums = F.aggregate(pairs, begin, lambda s, p: F.struct(
+            (s["runs"] + F.when((p["x"] >= k / 2) != (p["y"] >= k / 2), 1.0).otherwise(0.0)).alias("runs"),
+            (s["products"] + (p["x"] - (k - 1) / 2) * (p["y"] - (k - 1) / 2)).alias("products")))
         mean = 2 * high * low / n + 1
         variance = (mean - 1) * (mean - 2) / (n - 1)
-        run = F.when(variance > 0, (runs - mean) / F.sqrt(variance)).otherwise(10.0)
-        middle = (size - 1) / 2
-        whole = (size * size - 1) / 12
-        serial = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["x"] - middle) * (p["y"] - middle)) / whole / F.sqrt(n - 1)
-        half = -(F.log(two_sided(even)) + F.log(two_sided(run)) + F.log(two_sided(serial)))
-        return F.exp(-half) * (1 + half + half * half / 2)
+        run = F.when(variance > 0, (sums["runs"] - mean) / F.sqrt(variance)).otherwise(10.0)
+        serial = sums["products"] / ((k * k - 1) / 12) / F.sqrt(n - 1)
+        logs = F.transform(F.array(even, run, serial), lambda z: F.log(two_sided(z)))
+        half = F.transform(F.array(logs), lambda y: -(F.get(y, F.lit(0)) + F.get(y, F.lit(1)) + F.get(y, F.lit(2))))
+        return F.element_at(F.transform(half, lambda h: F.exp(-h) * (1 + h + h * h / 2)), 1)
 
-    return F.element_at(F.transform(F.array(values), battery), 1)
+    return F.element_at(F.transform(F.array(F.struct(values.alias("values"), size.alias("size"))), battery), 1)
 
 
 def read_tokens(tokens: Column) -> Column:
-    """Tokens with the encoding they imply, their length class and p-value; the last encoding takes every token."""
+    """Tokens with the encoding they imply, their length class and p-value; the last encoding takes every token.
+
+    The encoding is chosen first; its alphabet turns characters to values, and one battery looks at
+    them, whatever the encoding.
+    """
+    names, alphabets = (F.array(*(F.lit(x) for x in xs)) for xs in (list(ENCODINGS), [alphabet for _, alphabet, _ in ENCODINGS.values()]))
+
+    def encoded(x: Column) -> Column:
+        code = F.lit(None).cast("int")
+        for number, (pattern, _, least) in reversed(list(enumerate(ENCODINGS.values()))):
+            code = F.when(x["token"].rlike(pattern) & (F.char_length(x["token"]) >= least), number).otherwise(code)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["token"].alias("token"), code.alias("code"))
 
     def read(x: Column) -> Column:
-        kind, p = F.lit(None).cast("string"), F.lit(None).cast("double")
-        for name, (pattern, alphabet, least) in reversed(ENCODINGS.items()):
-            fits = x["token"].rlike(pattern) & (F.char_length(x["token"]) >= least)
-            kind = F.when(fits, name).otherwise(kind)
-            p = F.when(fits, randomness(x["token"], alphabet)).otherwise(p)
-        group = F.concat(kind, F.lit(":"), F.floor(F.log2(F.char_length(x["token"]).cast("double")) * 2).cast("string"))
+        alphabet = F.get(alphabets, x["code"])
+        values = F.transform(F.split(F.rtrim(x["token"], F.lit("=")), ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
+        group = F.concat(F.get(names, x["code"]), F.lit(":"), F.floor(F.log2(F.char_length(x["token"]).cast("double")) * 2).cast("string"))
+        p = randomness(values, F.char_length(alphabet).cast("double"))
         tens = F.least(F.lit(MOST_TENS * BINS_PER_TEN), F.floor(-F.log10(F.greatest(p, F.lit(10.0**-MOST_TENS))) * BINS_PER_TEN)).cast("int")
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), group.alias("group"), tens.alias("bin"))
 
-    return F.filter(F.transform(tokens, read), lambda x: x["group"].isNotNull())
+    return F.transform(F.filter(F.transform(tokens, encoded), lambda x: x["code"].isNotNull()), read)
 
 
 def least_random(scanned: DataFrame, rate: float) -> dict[str, int]:
