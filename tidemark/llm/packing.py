@@ -19,12 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import common
+from tidemark.llm import common, tokenize
 from tidemark.llm.tokenize import encoder, slices
 from tidemark.session import materialize, shared_folder
 
-#: Characters encoded together, and segments that a worker keeps; fewer than where tokenising stands alone.
-BATCH_CHARS, KEPT_SEGMENTS = 2_000_000, 250_000
+#: Characters encoded together, and segments that a worker keeps, where other stages have used the worker's
+#: memory before; where packing stands alone, what tokenising takes by itself saves time.
+SMALL = (2_000_000, 250_000)
+ALONE = (tokenize.BATCH_CHARS, tokenize.KEPT_SEGMENTS)
 PIECES = "piece long, part long, doc_id long, start long, length long, doc_tokens long, bin long, rank long, ids binary"
 
 
@@ -165,7 +167,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, unit: int, kind: str = "words") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, unit: int, kind: str = "words", room: tuple[int, int] = SMALL) -> DataFrame:
     """Tokenised pieces with their ids (little-endian uint32), written once to the shared folder.
 
     `bin` is a piece's length in units, rounded up; `rank` counts pieces of a bin within `part`.
@@ -173,10 +175,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, unit:
 
     @common.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, part = encoder(tokenizer, kind, KEPT_SEGMENTS), TaskContext.get().partitionId()
+        tool, part = encoder(tokenizer, kind, room[1]), TaskContext.get().partitionId()
         seen, made = np.zeros(length // unit + 1, np.int64), 0
         for batch in batches:
-            for first, texts in slices(batch.column(1).fill_null(""), BATCH_CHARS):
+            for first, texts in slices(batch.column(1).fill_null(""), room[0]):
                 flat, at = tool.ids(texts)
                 ids = np.insert(flat, at[1:], end_id).astype("<u4")
                 sizes = np.diff(at) + 1
@@ -225,13 +227,14 @@ def assign(pieces: DataFrame, length: int, unit: int) -> DataFrame:
     return placed.select("piece", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, unit: int = 4, kind: str = "words") -> tuple[DataFrame, DataFrame]:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, unit: int = 4, kind: str = "words",
+         room: tuple[int, int] = SMALL) -> tuple[DataFrame, DataFrame]:
     """Pieces with their ids, and where each goes (piece, sequence_id, offset).
 
     Null texts are empty and hold the end id alone; null or repeated doc_ids are kept, since pieces
     have numbers of their own. An empty table gives two empty tables.
     """
-    pieces = cut_pieces(docs, tokenizer, end_id, length, unit, kind)
+    pieces = cut_pieces(docs, tokenizer, end_id, length, unit, kind, room)
     return pieces, assign(pieces, length, unit)
 
 
@@ -255,12 +258,13 @@ def checksums(pieces: DataFrame) -> DataFrame:
 
 
 def op2_packed_pieces(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    return packed_rows(common.read_table(spark, sf_dir, "documents"), tokenizer)
+    return packed_rows(common.read_table(spark, sf_dir, "documents"), tokenizer, ALONE)
 
 
-def packed_rows(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def packed_rows(docs: DataFrame, tokenizer: str | None = None, room: tuple[int, int] = SMALL) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. `room` says how many
+    characters are encoded together and how many segments a worker keeps."""
     import public_tokenizers
 
-    pieces, places = pack(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    pieces, places = pack(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), room=room)
     return checksums(pieces).join(places, "piece").drop("piece")
