@@ -3,7 +3,7 @@
 import math
 
 from oracles.base import sql
-from oracles.scores import EXTRA as SCORES, SPLIT, scored
+from oracles.scores import D0, EXTRA as SCORES, SPLIT, sat, scored
 
 DRAW = "CAST('0x' || substr(md5(concat_ws('|', '{seed}', split, baseline, CAST(rep AS VARCHAR), CAST(pos AS VARCHAR))), 1, 13) AS BIGINT)"
 SETS = {
@@ -30,6 +30,46 @@ def stats(source: str, g: str) -> str:
   rank() OVER (PARTITION BY {g} ORDER BY ret) + (count(*) OVER (PARTITION BY {g}, ret) - 1) / 2 AS ry FROM {source})) GROUP BY {g}, n"""
 
 
+WEIGHTS = {"institutional_breadth": (36, 10, 50), "insider_cluster": (36, 10, 50), "dollar_conviction": (18, 0, 35),
+           "agreement_bonus": (18, 0, 35), "institutional_trim_penalty": (14, 0, 30), "insider_sell_penalty": (14, 0, 30)}
+W = [f"w{i}" for i in range(len(WEIGHTS))]
+
+
+def sweep_ctes() -> dict[str, str]:
+    """Four passes of the weight sweep, one after the other."""
+    out = {
+        "sided": """SELECT *, coalesce(funds_accumulating, 0) AS fa, coalesce(funds_trimming, 0) AS ft, coalesce(conviction_funds, 0) AS cf, coalesce(avg_weight_pct, 0) AS aw,
+  coalesce(n_buyers, 0) AS nbuy, coalesce(n_sellers, 0) AS nsell, coalesce(buy_value_usd, 0) AS bval, coalesce(sell_value_usd, 0) AS sval,
+  coalesce(conviction_units, 0) AS cu, coalesce(recency_weighted_buy_usd, 0) AS rw, coalesce(days_since_last_buy, 999) AS dl, coalesce(recent_cluster_n, 0) AS rc FROM feat_in WHERE forward_return_60d IS NOT NULL""",
+        "unitp": f"""SELECT as_of, ticker, forward_return_60d AS ret, {sat('(fa * (1 + 0.5 * ' + sat('cf', '2') + ' + 0.5 * least(1.0::DOUBLE, aw / 5)))', '1.5')} AS u0, {sat('cu', '1.2')} AS u1,
+  CASE WHEN rw > 0 THEN least(log10(rw + 1) / log10(25000001.0::DOUBLE), 1.0::DOUBLE) ELSE {D0} END AS u2,
+  CASE WHEN fa > 0 AND nbuy > 0 THEN 0.5 + 0.5 * greatest(CASE WHEN dl <= 0 THEN 1 ELSE pow(0.5, dl / 30.0::DOUBLE) END, {sat('rc', '1')}) ELSE {D0} END AS u3,
+  -(CASE WHEN ft > fa THEN {sat('ft', '3')} ELSE {D0} END) AS u4, -(CASE WHEN sval > bval AND sval > 0 THEN {sat('nsell', '2')} ELSE {D0} END) AS u5 FROM sided""",
+        "best0": "SELECT " + ", ".join(f"{v[0]}::DOUBLE AS w{i}" for i, v in enumerate(WEIGHTS.values())),
+    }
+    for k, step in enumerate((8, 4, 2, 1), 1):
+        bounds = list(WEIGHTS.values())
+        moved = lambda i, by: f"least({bounds[i][2]}::DOUBLE, greatest({bounds[i][1]}::DOUBLE, w{i} + {by}))"
+        tried = [", ".join(W)] + [", ".join(moved(i, by) if i == j else w for j, w in enumerate(W)) for i in range(len(W)) for by in (step, -step)]
+        out[f"cand{k}"] = " UNION ALL ".join(f"SELECT {p} AS place, {', '.join(f'{x} AS {w}' for x, w in zip(t.split(', ') if p == 0 else split_top(t), W))} FROM best{k - 1}" for p, t in enumerate(tried))
+        out[f"swept{k}"] = f"SELECT place, as_of, ticker, ret, round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, {' + '.join(f'w{i} * u{i}' for i in range(len(W)))})), 6) AS score FROM unitp, cand{k}"
+        out[f"sjudge{k}"] = f"SELECT place, round(rank_ic + 0.5 * spread, 9) AS objective FROM ({stats(f'swept{k}', 'place')})"
+        out[f"best{k}"] = f"SELECT {', '.join(W)}, objective FROM sjudge{k} JOIN cand{k} USING (place) ORDER BY objective DESC, place LIMIT 1"
+    return out
+
+
+def split_top(text: str) -> list[str]:
+    """Parts of a list between commas that no bracket holds."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
 STEPS = [math.floor(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * (2**31 - 1)) for k in range(9)]
 EXTRA = {
     **SCORES,
@@ -57,6 +97,7 @@ EXTRA = {
     "wrows": f"""SELECT split, baseline, r, score, ret, len(list_filter({STEPS}, lambda s: s <= (a * x + b) % 2147483647)) AS w FROM numd, facs UNION ALL SELECT split, baseline, -1, score, ret, 1 FROM obs""",
     "repv": """SELECT split, baseline, r, CASE WHEN vv > 1e-12 THEN (xy * w - x * y) / sqrt(vv) END AS v FROM (SELECT *, (xx * w - x * x) * (yy * w - y * y) AS vv FROM (
    SELECT split, baseline, r, sum(w)::DOUBLE AS w, sum(w * score) AS x, sum(w * ret) AS y, sum(w * score * score) AS xx, sum(w * ret * ret) AS yy, sum(w * score * ret) AS xy FROM wrows GROUP BY ALL))""",
+    **sweep_ctes(),
     "wobs": " UNION ALL ".join(variant(n) for n in SETS),
     "wstat": stats("wobs", "weight_set"),
     "rowx": "SELECT f.* EXCLUDE (accs), a.accs FROM ft f LEFT JOIN f4acc a ON a.ticker = f.ticker AND a.as_of = f.as_of",
@@ -70,6 +111,9 @@ EXTRA = {
 ERR = "(SELECT count(*) - count(forward_return_20d) + count(*) - count(forward_return_60d) + count(*) - count(forward_return_120d) FROM rowx)"
 
 SQL = {
+    "b8_weight_sweep": " UNION ALL ".join(
+        f"SELECT '{name}' AS weight, w{i} AS value, round((SELECT objective FROM sjudge1 WHERE place = 0), 6) AS objective_before, round(objective, 6) AS objective_after FROM best4"
+        for i, name in enumerate(WEIGHTS)),
     "u5_resampled_correlation": """SELECT split, baseline, round(max(v) FILTER (r = -1), 6) AS value, round(l[CAST(floor(0.025 * (len(l) - 1)) AS INT) + 1], 6) AS lo, round(l[CAST(floor(0.975 * (len(l) - 1)) AS INT) + 1], 6) AS hi
  FROM repv JOIN (SELECT split, baseline, list(v ORDER BY v) FILTER (v IS NOT NULL AND r >= 0) AS l FROM repv GROUP BY ALL) USING (split, baseline) GROUP BY split, baseline, l""",
     "w12_average_ranks": """SELECT l_returnflag, l_linestatus, l_extendedprice, count(*) AS n, any_value(r) + (count(*) - 1) / 2 AS rank FROM (

@@ -27,11 +27,10 @@ def _ticker() -> Column:
     return F.nullif(F.upper(text("ticker")), F.lit(""))
 
 
-def evidence(rows: DataFrame) -> DataFrame:
-    """One row: how many rows and tickers carry insider filings, buyers and returns."""
+def _evidence_sums() -> list[Column]:
     has_filings = F.size(split_list("form4_accessions")) > 0
     buyers = F.coalesce(finite_double("open_market_buyers"), F.lit(0.0)) > 0
-    out = rows.agg(
+    return [
         F.count(F.lit(1)).alias("row_count"),
         F.count_distinct(_ticker()).alias("ticker_count"),
         F.count_if(text("feature_scope") == SCOPE_JOINED).alias("joined_rows"),
@@ -41,9 +40,17 @@ def evidence(rows: DataFrame) -> DataFrame:
         F.count_distinct(F.when(buyers, _ticker())).alias("tickers_with_open_market_buyers"),
         F.round(F.coalesce(F.sum(finite_double("open_market_buy_value_usd")), F.lit(0.0)), 2).alias("open_market_buy_value_usd"),
         *[F.count(finite_double(c)).alias(f"{c}_rows") for c in RETURNS],
-    )
+    ]
+
+
+def _with_coverage(sums: DataFrame) -> DataFrame:
     share = lambda c: F.coalesce(F.round(F.try_divide(F.col(f"{c}_rows").cast("double"), F.col("row_count")), 6), F.lit(0.0))
-    return out.withColumns({f"{c}_coverage": share(c) for c in RETURNS})
+    return sums.withColumns({f"{c}_coverage": share(c) for c in RETURNS})
+
+
+def evidence(rows: DataFrame) -> DataFrame:
+    """One row: how many rows and tickers carry insider filings, buyers and returns."""
+    return _with_coverage(rows.agg(*_evidence_sums()))
 
 
 def evidence_counts(rows: DataFrame) -> DataFrame:
@@ -57,8 +64,8 @@ def evidence_counts(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(entries).alias("e")).groupBy("e.section", "e.key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def row_errors(rows: DataFrame) -> DataFrame:
-    """Long rows (field, error, n) of missing values, bad dates and bad numbers."""
+def _errors_of_row(rows: DataFrame) -> Column:
+    """What is wrong with a row: (field, error) of missing values, bad dates and bad numbers."""
     present = [c for c in REQUIRED_COLUMNS if c in rows.columns]
     blank = lambda c: text(c) == ""
     error = lambda cond, field, name: F.when(cond, F.struct(F.lit(field).alias("field"), F.lit(name).alias("error")))
@@ -68,44 +75,42 @@ def row_errors(rows: DataFrame) -> DataFrame:
         error(~blank(c) & finite_double(c).isNull(), c, "not_numeric")
         for c in ("score", *RETURNS) if c in present
     ]
-    return (
-        rows.select(F.explode(F.array_compact(F.array(*checks))).alias("e"))
-        .groupBy("e.field", "e.error").agg(F.count(F.lit(1)).alias("n"))
-    )
+    return F.array_compact(F.array(*checks))
 
 
-def version_mismatches(rows: DataFrame) -> DataFrame:
-    """Long rows (field, value, n) of stamps that are not the expected ones."""
-    off = [
+def _mismatches_of_row(rows: DataFrame) -> Column:
+    """Stamps of a row that are not the expected ones: (field, value)."""
+    return F.array_compact(F.array(*[
         F.when((text(c) != "") & (text(c) != expected), F.struct(F.lit(c).alias("field"), text(c).alias("value")))
         for c, expected in VERSIONS.items() if c in rows.columns
-    ]
-    return (
-        rows.select(F.explode(F.array_compact(F.array(*off))).alias("e"))
-        .groupBy("e.field", "e.value").agg(F.count(F.lit(1)).alias("n"))
-    )
+    ]))
 
 
-def manifest(rows: DataFrame) -> DataFrame:
-    """One row: size, date range, missing columns, errors, and whether the minimum schema holds."""
-    missing = [c for c in REQUIRED_COLUMNS if c not in rows.columns]
-    advised = [c for c in RECOMMENDED_COLUMNS if c not in rows.columns]
-    k = F.lit(1).alias("_k")
+def row_errors(rows: DataFrame) -> DataFrame:
+    """Long rows (field, error, n) of missing values, bad dates and bad numbers."""
+    return rows.select(F.explode(_errors_of_row(rows)).alias("e")).groupBy("e.field", "e.error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def version_mismatches(rows: DataFrame) -> DataFrame:
+    """Long rows (field, value, n) of stamps that are not the expected ones."""
+    return rows.select(F.explode(_mismatches_of_row(rows)).alias("e")).groupBy("e.field", "e.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _manifest_sums(rows: DataFrame) -> list[Column]:
+    """The manifest's figures, all from one pass over the rows."""
     d = lenient_date("as_of")
-    total = lambda df, name: df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name), k)
-    base = rows.agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_distinct(_ticker()).alias("ticker_count"),
-        F.min(d).alias("date_from"), F.max(d).alias("date_to"), k,
-    )
-    out = (
-        base.join(total(row_errors(rows), "row_error_count"), "_k")
-        .join(total(version_mismatches(rows), "version_mismatch_count"), "_k")
-        .drop("_k")
-        .withColumns({
-            "missing_required_columns": F.lit(";".join(missing)),
-            "missing_recommended_columns": F.lit(";".join(advised)),
-        })
-    )
+    total = lambda array, name: F.coalesce(F.sum(F.size(array)), F.lit(0)).cast("long").alias(name)
+    return [
+        F.min(d).alias("date_from"), F.max(d).alias("date_to"),
+        total(_errors_of_row(rows), "row_error_count"), total(_mismatches_of_row(rows), "version_mismatch_count"),
+    ]
+
+
+def _manifest_status(sums: DataFrame, columns: list[str]) -> DataFrame:
+    out = sums.withColumns({
+        "missing_required_columns": F.lit(";".join(c for c in REQUIRED_COLUMNS if c not in columns)),
+        "missing_recommended_columns": F.lit(";".join(c for c in RECOMMENDED_COLUMNS if c not in columns)),
+    })
     valid = (
         (F.col("row_count") > 0) & (F.col("missing_required_columns") == "")
         & (F.col("version_mismatch_count") == 0) & (F.col("row_error_count") == 0)
@@ -113,10 +118,15 @@ def manifest(rows: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(valid, "valid_minimum_schema").otherwise("not_publishable"))
 
 
+def manifest(rows: DataFrame) -> DataFrame:
+    """One row: size, date range, missing columns, errors, and whether the minimum schema holds."""
+    sums = rows.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct(_ticker()).alias("ticker_count"), *_manifest_sums(rows))
+    return _manifest_status(sums, rows.columns)
+
+
 def evidence_review(rows: DataFrame) -> DataFrame:
     """Blockers, warnings and verdict from the manifest and the evidence."""
-    k = F.lit(1).alias("_k")
-    both = manifest(rows).select("status", k).join(evidence(rows).select("*", k), "_k")
+    both = _manifest_status(_with_coverage(rows.agg(*_evidence_sums(), *_manifest_sums(rows))), rows.columns)
     blockers = F.array_compact(F.array(
         F.when(F.col("status") != "valid_minimum_schema", "minimum_schema_not_valid"),
         F.when(F.col("joined_rows") == 0, "no_13f_form4_joined_rows"),

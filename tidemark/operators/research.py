@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.score import add_score, fill_missing_side
+from tidemark.functions.score import add_score, fill_missing_side, pillars
 from tidemark.functions.values import finite_double
 from tidemark.operators import ranking
 from tidemark.params import BASELINES, DEFAULT_WEIGHTS, QUADRANT_RANK, TUNABLE_BOUNDS, Weights
@@ -237,3 +237,68 @@ def optimize_weights(observations: DataFrame, tie: Sequence[str], base: Weights
         if not improved:
             break
     return best, start, best_value
+
+
+# -- weight sweep -------------------------------------------------------------------
+#: Steps of a sweep, one pass each.
+SWEEP_STEPS = (8.0, 4.0, 2.0, 1.0)
+
+
+def unit_pillars(observations: DataFrame, tie: Sequence[str]) -> DataFrame:
+    """Each observation with what its pillars are per unit of each tunable weight. A score is the sum of
+    weights times units, so the pillars are computed once for all weights."""
+    one = Weights(**{w: 1.0 for w in TUNABLE_BOUNDS}).as_dict()
+    out = fill_missing_side(observations).withColumns(pillars(one))
+    apart = lambda w: pillars({**one, w: 0.0})["penalty_score"]
+    return out.select(
+        *tie, "ret", F.col("institutional_score").alias("institutional_breadth"), F.col("insider_score").alias("insider_cluster"),
+        F.col("dollar_score").alias("dollar_conviction"), F.col("agreement_score").alias("agreement_bonus"),
+        apart("insider_sell_penalty").alias("institutional_trim_penalty"), apart("institutional_trim_penalty").alias("insider_sell_penalty"))
+
+
+def sweep_weights(observations: DataFrame, tie: Sequence[str], base: Weights = DEFAULT_WEIGHTS, steps: Sequence[float] = SWEEP_STEPS,
+                  q: int = QUANTILES) -> DataFrame:
+    """Search of the tunable weights, a pass per step: every weight one step up and one down, within its
+    bounds, and the weights as they are, all judged in one job. The best of these is where the next pass
+    starts; of equals the first. One row per weight, with the objective before and after.
+
+    Pillars and the ranks of returns are computed once. The best weights stay a one-row table."""
+    names = list(TUNABLE_BOUNDS)
+    units = unit_pillars(observations, tie)
+    ranks = ranking.average_ranks(units, [], "ret").select("ret", (F.col("rank") - (F.col("total") + 1) / 2).alias("ry"))
+    units = materialize(units.join(ranks, "ret"), "units")
+    first = observations.sparkSession.range(1)
+    best = first.select(F.struct(*(F.lit(float(getattr(base, w))).alias(w) for w in names)).alias("w"), F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("after"))
+    for step in steps:
+        best = materialize(_sweep(units, best, tie, float(step), q), "best-weights")
+    return best.select(F.explode(F.array(*(F.struct(F.lit(w).alias("weight"), F.col(f"w.{w}").alias("value")) for w in names))).alias("e"), "before", "after").select(
+        "e.weight", "e.value", F.round("before", 6).alias("objective_before"), F.round("after", 6).alias("objective_after"))
+
+
+def _sweep(units: DataFrame, best: DataFrame, tie: Sequence[str], step: float, q: int) -> DataFrame:
+    names = list(TUNABLE_BOUNDS)
+
+    def moved(w: Column, which: str | None, by: float) -> Column:
+        values = [(F.least(F.lit(TUNABLE_BOUNDS[n][1]), F.greatest(F.lit(TUNABLE_BOUNDS[n][0]), w[n] + by)) if n == which else w[n]).alias(n) for n in names]
+        return F.struct(*values)
+
+    tried = [(None, 0.0), *((n, by) for n in names for by in (step, -step))]
+    choices = F.array(*(F.struct(F.lit(i).alias("place"), moved(F.col("w"), n, by).alias("w")) for i, (n, by) in enumerate(tried)))
+    candidates = best.select(F.explode(choices).alias("c")).select("c.*")
+    total = F.lit(0.0)
+    for n in names:
+        total = total + F.col(f"c.w.{n}") * F.col(n)
+    scored = units.withColumn("c", F.explode(best.select(choices.alias("c")).scalar())).select(
+        F.col("c.place").alias("place"), *tie, "ret", "ry", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)), 6).alias("score"))
+    scored = materialize(scored, "scored-candidates")
+    ranks = ranking.average_ranks(scored, ["place"], "score").select("place", "score", (F.col("rank") - (F.col("total") + 1) / 2).alias("rx"))
+    sums = scored.join(ranks, ["place", "score"]).groupBy("place").agg(
+        F.sum(F.col("rx") * F.col("ry")).alias("xy"), F.sum(F.col("rx") * F.col("rx")).alias("xx"), F.sum(F.col("ry") * F.col("ry")).alias("yy"))
+    ic = F.when((F.col("xx") == 0) | (F.col("yy") == 0), 0.0).otherwise(F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")))
+    spread = bucket_metrics(scored, ["place"], tie, q).select("place", "top_bottom_spread")
+    judged = sums.join(spread, "place").select("place", F.round(ic + 0.5 * F.col("top_bottom_spread"), 9).alias("objective")).join(candidates, "place")
+    start = best.select("before").scalar()
+    return judged.agg(
+        F.max_by("w", F.struct("objective", -F.col("place"))).alias("w"),
+        F.max(F.when(F.col("place") == 0, F.col("objective"))).alias("now"), F.max("objective").alias("after"),
+    ).select("w", F.coalesce(start, F.col("now")).alias("before"), "after")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import watch
 from tidemark.plans.driver_tables import Tables
-from tidemark.plans.workspace_queries import _flow, stamp
+from tidemark.plans.workspace_queries import _as_stream, _flow, stamp
 from tidemark.session import shared_folder
+from tidemark.streaming import jobs
 from tidemark.streaming.automation import SnapshotRuns
 from tidemark.streaming.jobs import latest_state
 
@@ -72,4 +73,17 @@ def st13_activity(spark, sf):
     return _runs(spark, sf).table("activity").select("key_id", "event_type", "entity_id", "title", "detail", stamp("created_at"))
 
 
-QUERIES = {f.__name__: f for f in (st11_run_outcomes, st11_run_alerts, st11_run_deltas, st13_activity)}
+def st13_operator_events(spark, sf):
+    """Keys created and revoked as a stream of events that comes twice; each is kept once, with its texts cut."""
+    k = Tables(spark, sf).api_keys()
+    event = lambda name, at: F.struct(F.lit(name).alias("event_type"), F.col(at).alias("created_at"))
+    events = k.select("key_id", "label", F.explode(F.array(event("api_key.created", "created_at"), event("api_key.revoked", "revoked_at"))).alias("e")).where("e.created_at IS NOT NULL")
+    events = events.select(
+        F.concat_ws("|", "key_id", "e.event_type").alias("id"), "key_id", "e.event_type", F.lit("api_key").alias("entity_type"), F.col("key_id").alias("entity_id"),
+        F.repeat(F.concat("label", F.lit(" ")), F.lit(40)).alias("title"), "e.created_at")
+    stream = _as_stream(events.unionByName(events), "operator-events")
+    log = jobs.updates_table(jobs.event_appends(stream, "1 day"), "operator-log", "append")
+    return log.select("id", "key_id", "event_type", F.md5("title").alias("title_md5"), F.length("title").cast("long").alias("title_length"), stamp("created_at"))
+
+
+QUERIES = {f.__name__: f for f in (st11_run_outcomes, st11_run_alerts, st11_run_deltas, st13_activity, st13_operator_events)}

@@ -148,9 +148,14 @@ def u5_custom_metric(spark, sf):
     return placed.groupBy(*GROUP).agg(F.round(F.avg(F.when(half, F.col("ret"))), 6).alias("better_half"))
 
 
+def b8_weight_sweep(spark, sf):
+    """Weights after four passes of a sweep, with the objective before and after."""
+    return research.sweep_weights(_weight_observations(Tables(spark, sf)), TIE)
+
+
 QUERIES = {f.__name__: f for f in (
     w12_average_ranks, w13_top_bottom_buckets, b1_rank_ic, b2_b3_spread_and_hit_rate, b4_metrics_by_split,
-    b5_bootstrap_ci, u5_resampled_correlation, b6_permutation_p, b7_weight_sets, b8_weight_search, s19_feature_rows_csv,
+    b5_bootstrap_ci, u5_resampled_correlation, b6_permutation_p, b7_weight_sets, b8_weight_search, b8_weight_sweep, s19_feature_rows_csv,
     s19_feature_rows_jsonl, a13_evidence, a13_evidence_counts, a14_manifest, a14_row_errors,
     a31_content_hash, a32_evidence_review, k9_feature_summary, u5_custom_metric,
 )}
