@@ -49,8 +49,8 @@ SQL = {
  FROM duelist LEFT JOIN perlist USING (run, watchlist_id) LEFT JOIN moved USING (run, watchlist_id) LEFT JOIN alertsnow USING (run, key_id)""",
 }
 SQL["st13_operator_events"] = f"""SELECT key_id || '|' || event_type AS id, key_id, event_type, md5(substr(repeat(label || ' ', 40), 1, 240)) AS title_md5,
-  CAST(length(substr(repeat(label || ' ', 40), 1, 240)) AS BIGINT) AS title_length, {T.format('at')} AS created_at
- FROM (SELECT key_id, label, 'api_key.created' AS event_type, created_at AS at FROM api_keys UNION ALL SELECT key_id, label, 'api_key.revoked', revoked_at FROM api_keys WHERE revoked_at IS NOT NULL)"""
+  CAST(length(substr(repeat(label || ' ', 40), 1, 240)) AS BIGINT) AS title_length, {T.format('moment')} AS created_at
+ FROM (SELECT key_id, label, 'api_key.created' AS event_type, created_at AS moment FROM api_keys UNION ALL SELECT key_id, label, 'api_key.revoked', revoked_at FROM api_keys WHERE revoked_at IS NOT NULL)"""
 
 
 def build() -> dict[str, str]:
