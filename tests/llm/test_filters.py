@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -6,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, host_rules, secret_scan, toxicity
 
@@ -106,6 +108,57 @@ def test_every_token_goes_through_the_battery(spark):
         assert len(hit & set(own)) >= 0.85 * len(own), c
 
 
+def plain_reading(token):
+    """Encoding, length class and p-value bin of a token, in plain Python."""
+    fits = [(name, alphabet) for name, (pattern, alphabet, least) in secret_scan.ENCODINGS.items() if re.search(pattern, token) and len(token) >= least]
+    if not fits:
+        return None
+    name, alphabet = fits[0]
+    v, k = [alphabet.index(c) for c in token.rstrip("=")], len(alphabet)
+    n = len(v)
+    above = lambda z: 1 / (1 + math.exp(min(700.0, 1.5976 * z + 0.07056 * z**3)))
+    two_sided = lambda z: max(min(2 * above(abs(z)), 1.0), 10.0**-10)
+    chi = max(sum(v.count(x) ** 2 for x in range(k)) * k / n - n, 0) / (k - 1)
+    part = 2 / (9 * (k - 1))
+    high = sum(x >= k / 2 for x in v)
+    runs = 1 + sum((x >= k / 2) != (y >= k / 2) for x, y in zip(v, v[1:]))
+    mean = 2 * high * (n - high) / n + 1
+    variance = (mean - 1) * (mean - 2) / (n - 1)
+    serial = sum((x - (k - 1) / 2) * (y - (k - 1) / 2) for x, y in zip(v, v[1:])) / ((k * k - 1) / 12) / math.sqrt(n - 1)
+    half = -sum(math.log(two_sided(z)) for z in ((chi ** (1 / 3) - (1 - part)) / math.sqrt(part), (runs - mean) / math.sqrt(variance) if variance > 0 else 10.0, serial))
+    p = math.exp(-half) * (1 + half + half * half / 2)
+    return f"{name}:{math.floor(2 * math.log2(len(token)))}", min(300, math.floor(-math.log10(max(p, 1e-30)) * 10))
+
+
+def test_one_battery_reads_tokens_of_every_encoding(spark):
+    pick = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    sets = [alphabet for _, alphabet, _ in secret_scan.ENCODINGS.values()] + [letters[:12], "ab1", "7"]
+    tokens = ["".join(pick.choice(s) for _ in range(pick.randrange(19, 90))) + pick.choice(["", "=", "=="]) for s in sets for _ in range(12)]
+    tokens += ["x1" * 30_000, "0" * 20, "a" * 24]
+    rows = spark.createDataFrame(list(enumerate(tokens)), "i int, token string")
+    x = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit(3).alias("kind"), F.col("token")))
+    read = rows.select("i", secret_scan.read_tokens(x).alias("r"))
+    got = {r.i: (r.r[0].group, r.r[0].bin) if r.r else None for r in read.collect()}
+    want = {i: plain_reading(t) for i, t in enumerate(tokens)}
+    near = lambda a, b: a == b or (a and b and a[0] == b[0] and abs(a[1] - b[1]) <= 1)  # noqa: E731  a bin's edge may fall between two roundings
+    assert all(near(got[i], want[i]) for i in want) and sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
+    assert len({g[0].split(":")[0] for g in got.values() if g}) == len(secret_scan.ENCODINGS)
+    assert len(read._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+def test_rates_are_those_of_benjamini_and_hochberg(spark):
+    pick = random.Random(9)
+    rows = [("g", min(300, int(pick.expovariate(0.08)))) for _ in range(400)] + [("h", b) for b in (0, 1, 2)] + [("i", 300)] * 5
+    scanned = spark.createDataFrame([([{"group": g, "bin": b}],) for g, b in rows], "tokens array<struct<group: string, bin: int>>")
+    got = secret_scan.least_random(scanned, 0.05)
+    for group in "ghi":
+        p = sorted(10 ** (-b / 10) for g, b in rows if g == group)
+        last = max((i for i, x in enumerate(p, 1) if x <= 0.05 * i / len(p)), default=0)
+        rejected = {round(-10 * math.log10(x)) for x in p[:last]}
+        assert {b for g, b in rows if g == group and b >= got.get(group, 1 << 30)} == rejected
+
+
 # Decontamination
 
 def edits(a, b):
@@ -187,6 +240,15 @@ def test_edited_passages_are_found_and_nothing_else(spark):
     assert left.count() == len(docs) - len({d for d, _ in found}) and left.columns == ["doc_id", "text", "spans"]
 
 
+def test_short_items_are_listed_and_found_word_for_word(spark):
+    benchmark = spark.createDataFrame([(1, "Yes, it IS."), (2, "one"), (3, " -- "), (4, "four words are here"), (5, "five words are not short"), (None, "no id"), (6, "é日 x"), (6, "é日 x")], "item_id long, text string")
+    assert sorted(str(r.item_id) for r in decontaminate.short_items(benchmark).distinct().collect()) == ["1", "2", "3", "4", "6", "None"]
+    texts = ["well yes it is; yes it is", "ONE-TWO one", "four words are not here", "so four, words ARE here!", "é日\tx", None, "", "x" * 5000]
+    got = sorted(tuple(r) for r in decontaminate.short_matches(table(spark, texts), benchmark).collect())
+    assert got == [(0, 1, 1, 4, 0, 3), (1, 2, 0, 1, 0, 1), (3, 4, 1, 5, 0, 4), (4, 6, 0, 2, 0, 2)]
+    assert decontaminate.short_matches(table(spark, texts), benchmark.where("item_id = 5")).count() == 0
+
+
 # Toxicity
 
 def labelled(n=900, identity=0.3):

@@ -39,7 +39,7 @@ def test_stages_drop_what_they_judge_and_keep_the_rest(spark):
     assert clean.columns == docs.columns
     assert sorted(r.doc_id for r in clean.collect() if r.doc_id is not None) == sorted(r.doc_id for r in docs.collect() if r.doc_id is not None and r.doc_id not in toxic)
 
-    rows = [(r.doc_id, simhash.fingerprint((r.text or "").encode()) % 2**64) for r in docs.collect() if r.doc_id is not None]
+    rows = [(r.doc_id, simhash.fingerprint((r.text or "").encode(), words=5) % 2**64) for r in docs.collect() if r.doc_id is not None]
     single = stages["near duplicates"](spark, docs, SF).collect()
     roots = components(rows)
     assert sorted(r.doc_id for r in single if r.doc_id is not None) == sorted({roots[i] for i, _ in rows}) and sum(r.doc_id is None for r in single) == 1

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
@@ -31,6 +31,8 @@ from tidemark.session import materialize
 LEAST_WORDS = 5
 #: Bytes of words in lower case; zero for bytes between words.
 FOLDED = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint64)
+#: The same words as a pattern, for texts in lower case.
+WORD = r"[a-z0-9\x{80}-\x{10ffff}]+"
 FACTOR = 0xA24BAED4963EE407
 FILTER_BITS = 22
 #: Characters hashed together; each takes some tens of bytes for a while.
@@ -214,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     within (1 - similarity) x item words edits, at its best match. With the default tables and walks
     97 % of copies at 20 % edits are candidates or more, as measured at the shortest items of each window
     size (96.7 % if all edits are deletions); a lower similarity needs more. Null texts have no words; items of fewer than
-    LEAST_WORDS words, or without an item_id, are not looked for; documents without a doc_id are
+    LEAST_WORDS words (short_items() lists them, short_matches() finds them), or without an item_id, are not looked for; documents without a doc_id are
     reported with a null. Rows that repeat an id count as one. Empty tables give no rows.
 
     Items come to the tasks in blocks of at most `block_items`, so that an index has a bounded size;
@@ -251,6 +253,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.start", "x.end", "x.distance", "x.item_words")
 
 
+def short_items(benchmark: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """Items (item_id, words) that contaminated() does not look for: they have fewer words than a window needs.
+    A passage of so few words says little; whoever wants them found takes short_matches()."""
+    lower = F.translate(common.text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = benchmark.select("item_id", F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("words"))
+    return rows.where(F.size("words") < least)
+
+
+def short_matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """Documents that hold a short item word for word, in the columns of contaminated(), at its first place.
+
+    20 % of so few words is no edit, so runs of words are compared as they are: runs of the lengths that
+    short items have meet the items by equality. Items without a word are in no document.
+    """
+    items = short_items(benchmark, least).where("item_id IS NOT NULL AND size(words) > 0").distinct()
+    items = materialize(items.select("item_id", F.size("words").alias("n"), F.array_join("words", " ").alias("run")), "short-items")
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # less than `least` numbers
+    lower = F.translate(common.text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select("doc_id", F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("words"))
+
+    def runs_of(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i: i + n <= F.size("words"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("run"), i.alias("start")))
+
+    empty = F.array().cast("array<struct<n:int,run:string,start:int>>")
+    found = rows.select("doc_id", F.explode(F.concat(empty, *(runs_of(n) for n in lengths))).alias("r")).select("doc_id", "r.*").join(items, ["n", "run"])
+    return found.groupBy("doc_id", "item_id").agg(F.min("start").cast("long").alias("start"), F.max("n").cast("long").alias("item_words")).select(
+        "doc_id", "item_id", "start", (F.col("start") + F.col("item_words")).alias("end"), F.lit(0).cast("long").alias("distance"), "item_words")
+
+
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs less those that hold a benchmark item; rows without a doc_id stay."""
     found = materialize(contaminated(docs, benchmark, **how).where("doc_id is not null").select("doc_id").distinct(), "contaminated")

@@ -117,3 +117,48 @@ def judged(docs: DataFrame, host: str = "source", limit: float = 0.5, certainty:
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judged(common.read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def rule_sql(name: str) -> str:
+    """Whether a host fails a rule: its shrunken rate is above one half by three standard deviations."""
+    rate = f"({name} + weight * mean) / (n + weight)"
+    return f"""SELECT host FROM (
+  SELECT h.host, {rate} AS rate, h.n + weight AS size FROM hosts h, (
+    SELECT mean, CASE WHEN between_hosts > 0 THEN greatest(mean * (1 - mean) / between_hosts - 1, 1e-3::DOUBLE) ELSE total::DOUBLE END AS weight FROM (
+      SELECT mean, total, spread - mean * (1 - mean) * count / total AS between_hosts FROM (
+        SELECT any_value(m.mean) AS mean, any_value(m.total) AS total, count(*) AS count, sum(n * pow({name} / n::DOUBLE - m.mean, 2)) / any_value(m.total) AS spread
+        FROM hosts, (SELECT sum({name}) / sum(n)::DOUBLE AS mean, sum(n) AS total FROM hosts) m))))
+WHERE rate - 3 * sqrt(rate * (1 - rate) / (size + 1)) > 0.5"""
+
+
+OP8_SQL = rf"""
+WITH given AS (
+  SELECT row_number() OVER () AS row, doc_id, source AS host, coalesce(text, '') AS text FROM documents
+), worded AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM given
+), placed AS (
+  SELECT row, unnest(words) AS word, unnest(range(len(words))) AS i FROM worded
+), windows AS (
+  SELECT row, i, string_agg(word, ' ') OVER (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS shingle,
+    count(*) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS size FROM placed
+), again AS (
+  SELECT row, i FROM windows WHERE size = 5 QUALIFY count(*) OVER (PARTITION BY row, shingle) > 1
+), covered AS (
+  SELECT row, count(DISTINCT i + k) AS n FROM again, range(5) r(k) GROUP BY row
+), measured AS (
+  SELECT w.row, doc_id, host, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM worded w LEFT JOIN covered c USING (row)
+), judged AS (
+  SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeats, 10 * n_symbols > n_words AS symbols,
+    10 * n_dup_lines > 3 * n_lines AS same_lines, NOT word_chars BETWEEN 3 * n_words AND 15 * n_words AS word_length FROM measured
+), hosts AS (
+  SELECT host, count(*) AS n, {", ".join(f"count(*) FILTER ({x}) AS {x}" for x in ("short", "repeats", "symbols", "same_lines", "word_length"))} FROM judged GROUP BY host
+), failed AS (
+  {" UNION ".join(rule_sql(x) for x in ("short", "repeats", "symbols", "same_lines", "word_length"))}
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+  NOT (short OR repeats) AND NOT EXISTS (SELECT 1 FROM failed f WHERE f.host IS NOT DISTINCT FROM j.host) AS kept
+FROM judged j
+"""

@@ -20,6 +20,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_captures": warc.OP1_SQL,
+    "op8_host_rules": host_rules.OP8_SQL,
     "op11_repaired_conversations": conversation_repair.OP11_SQL,
     "op12_filter_orders": filter_audit.OP12_SQL,
 }
