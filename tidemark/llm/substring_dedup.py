@@ -31,7 +31,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -257,7 +257,7 @@ class Family:
 
     def repeated(self) -> DataFrame:
         """Suffixes whose head occurs again."""
-        heads = reduce(DataFrame.unionByName, self.found).distinct()
+        heads = materialize(reduce(DataFrame.unionByName, self.found).distinct(), "all-heads-again")
         return reduce(DataFrame.unionByName, (level for _, level, _ in self.levels)).join(heads, "head", "left_semi")
 
 
@@ -312,26 +312,34 @@ def blocks(open_: DataFrame, folder: str, sizes: Sizes) -> DataFrame:
     return by_file(open_.select("file", "place", "shape")).mapInArrow(run, schema)
 
 
+def digest(salt: int, *parts: str | Column) -> list[Column]:
+    """A 128-bit digest as two numbers, which are shuffled where the bytes would be three times as wide."""
+    return [F.xxhash64(F.lit(2 * salt + i), *parts, F.lit(i)) for i in range(2)]
+
+
 def repeated_starts(cut: DataFrame, sizes: Sizes) -> DataFrame:
     """(file, place, n): n window starts from place on, in blocks that occur elsewhere too.
 
-    The window that begins i bytes before its core is told by the core, the i bytes left of it and
-    the block - 1 - i bytes right of it.
+    Blocks with the same bytes are one cell. The window that begins i bytes before its core is told by the
+    core, the i bytes left of it and the block - 1 - i bytes right of it.
     """
-    key = ["core", "left_bytes", "right_bytes"]
     most = sizes.block - 1
-    cells = materialize(cut.groupBy(*key).agg(F.count("*").alias("n")), "blocks-counted")
-    whole = cells.where("n > 1").select(*key, (F.length("left_bytes")).alias("far"), (most - F.length("right_bytes")).alias("near"))
+    k1, k2 = digest(1, "core", "left_bytes", "right_bytes")
+    cell = cut.withColumns({"k1": k1, "k2": k2})
+    cells = materialize(cell.groupBy("k1", "k2").agg(
+        F.count("*").alias("n"), F.first("core").alias("core"), F.first("left_bytes").alias("left_bytes"), F.first("right_bytes").alias("right_bytes")), "blocks-counted")
+    whole = cells.where("n > 1").select("k1", "k2", F.length("left_bytes").alias("far"), (most - F.length("right_bytes")).alias("near"))
     # Tables to join are written first: between plain tables, adaptive execution can split a hot core.
     shared = materialize(cells.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "shared-cores")
     edge = cells.join(shared, "core", "left_semi").select(
-        *key, "n", F.explode(F.sequence(most - F.length("right_bytes"), F.length("left_bytes"))).alias("i"))
-    edge = edge.withColumn("l", F.expr("substring(left_bytes, length(left_bytes) - i + 1, i)")).withColumn("r", F.expr(f"substring(right_bytes, 1, {most} - i)"))
-    edge = materialize(edge, "edges")
-    again = materialize(edge.groupBy("core", "i", "l", "r").agg(F.sum("n").alias("total")).where("total > 1").select("core", "i", "l", "r"), "edges-again")
-    single = edge.where("n = 1").join(again, ["core", "i", "l", "r"], "left_semi").select(*key, F.col("i").alias("far"), F.col("i").alias("near"))
+        "k1", "k2", "n", "core", "left_bytes", "right_bytes", F.explode(F.sequence(most - F.length("right_bytes"), F.length("left_bytes"))).alias("i"))
+    e1, e2 = digest(2, "core", "i", F.expr("substring(left_bytes, length(left_bytes) - i + 1, i)"), F.expr(f"substring(right_bytes, 1, {most} - i)"))
+    edge = materialize(edge.select("k1", "k2", "n", F.col("i").cast("int").alias("i"), e1.alias("e1"), e2.alias("e2")), "edges")
+    again = materialize(edge.groupBy("e1", "e2").agg(F.sum("n").alias("total")).where("total > 1").select("e1", "e2"), "edges-again")
+    single = edge.where("n = 1").select("k1", "k2", "i", "e1", "e2").join(again, ["e1", "e2"], "left_semi").select("k1", "k2", F.col("i").alias("far"), F.col("i").alias("near"))
     found = materialize(whole.unionByName(single), "blocks-again")
-    return cut.join(found, key).select("file", (F.col("place") - F.col("far")).alias("place"), (F.col("far") - F.col("near") + 1).cast("int").alias("n"))
+    return cell.select("k1", "k2", "file", "place").join(found, ["k1", "k2"]).select(
+        "file", (F.col("place") - F.col("far")).alias("place"), (F.col("far") - F.col("near") + 1).cast("int").alias("n"))
 
 
 def matches(family: Family, folder: str, sizes: Sizes) -> DataFrame:
