@@ -303,11 +303,16 @@ def form4_code_counts(rows: DataFrame) -> DataFrame:
     return distinct.groupBy("code", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _expected_issuer(parsed: DataFrame, expected: DataFrame) -> tuple[DataFrame, Column]:
+    """Parsed trades with ``expected_issuer_cik``, and whether the issuer is that one."""
+    both = parsed.join(expected.select("ticker", F.col("cik").alias("expected_issuer_cik")), "ticker")
+    return both, pad_cik("issuer_cik") == F.col("expected_issuer_cik")
+
+
 def guard_issuers(parsed: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split parsed trades by whether the filing's issuer is the one expected for its
     ``ticker``: (kept trades, one row per dropped filing)."""
-    both = parsed.join(expected.select("ticker", F.col("cik").alias("expected_issuer_cik")), "ticker")
-    same = pad_cik("issuer_cik") == F.col("expected_issuer_cik")
+    both, same = _expected_issuer(parsed, expected)
     dropped = both.filter(~same).select(
         "ticker", "accession", "expected_issuer_cik", pad_cik("issuer_cik").alias("actual_issuer_cik"),
         "issuer_name", "owner_cik").distinct()
@@ -318,24 +323,34 @@ def build_form4_rows(parsed: DataFrame, universe: DataFrame, cik_map: DataFrame,
     """Normalized insider rows of a ticker universe: right issuer, filed and traded inside
     the window. ``parsed`` carries the ticker it was fetched for."""
     wanted = universe.select("ticker").distinct().join(cik_map, "ticker")
-    kept, _ = guard_issuers(parsed, wanted)
+    both, same = _expected_issuer(parsed, wanted)
     filed, traded = lenient_date("filing_date"), lenient_date("transaction_date")
-    return kept.filter(filed.between(start, end) & traded.between(start, end)).withColumn(
+    return both.filter(same).filter(filed.between(start, end) & traded.between(start, end)).withColumn(
         "value_usd", trade_value(F.col("shares"), F.col("price_per_share"))
     ).drop("expected_issuer_cik", "issuer_ticker")
 
 
 def form4_build_summary(parsed: DataFrame, universe: DataFrame, cik_map: DataFrame, start: Column, end: Column) -> DataFrame:
     """One row: tickers asked for, without cik, without filings; filings dropped for the
-    wrong issuer; rows written."""
-    k = F.lit(1).alias("_k")
-    tickers = universe.select("ticker").distinct().join(cik_map, "ticker", "left")
-    fetched = parsed.select("ticker").distinct().withColumn("_f", F.lit(1))
-    a = tickers.join(fetched, "ticker", "left").agg(
-        F.count(F.lit(1)).alias("tickers_requested"),
-        F.count_if(F.col("cik").isNull()).alias("tickers_without_cik"),
-        F.count_if(F.col("cik").isNotNull() & F.col("_f").isNull()).alias("tickers_without_filings"), k)
-    _, dropped = guard_issuers(parsed, tickers.filter("cik is not null"))
-    b = dropped.agg(F.count(F.lit(1)).alias("issuer_mismatch_filings"), k)
-    c = build_form4_rows(parsed, universe, cik_map, start, end).agg(F.count(F.lit(1)).alias("rows_new"), k)
-    return a.join(b, "_k").join(c, "_k").drop("_k")
+    wrong issuer; rows written.
+
+    The trades are read once: those of the right issuer fold to a row per ticker, those of
+    a wrong one to a row per filing."""
+    tickers = universe.select("ticker").distinct().join(cik_map, "ticker", "left").groupBy("ticker", "cik").agg(
+        F.count(F.lit(1)).alias("copies"))
+    same = pad_cik("issuer_cik") == F.col("cik")
+    filed, traded = lenient_date("filing_date"), lenient_date("transaction_date")
+    wrong = F.when(~same, F.struct("accession", pad_cik("issuer_cik").alias("actual"), "issuer_name", "owner_cik"))
+    folded = parsed.join(tickers.select("ticker", "cik"), "ticker").groupBy("ticker", "cik", wrong.alias("wrong")).agg(
+        F.count_if(same & filed.between(start, end) & traded.between(start, end)).alias("n"))
+    seen = folded.groupBy(F.col("ticker").alias("_t"), F.col("cik").alias("_c")).agg(
+        F.count("wrong").alias("wrong"), F.sum("n").alias("n"))
+    both = tickers.join(seen, (F.col("ticker") == F.col("_t")) & F.col("cik").eqNullSafe(F.col("_c")), "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counted = lambda cond: total(F.when(cond, F.col("copies")))
+    return both.agg(
+        total("copies").alias("tickers_requested"),
+        counted(F.col("cik").isNull()).alias("tickers_without_cik"),
+        counted(F.col("cik").isNotNull() & F.col("_t").isNull()).alias("tickers_without_filings"),
+        total("wrong").alias("issuer_mismatch_filings"),
+        total(F.col("n") * F.col("copies")).alias("rows_new"))

@@ -209,10 +209,11 @@ class Tables:
             .otherwise("")
         )
         no = brand_no()
+        # Orders meet their customers before the lines, which are many more, so lines move once less.
+        placed = o.join(c, o["o_custkey"] == c["c_custkey"])
         return (
             l.join(p, l["l_partkey"] == p["p_partkey"])
-            .join(o, l["l_orderkey"] == o["o_orderkey"])
-            .join(c, o["o_custkey"] == c["c_custkey"])
+            .join(placed, l["l_orderkey"] == o["o_orderkey"])
             .select(
                 ticker_of(no).alias("ticker"),
                 F.lpad(no, 10, "0").alias("issuer_cik"),

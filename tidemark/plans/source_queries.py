@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions import texts, values
 from tidemark.operators import insider, resolve
 from tidemark.plans.driver_tables import Tables, brand_no, day, ticker_of
-from tidemark.session import shared_folder
+from tidemark.session import materialize, shared_folder
 from tidemark.sources import documents, market, registry, tables, writers
 from tidemark.plans.filing_queries import money
 
@@ -18,7 +18,9 @@ DOCTYPE = '<!DOCTYPE x [<!ENTITY a "b">]>'
 
 
 def tag(name: str, *body, prefix=None):
-    p = F.lit("") if prefix is None else prefix
+    if prefix is None:
+        return F.concat(F.lit(f"<{name}>"), *body, F.lit(f"</{name}>"))
+    p = prefix
     return F.concat(F.lit("<"), p, F.lit(f"{name}>"), *body, F.lit("</"), p, F.lit(f"{name}>"))
 
 
@@ -31,6 +33,11 @@ def _line_parts(t: Tables) -> DataFrame:
     return l.join(p, l["l_partkey"] == p["p_partkey"])
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out evenly before documents are made of them: a document is many times as long as its row."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def info_table_docs(t: Tables, spoil: bool = False) -> DataFrame:
     """One holdings document per order line: the line, and a second entry with bad numbers."""
     ns = F.when(F.col("l_linestatus") == "F", "ns1:").otherwise("")
@@ -47,11 +54,14 @@ def info_table_docs(t: Tables, spoil: bool = False) -> DataFrame:
     if spoil:
         root = (F.when(n == 1, F.concat(F.lit(DOCTYPE), root)).when(n == 2, F.substring(root, 1, 150))
                 .when(n == 3, "").when(n == 4, "<ns1:informationTable xmlns:ns1='urn:holdings'></ns1:informationTable>").otherwise(root))
-    return _line_parts(t).select(F.col("l_orderkey").cast("string").alias("accession"), "l_returnflag", root.alias("xml"))
+    rows = _dealt(_line_parts(t).select(
+        "l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_extendedprice", "l_quantity", "p_name", "p_type", "p_brand"),
+        "l_orderkey", "l_linenumber")
+    return rows.select(F.col("l_orderkey").cast("string").alias("accession"), "l_returnflag", root.alias("xml"))
 
 
 def s1_info_table_xml(spark, sf):
-    rows = documents.parse_info_tables(info_table_docs(Tables(spark, sf)))
+    rows = documents.parse_info_tables(info_table_docs(Tables(spark, sf)), dealt=True)
     return rows.groupBy("issuer", "title_of_class", "cusip", "sh_prn_type", "put_call").agg(
         F.count(F.lit(1)).alias("n"), money2("value"), F.sum("shares").alias("shares"))
 
@@ -61,13 +71,13 @@ def money2(c):
 
 
 def s2_quarantined_documents(spark, sf):
-    out = documents.rejected(info_table_docs(Tables(spark, sf), spoil=True))
+    out = documents.rejected(info_table_docs(Tables(spark, sf), spoil=True), dealt=True)
     return out.groupBy("reject", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def s4_malformed_skipped(spark, sf):
     """The lines of all other documents are read although some documents are broken."""
-    rows = documents.parse_info_tables(info_table_docs(Tables(spark, sf), spoil=True))
+    rows = documents.parse_info_tables(info_table_docs(Tables(spark, sf), spoil=True), dealt=True)
     return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), money2("value"))
 
 
@@ -94,11 +104,15 @@ def form4_docs(t: Tables) -> DataFrame:
             tag("ownershipNature", wrapped("directOrIndirectOwnership", F.when(F.col("is_director"), "I").otherwise("D"))))),
     )
     filed = F.when(F.col("is_officer"), F.col("filing_date").cast("string")).otherwise("")
-    return t.trades().select("accession", filed.alias("filing_date"), xml.alias("xml"))
+    return _dealt(t.trades(), "accession").select("accession", filed.alias("filing_date"), xml.alias("xml"))
+
+
+S3_COLUMNS = ("issuer_ticker", "issuer_cik", "transaction_code", "acquired_disposed", "officer_title", "is_officer", "is_director",
+              "is_ten_percent_owner", "direct", "shares", "price_per_share", "shares_owned_after", "filing_date", "transaction_date")
 
 
 def s3_form4_xml(spark, sf):
-    r = documents.parse_form4(form4_docs(Tables(spark, sf)))
+    r = documents.parse_form4(form4_docs(Tables(spark, sf)), columns=S3_COLUMNS, dealt=True)
     return r.groupBy("issuer_ticker", "issuer_cik", "transaction_code", "acquired_disposed", "officer_title", "is_officer",
                      "is_director", "is_ten_percent_owner", "direct").agg(
         F.count(F.lit(1)).alias("n"), F.sum("shares").alias("shares"), F.round(F.sum("price_per_share"), 2).alias("prices"),
@@ -106,25 +120,28 @@ def s3_form4_xml(spark, sf):
         F.max("transaction_date").alias("last_traded"))
 
 
-def _form4_build(t: Tables):
-    parsed = documents.parse_form4(form4_docs(t)).withColumn("ticker", F.col("issuer_ticker"))
+def _form4_build(t: Tables, *columns: str):
+    """Parsed trades with the columns that are read, and the tickers asked for with their ciks: these are few and
+    written first, so that joins with them move no trades."""
+    wanted = {"issuer_ticker", "issuer_cik", *columns}
+    parsed = documents.parse_form4(form4_docs(t), columns=wanted, dealt=True).withColumn("ticker", F.col("issuer_ticker"))
     universe = _line_parts(t).select(ticker_of(brand_no()).alias("ticker")).distinct().unionByName(
         t.spark.createDataFrame([("QQQ",)], "ticker string"))
-    ciks = resolve.ticker_cik_map(_companies(t))
-    return parsed, universe, ciks, F.lit("2023-01-01").cast("date"), F.lit("2025-12-31").cast("date")
+    ciks = materialize(resolve.ticker_cik_map(_companies(t)), "ciks")
+    return parsed, materialize(universe, "universe"), ciks, F.lit("2023-01-01").cast("date"), F.lit("2025-12-31").cast("date")
 
 
 def k8_form4_rows(spark, sf):
-    rows = insider.build_form4_rows(*_form4_build(Tables(spark, sf)))
+    rows = insider.build_form4_rows(*_form4_build(Tables(spark, sf), "filing_date", "transaction_date", "transaction_code", "shares", "price_per_share"))
     return rows.groupBy("ticker", "transaction_code").agg(F.count(F.lit(1)).alias("n"), money2("value_usd"))
 
 
 def k8_form4_summary(spark, sf):
-    return insider.form4_build_summary(*_form4_build(Tables(spark, sf)))
+    return insider.form4_build_summary(*_form4_build(Tables(spark, sf), "filing_date", "transaction_date", "issuer_name", "owner_cik"))
 
 
 def p13_issuer_guard(spark, sf):
-    parsed, universe, ciks, *_ = _form4_build(Tables(spark, sf))
+    parsed, universe, ciks, *_ = _form4_build(Tables(spark, sf), "issuer_name", "owner_cik")
     _, dropped = insider.guard_issuers(parsed, universe.join(ciks, "ticker"))
     return dropped.groupBy("ticker", "expected_issuer_cik", "actual_issuer_cik").agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,6 +6,8 @@ cluster by Spark's own XML and JSON functions.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.texts import pad_cik
@@ -52,39 +54,43 @@ def reject_reason(xml: Column, max_bytes: int | None = None) -> Column:
     reason = F.when(xml.isNull() | (F.trim(xml) == ""), "empty")
     if max_bytes is not None:
         reason = reason.when(F.octet_length(xml) > max_bytes, "too_large")
-    return reason.when(xml.rlike("(?i)<!(DOCTYPE|ENTITY)"), "dtd_or_entity")
+    # The plain search is cheap and rules out nearly all documents.
+    return reason.when(xml.contains("<!") & xml.rlike("(?i)<!(DOCTYPE|ENTITY)"), "dtd_or_entity")
 
 
-def _parse(docs: DataFrame, schema: T.StructType, max_bytes: int | None) -> DataFrame:
+def _parse(docs: DataFrame, schema: T.StructType, max_bytes: int | None, dealt: bool = False) -> DataFrame:
     """Documents with the top-level elements as columns and ``reject``. The generator makes
     Spark parse each document once, however many fields are read later.
 
     Parsing costs far more than moving a document, so documents are first dealt out evenly: a few
-    large files, or one, would else be parsed by as many tasks. Rejected ones leave their text behind."""
+    large files, or one, would else be parsed by as many tasks. Rejected ones leave their text behind.
+    A caller whose documents lie evenly already says so by ``dealt``, and they are parsed in place."""
     keep = [c for c in docs.columns if c != "xml"]
     checked = docs.withColumn("reject", reject_reason(F.col("xml"), max_bytes))
     safe = F.when(F.col("reject").isNull(), F.col("xml")).alias("xml")
-    dealt = checked.select(*keep, "reject", safe).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parsed = dealt.select(*keep, "reject", F.inline(F.array(F.from_xml("xml", schema, XML_OPTIONS))))
+    placed = checked.select(*keep, "reject", safe)
+    if not dealt:
+        placed = placed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parsed = placed.select(*keep, "reject", F.inline(F.array(F.from_xml("xml", schema, XML_OPTIONS))))
     return parsed.withColumn(
         "reject", F.coalesce("reject", F.when(F.col("_corrupt_record").isNotNull(), "malformed"))
     ).drop("_corrupt_record")
 
 
-def rejected(docs: DataFrame, kind: str = "13f", max_bytes: int | None = None) -> DataFrame:
+def rejected(docs: DataFrame, kind: str = "13f", max_bytes: int | None = None, dealt: bool = False) -> DataFrame:
     """Side output: documents left out and why. One bad document never stops the batch."""
     schema = INFO_TABLE if kind == "13f" else OWNERSHIP
     keep = [c for c in docs.columns if c != "xml"]
-    return _parse(docs, schema, max_bytes).filter("reject is not null").select(*keep, "reject")
+    return _parse(docs, schema, max_bytes, dealt).filter("reject is not null").select(*keep, "reject")
 
 
-def parse_info_tables(docs: DataFrame, max_bytes: int | None = None, with_rejects: bool = False) -> DataFrame:
+def parse_info_tables(docs: DataFrame, max_bytes: int | None = None, with_rejects: bool = False, dealt: bool = False) -> DataFrame:
     """Holding lines of information-table documents. ``docs`` has an ``xml`` column; its other
     columns are kept. Commas in numbers are dropped, unreadable numbers count as zero.
 
     ``with_rejects`` adds ``reject`` and, from the same parse, a row for each document left out."""
     keep = [c for c in docs.columns if c != "xml"]
-    parsed = _parse(docs, INFO_TABLE, max_bytes)
+    parsed = _parse(docs, INFO_TABLE, max_bytes, dealt)
     if with_rejects:
         keep.append("reject")
         lines = F.when(F.col("reject").isNull(), F.col("infoTable"))
@@ -104,44 +110,86 @@ def parse_info_tables(docs: DataFrame, max_bytes: int | None = None, with_reject
     )
 
 
-def parse_form4(docs: DataFrame, max_bytes: int | None = None) -> DataFrame:
+TRADE = "nonDerivativeTable.nonDerivativeTransaction"
+#: Elements that each column of a parsed trade is read from.
+FORM4_ELEMENTS = {
+    "filing_date": "periodOfReport",
+    "period_of_report": "periodOfReport",
+    "issuer_cik": "issuer.issuerCik",
+    "issuer_name": "issuer.issuerName",
+    "issuer_ticker": "issuer.issuerTradingSymbol",
+    "owner_cik": "reportingOwner.reportingOwnerId.rptOwnerCik",
+    "owner_name": "reportingOwner.reportingOwnerId.rptOwnerName",
+    "officer_title": "reportingOwner.reportingOwnerRelationship.officerTitle",
+    "is_officer": "reportingOwner.reportingOwnerRelationship.isOfficer",
+    "is_director": "reportingOwner.reportingOwnerRelationship.isDirector",
+    "is_ten_percent_owner": "reportingOwner.reportingOwnerRelationship.isTenPercentOwner",
+    "security_title": f"{TRADE}.securityTitle.value",
+    "transaction_date": f"{TRADE}.transactionDate.value",
+    "transaction_code": f"{TRADE}.transactionCoding.transactionCode",
+    "acquired_disposed": f"{TRADE}.transactionAmounts.transactionAcquiredDisposedCode.value",
+    "shares": f"{TRADE}.transactionAmounts.transactionShares.value",
+    "price_per_share": f"{TRADE}.transactionAmounts.transactionPricePerShare.value",
+    "shares_owned_after": f"{TRADE}.postTransactionAmounts.sharesOwnedFollowingTransaction.value",
+    "direct": f"{TRADE}.ownershipNature.directOrIndirectOwnership.value",
+}
+
+
+def _pruned(schema: T.StructType, paths: set[str], at: str = "") -> T.StructType:
+    """The schema without what lies on no path."""
+    def kept(kind: T.DataType, here: str) -> T.DataType:
+        if isinstance(kind, T.ArrayType):
+            return T.ArrayType(kept(kind.elementType, here))
+        return _pruned(kind, paths, here + ".") if isinstance(kind, T.StructType) else kind
+
+    return T.StructType([
+        T.StructField(f.name, kept(f.dataType, at + f.name)) for f in schema
+        if any(p == at + f.name or p.startswith(f"{at}{f.name}.") for p in paths)])
+
+
+def parse_form4(docs: DataFrame, max_bytes: int | None = None, columns: Iterable[str] | None = None, dealt: bool = False) -> DataFrame:
     """Table I trades of ownership documents. ``docs`` has ``xml``, ``accession`` and
-    ``filing_date``; the first reporting owner stands for the filing."""
-    doc = _parse(docs, OWNERSHIP, max_bytes).filter("reject is null")
+    ``filing_date``; the first reporting owner stands for the filing.
+
+    Turning elements into fields is most of a parse, so a caller may name the ``columns`` it reads:
+    elements of others are passed over, and only ``accession`` comes besides."""
+    names = [c for c in FORM4_ELEMENTS if columns is None or c in set(columns)]
+    # A trade is a row even if nothing of it is read.
+    paths = {FORM4_ELEMENTS[c] for c in [*names, "transaction_code"]} | {"_corrupt_record"}
+    doc = _parse(docs, _pruned(OWNERSHIP, paths), max_bytes, dealt).filter("reject is null")
     owner = F.get("reportingOwner", F.lit(0))
-    role = owner["reportingOwnerRelationship"]
+    role = lambda c: owner["reportingOwnerRelationship"][c]
     flag = lambda c: F.lower(text(c)).isin("1", "true")
-    period = text("periodOfReport")
-    cik = text("issuer.issuerCik")
-    rows = doc.select(
-        "accession",
-        F.when(text("filing_date") == "", period).otherwise(text("filing_date")).alias("filing_date"),
-        period.alias("period_of_report"),
-        F.when(cik == "", "").otherwise(pad_cik(cik)).alias("issuer_cik"),
-        text("issuer.issuerName").alias("issuer_name"),
-        F.upper(text("issuer.issuerTradingSymbol")).alias("issuer_ticker"),
-        text(owner["reportingOwnerId"]["rptOwnerCik"]).alias("owner_cik"),
-        text(owner["reportingOwnerId"]["rptOwnerName"]).alias("owner_name"),
-        text(role["officerTitle"]).alias("officer_title"),
-        flag(role["isOfficer"]).alias("is_officer"),
-        flag(role["isDirector"]).alias("is_director"),
-        flag(role["isTenPercentOwner"]).alias("is_ten_percent_owner"),
-        F.explode("nonDerivativeTable.nonDerivativeTransaction").alias("t"),
-    )
     number = lambda c: F.coalesce(lenient_double(c), F.lit(0.0))
     amount = lambda c: F.col(f"t.transactionAmounts.{c}.value")
     default = lambda c, v: F.coalesce(F.nullif(F.upper(text(c)), F.lit("")), F.lit(v))
-    return rows.select(
-        "*",
-        text("t.securityTitle.value").alias("security_title"),
-        text("t.transactionDate.value").alias("transaction_date"),
-        F.upper(text("t.transactionCoding.transactionCode")).alias("transaction_code"),
-        default(amount("transactionAcquiredDisposedCode"), "A").alias("acquired_disposed"),
-        number(amount("transactionShares")).alias("shares"),
-        number(amount("transactionPricePerShare")).alias("price_per_share"),
-        number("t.postTransactionAmounts.sharesOwnedFollowingTransaction.value").alias("shares_owned_after"),
-        default("t.ownershipNature.directOrIndirectOwnership.value", "D").startswith("D").alias("direct"),
-    ).drop("t")
+    period, cik = lambda: text("periodOfReport"), lambda: text("issuer.issuerCik")
+    of_filing = {
+        "filing_date": lambda: F.when(text("filing_date") == "", period()).otherwise(text("filing_date")),
+        "period_of_report": period,
+        "issuer_cik": lambda: F.when(cik() == "", "").otherwise(pad_cik(cik())),
+        "issuer_name": lambda: text("issuer.issuerName"),
+        "issuer_ticker": lambda: F.upper(text("issuer.issuerTradingSymbol")),
+        "owner_cik": lambda: text(owner["reportingOwnerId"]["rptOwnerCik"]),
+        "owner_name": lambda: text(owner["reportingOwnerId"]["rptOwnerName"]),
+        "officer_title": lambda: text(role("officerTitle")),
+        "is_officer": lambda: flag(role("isOfficer")),
+        "is_director": lambda: flag(role("isDirector")),
+        "is_ten_percent_owner": lambda: flag(role("isTenPercentOwner")),
+    }
+    of_trade = {
+        "security_title": lambda: text("t.securityTitle.value"),
+        "transaction_date": lambda: text("t.transactionDate.value"),
+        "transaction_code": lambda: F.upper(text("t.transactionCoding.transactionCode")),
+        "acquired_disposed": lambda: default(amount("transactionAcquiredDisposedCode"), "A"),
+        "shares": lambda: number(amount("transactionShares")),
+        "price_per_share": lambda: number(amount("transactionPricePerShare")),
+        "shares_owned_after": lambda: number("t.postTransactionAmounts.sharesOwnedFollowingTransaction.value"),
+        "direct": lambda: default("t.ownershipNature.directOrIndirectOwnership.value", "D").startswith("D"),
+    }
+    rows = doc.select(
+        "accession", *(make().alias(c) for c, make in of_filing.items() if c in names), F.explode(TRADE).alias("t"))
+    return rows.select("*", *(make().alias(c) for c, make in of_trade.items() if c in names)).drop("t")
 
 
 # -- filing lists ----------------------------------------------------------------
