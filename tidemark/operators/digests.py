@@ -37,20 +37,29 @@ def _starts(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
 
 
 def list_digests(rows: DataFrame, keys: list[str], entry: Column | str, order: list[Column | str] | None = None,
-                 distinct: bool = True, texts: dict[str, Column | str] | None = None, separator: str = ";") -> DataFrame:
+                 distinct: bool = True, texts: dict[str, Column | str] | None = None, separator: str = ";",
+                 combine: bool = True) -> DataFrame:
     """Per key: ``n`` entries and ``digest``, the SHA-256 of the compact JSON text of their list.
 
     Entries are in order of ``order``, by default their own. ``distinct`` counts equal rows once. Each of ``texts``
     becomes a column in which its values stand one after the other. Null entries and texts are left out, as
     aggregates of lists leave them out; a key without entries has no row.
+
+    Equal rows are folded before they move; where they are rare that only moves all rows once more, and
+    ``combine=False`` folds them where their key is.
     """
     texts = texts or {}
-    places = order or [entry]
-    named = {"_entry": entry} | {f"_o{i}": x for i, x in enumerate(places)} | {f"_t{i}": x for i, x in enumerate(texts.values())}
-    work = rows.select(*keys, *((F.col(x) if isinstance(x, str) else x).alias(name) for name, x in named.items())).where("_entry IS NOT NULL")
-    if distinct:
+    column = lambda x: F.col(x) if isinstance(x, str) else x
+    work = rows.select(*keys, column(entry).alias("_entry"), *(column(x).alias(f"_o{i}") for i, x in enumerate(order or [])),
+                       *(column(x).alias(f"_t{i}") for i, x in enumerate(texts.values()))).where("_entry IS NOT NULL")
+    if distinct and combine:
+        work = work.distinct()
+    work = work.repartition(*keys)
+    if distinct and not combine:
         work = work.distinct()
-    work = work.withColumn("_json", json_entry(F.col("_entry"))).repartition(*keys).sortWithinPartitions(*keys, *(f"_o{i}" for i in range(len(places))))
+    # The text of an entry is made after the rows have moved and are sorted.
+    work = work.sortWithinPartitions(*keys, *([f"_o{i}" for i in range(len(order))] if order else ["_entry"]))
+    work = work.withColumn("_json", json_entry(F.col("_entry")))
     said = [f"_t{i}" for i in range(len(texts))]
     schema = T.StructType([
         *(T.StructField(k, rows.select(k).schema[0].dataType) for k in keys), T.StructField("n", T.LongType()), T.StructField("digest", T.StringType()),

@@ -169,13 +169,16 @@ def activity_by_window(trades: DataFrame, points: DataFrame, windows: tuple[int,
     return ticker_activity(owner_activity(per_window, max(windows), p, keys), p, keys)
 
 
+def visible_filings(trades: DataFrame, points: DataFrame, window_days: int = FORM4_WINDOW_DAYS) -> DataFrame:
+    """Insider filings visible for each (ticker, as_of), a row per trade of a filing."""
+    slim = trades.select("ticker", "accession", "filing_date", "transaction_date").filter("accession <> ''")
+    return visible_at(slim, points, window_days).select("ticker", "as_of", "accession")
+
+
 def visible_accessions(trades: DataFrame, points: DataFrame,
                        window_days: int = FORM4_WINDOW_DAYS) -> DataFrame:
     """Distinct insider filings visible for each (ticker, as_of), one per row."""
-    slim = trades.select("ticker", "accession", "filing_date", "transaction_date").filter(
-        "accession <> ''"
-    ).distinct()
-    return visible_at(slim, points, window_days).select("ticker", "as_of", "accession").distinct()
+    return visible_filings(trades, points, window_days).distinct()
 
 
 def buyer_rows(owners: DataFrame) -> DataFrame:

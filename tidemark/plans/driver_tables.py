@@ -183,6 +183,10 @@ class Tables:
             .agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) + 1e-7, 2).alias("adj_close"))
         )
 
+    def stored_prices(self) -> DataFrame:
+        """The prices as a written table, a row per ticker and day: lines are scanned once for all that look them up."""
+        return self._store("prices", self.prices)
+
     def fundamentals(self) -> DataFrame:
         p = self.read("part")
         return p.groupBy(ticker_of(brand_no()).alias("ticker")).agg(

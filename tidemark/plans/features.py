@@ -114,8 +114,9 @@ def export_features(features: DataFrame, moves: DataFrame, funds: DataFrame, tra
     if trades is None:
         out = out.withColumns({"_hash": F.lit(None).cast("string"), "_list": F.lit(None).cast("string")})
     else:
-        visible = insider.visible_accessions(trades, features.select("ticker", "as_of"), window_days)
-        lists = list_digests(visible, ["ticker", "as_of"], "accession", texts={"_list": F.nullif("accession", F.lit(""))})
+        # A filing has few trades, so its copies are folded where its key is.
+        visible = insider.visible_filings(trades, features.select("ticker", "as_of"), window_days)
+        lists = list_digests(visible, ["ticker", "as_of"], "accession", texts={"_list": "accession"}, combine=False)
         out = out.join(lists.drop("n").withColumnRenamed("digest", "_hash"), ["ticker", "as_of"], "left")
     source = F.lit("")
     if priced is not None:

@@ -99,7 +99,7 @@ def f11_trade_value(spark, sf):
 
 def _features(t: Tables, trades=True):
     m = t.moves()
-    return m, feat.build_features(m, t.trades() if trades else None, t.prices())
+    return m, feat.build_features(m, t.trades() if trades else None, t.stored_prices())
 
 
 def a8_institutional_signals(spark, sf):
@@ -219,9 +219,12 @@ def p10_universe_restriction(spark, sf):
 
 
 def _export(t: Tables):
-    m, f = _features(t)
-    f = materialize(f, "features")
-    return feat.export_features(f, m, t.funds(), t.trades(), price_source="local", priced=t.prices(), code_commit="test")
+    # Signals and both lists of the lineage read the moves, so they are made once: what is read of long positions with a ticker.
+    m = t.moves().filter("put_call = '' and coalesce(ticker, '') <> ''").select(
+        "cik", "report_date", "cusip", "put_call", "ticker", "issuer", "title_of_class", "move", "curr_value", "curr_weight", "filing_date", "accession")
+    m = materialize(m, "moves")
+    f = materialize(feat.build_features(m, t.trades(), t.stored_prices()), "features")
+    return feat.export_features(f, m, t.funds(), t.trades(), price_source="local", priced=t.stored_prices(), code_commit="test")
 
 
 def k9_export_rows(spark, sf):
