@@ -7,7 +7,7 @@ from batch to batch: a task holds the hash of the key it is at, whatever the num
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,30 +37,40 @@ def _starts(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
 
 
 def list_digests(rows: DataFrame, keys: list[str], entry: Column | str, order: list[Column | str] | None = None,
-                 distinct: bool = True, texts: dict[str, Column | str] | None = None, separator: str = ";",
+                 distinct: bool = True, texts: dict[str, Column | str | Callable[[Column], Column]] | None = None, separator: str = ";",
                  combine: bool = True) -> DataFrame:
     """Per key: ``n`` entries and ``digest``, the SHA-256 of the compact JSON text of their list.
 
     Entries are in order of ``order``, by default their own. ``distinct`` counts equal rows once. Each of ``texts``
     becomes a column in which its values stand one after the other. Null entries and texts are left out, as
-    aggregates of lists leave them out; a key without entries has no row.
+    aggregates of lists leave them out; a key without entries has no row. A text that is a function is made of
+    the entry where its key is. A column that is named more than once moves once.
 
     Equal rows are folded before they move; where they are rare that only moves all rows once more, and
     ``combine=False`` folds them where their key is.
     """
     texts = texts or {}
-    column = lambda x: F.col(x) if isinstance(x, str) else x
-    work = rows.select(*keys, column(entry).alias("_entry"), *(column(x).alias(f"_o{i}") for i, x in enumerate(order or [])),
-                       *(column(x).alias(f"_t{i}") for i, x in enumerate(texts.values()))).where("_entry IS NOT NULL")
+    moved: dict[str, Column] = {}
+
+    def carried(x: Column | str, name: str) -> str:
+        if isinstance(x, str):
+            name = f"_c_{x}"
+        moved[name] = F.col(x) if isinstance(x, str) else x
+        return name
+
+    held = carried(entry, "_entry")
+    by = [carried(x, f"_o{i}") for i, x in enumerate(order or [])] or [held]
+    told = [x(F.col(held)) if callable(x) and not isinstance(x, Column) else F.col(carried(x, f"_t{i}")) for i, x in enumerate(texts.values())]
+    work = rows.select(*keys, *(c.alias(name) for name, c in moved.items())).where(F.col(held).isNotNull())
     if distinct and combine:
         work = work.distinct()
     work = work.repartition(*keys)
     if distinct and not combine:
         work = work.distinct()
     # The text of an entry is made after the rows have moved and are sorted.
-    work = work.sortWithinPartitions(*keys, *([f"_o{i}" for i in range(len(order))] if order else ["_entry"]))
-    work = work.withColumn("_json", json_entry(F.col("_entry")))
+    work = work.sortWithinPartitions(*keys, *by)
     said = [f"_t{i}" for i in range(len(texts))]
+    work = work.select(*keys, json_entry(F.col(held)).alias("_json"), *(c.cast("string").alias(x) for x, c in zip(said, told, strict=True)))
     schema = T.StructType([
         *(T.StructField(k, rows.select(k).schema[0].dataType) for k in keys), T.StructField("n", T.LongType()), T.StructField("digest", T.StringType()),
         *(T.StructField(name, T.StringType()) for name in texts)])
@@ -101,4 +111,4 @@ def list_digests(rows: DataFrame, keys: list[str], entry: Column | str, order: l
             close()
         yield emit()
 
-    return work.select(*keys, "_json", *(F.col(x).cast("string") for x in said)).mapInArrow(run, schema)
+    return work.mapInArrow(run, schema)

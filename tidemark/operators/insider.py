@@ -28,8 +28,9 @@ def _kind(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def fold_trades(trades: DataFrame, p: FeatureParams = DEFAULT_FEATURES) -> DataFrame:
-    """One row per (ticker, owner, filing_date, transaction_date) with summed measures."""
+def fold_trades(trades: DataFrame, p: FeatureParams = DEFAULT_FEATURES, by_owner: bool = False) -> DataFrame:
+    """One row per (ticker, owner, filing_date, transaction_date) with summed measures. ``by_owner``
+    deals trades out by (ticker, owner) alone: what is folded per owner later need not move again."""
     c_suite = is_c_suite(F.col("is_officer"), F.col("officer_title"))
     stake = stake_increase(F.col("shares"), F.col("shares_owned_after"))
     weight = sizing_multiplier(stake, p) * seniority_multiplier(
@@ -53,6 +54,12 @@ def fold_trades(trades: DataFrame, p: FeatureParams = DEFAULT_FEATURES) -> DataF
     )
     only = lambda flag, c: F.sum(F.when(F.col(flag), F.col(c)).otherwise(0.0))
     order = F.struct("accession", "who")
+    if by_owner:
+        # Only purchases and sales take their figures along.
+        deal = F.when(F.col("buy") | F.col("sell"), F.struct("shares", "value", "stake", "weight", order.alias("order")))
+        keys = ["ticker", "owner", "filing_date", "transaction_date", "buy", "sell", "issuer_name"]
+        prepared = prepared.select(*keys, deal.alias("deal")).repartition("ticker", "owner").select(*keys, "deal.*")
+        order = F.col("order")
     return prepared.groupBy("ticker", "owner", "filing_date", "transaction_date").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if("buy").alias("n_buys"),
@@ -152,7 +159,7 @@ def ticker_activity(owners: DataFrame, p: FeatureParams = DEFAULT_FEATURES,
 def insider_activity(trades: DataFrame, points: DataFrame, window_days: int = FORM4_WINDOW_DAYS,
                      p: FeatureParams = DEFAULT_FEATURES) -> DataFrame:
     """Point-in-time insider activity for each (ticker, as_of)."""
-    visible = visible_at(fold_trades(trades, p), points, window_days)
+    visible = visible_at(fold_trades(trades, p, by_owner=True), points, window_days)
     return ticker_activity(owner_activity(visible, window_days, p), p)
 
 

@@ -41,25 +41,42 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def line_parts(self) -> DataFrame:
+        """Order lines with their parts: the written table where one was kept."""
+        if "line_parts" in self._stored:
+            return self._stored["line_parts"]
+        l, p = self.read("lineitem"), self.read("part").withColumn("brand_no", brand_no())
+        return l.join(p, l["l_partkey"] == p["p_partkey"])
+
+    def keep_line_parts(self) -> None:
+        """Lines meet their parts once for holdings, prices and trades, with the columns these read."""
+        self._store("line_parts", lambda: self.line_parts().select(
+            "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice",
+            "p_brand", "brand_no", "p_name", "p_type", "p_size"))
+
     # -- filings ---------------------------------------------------------------
-    def lines(self) -> DataFrame:
+    def lines(self, by_fund: bool = False) -> DataFrame:
         """Reported lines. A third of the funds put most amendment lines into the original
-        filing, so their amendments are partial."""
-        l, p = self.read("lineitem"), self.read("part")
-        no = brand_no()
+        filing, so their amendments are partial. ``by_fund`` deals the lines out by fund while they
+        are narrow: texts are made of them afterwards."""
         amended = (F.col("l_linestatus") == "O") & ~(
             (F.col("l_suppkey") % 3 == 0) & (F.col("l_linenumber") > 2)
         )
+        rows = self.line_parts().select(
+            F.lpad(F.col("l_suppkey").cast("string"), 10, "0").alias("cik"), quarter_end("l_shipdate").alias("report_date"),
+            amended.alias("amended"), (F.col("l_returnflag") == "R").alias("put"), "brand_no", "p_name", "p_type", "l_extendedprice", "l_quantity")
+        if by_fund:
+            rows = rows.repartition("cik")
+        no = F.col("brand_no")
         return self._filed(
-            l.join(p, l["l_partkey"] == p["p_partkey"]).select(
-                F.lpad(F.col("l_suppkey").cast("string"), 10, "0").alias("cik"),
-                quarter_end("l_shipdate").alias("report_date"),
-                F.when(amended, "13F-HR/A").otherwise("13F-HR").alias("form"),
+            rows.select(
+                "cik", "report_date",
+                F.when(F.col("amended"), "13F-HR/A").otherwise("13F-HR").alias("form"),
                 F.concat(F.lit("BR"), F.lpad(no, 4, "0"), F.lit("100")).alias("cusip"),
                 F.when(no.cast("int") % 8 != 5, ticker_of(no)).alias("ticker"),
                 F.col("p_name").alias("issuer"),
                 F.col("p_type").alias("title_of_class"),
-                F.when(F.col("l_returnflag") == "R", "Put").otherwise("").alias("put_call"),
+                F.when(F.col("put"), "Put").otherwise("").alias("put_call"),
                 F.col("l_extendedprice").alias("value"),
                 F.col("l_quantity").alias("shares"),
             )
@@ -146,7 +163,10 @@ class Tables:
             "weight", F.when(F.col("total_value") > 0, F.col("value_usd") / F.col("total_value")).otherwise(0.0)
         ).drop("total_value")
 
-    def moves(self, weights: bool = True, flawed: bool = False) -> DataFrame:
+    def moves(self, weights: bool = True, flawed: bool = False, by_fund: bool = False) -> DataFrame:
+        """``by_fund``: the same moves from lines that are dealt out once, by fund; nothing moves after that."""
+        if by_fund:
+            return quarter_moves(holdings.fund_snapshots(self.positions(self.lines(by_fund=True))))
         return quarter_moves(self.snapshots(weights, flawed))
 
     def funds(self) -> DataFrame:
@@ -176,10 +196,9 @@ class Tables:
     # -- prices and insider trades --------------------------------------------
     def prices(self) -> DataFrame:
         """Daily prices in whole cents (the tiny addend keeps half cents from rounding either way)."""
-        l, p = self.read("lineitem"), self.read("part")
         return (
-            l.join(p, l["l_partkey"] == p["p_partkey"])
-            .groupBy(ticker_of(brand_no()).alias("ticker"), day("l_shipdate").alias("date"))
+            self.line_parts()
+            .groupBy(ticker_of(F.col("brand_no")).alias("ticker"), day("l_shipdate").alias("date"))
             .agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) + 1e-7, 2).alias("adj_close"))
         )
 
@@ -196,8 +215,7 @@ class Tables:
 
     def trades(self) -> DataFrame:
         """Insider trades: one per order line, the customer as owner."""
-        l, o = self.read("lineitem"), self.read("orders")
-        c, p = self.read("customer"), self.read("part")
+        l, o, c = self.line_parts(), self.read("orders"), self.read("customer")
         traded = (F.col("l_returnflag") == "R")
         code = (
             F.when((F.col("o_orderstatus") == "F") & traded, "P")
@@ -212,12 +230,11 @@ class Tables:
             .when(seg == "HOUSEHOLD", "Secretary")
             .otherwise("")
         )
-        no = brand_no()
+        no = F.col("brand_no")
         # Orders meet their customers before the lines, which are many more, so lines move once less.
         placed = o.join(c, o["o_custkey"] == c["c_custkey"])
         return (
-            l.join(p, l["l_partkey"] == p["p_partkey"])
-            .join(placed, l["l_orderkey"] == o["o_orderkey"])
+            l.join(placed, l["l_orderkey"] == o["o_orderkey"])
             .select(
                 ticker_of(no).alias("ticker"),
                 F.lpad(no, 10, "0").alias("issuer_cik"),

@@ -48,14 +48,21 @@ def institutional_signals(moves: DataFrame, include_non_priceable: bool = False,
     )
 
 
-def filing_lineage(moves: DataFrame, signals: DataFrame, funds: DataFrame) -> DataFrame:
+def with_funds(moves: DataFrame, funds: DataFrame) -> DataFrame:
+    """Moves with the ``listings`` of their fund, null for a fund that is not listed."""
+    return moves.join(funds.groupBy("cik").agg(F.collect_list(F.struct("label")).alias("listings")), "cik", "left")
+
+
+def filing_lineage(moves: DataFrame, signals: DataFrame, funds: DataFrame | None) -> DataFrame:
     """Per (quarter, ticker): fund labels and moves in cik order, and the sorted distinct
-    filings behind them with their hash. Entries stay rows until their texts are put together."""
+    filings behind them with their hash. Entries stay rows until their texts are put together.
+    Without ``funds`` the moves come from ``with_funds``."""
     key = ["report_date", "ticker"]
-    long = moves.filter("put_call = '' and coalesce(ticker, '') <> ''").withColumn("ticker", F.upper("ticker"))
-    long = long.join(signals.select(*key), key, "left_semi").join(funds.select("cik", "label"), "cik")
+    long = moves if funds is None else with_funds(moves, funds)
+    long = long.filter("listings is not null and put_call = '' and coalesce(ticker, '') <> ''").withColumn("ticker", F.upper("ticker"))
+    long = long.join(signals.select(*key), key, "left_semi").withColumn("label", F.explode("listings.label"))
     who = list_digests(long, key, "cik", ["cik", "cusip", "label", "move"], distinct=False, texts={"fund_labels": "label", "fund_moves": "move"})
-    filed = list_digests(long, key, "accession", texts={"13f_accessions": F.nullif("accession", F.lit(""))})
+    filed = list_digests(long, key, "accession", texts={"13f_accessions": lambda a: F.nullif(a, F.lit(""))}, combine=False)
     return who.drop("n", "digest").join(filed.drop("n").withColumnRenamed("digest", "13f_accession_hash"), key, "left")
 
 
@@ -106,22 +113,24 @@ def stamp(df: DataFrame, code_commit: str = "unknown") -> DataFrame:
     })
 
 
-def export_features(features: DataFrame, moves: DataFrame, funds: DataFrame, trades: DataFrame | None = None,
+def export_features(features: DataFrame, moves: DataFrame, funds: DataFrame | None, trades: DataFrame | None = None,
                     window_days: int = FORM4_WINDOW_DAYS, price_source: str = "",
                     priced: DataFrame | None = None, code_commit: str = "unknown") -> DataFrame:
     """The feature table in the file layout: fixed columns, rounded, with filing lists."""
-    out = features.join(filing_lineage(moves, features, funds), ["report_date", "ticker"], "left")
+    out, source = features, F.lit("")
+    if priced is not None:  # before the long texts, which move less often then
+        out = out.join(priced.select("ticker").distinct().withColumn("_p", F.lit(True)), "ticker", "left")
+        source = F.when(F.col("_p"), price_source).otherwise("")
+    out = out.join(filing_lineage(moves, features, funds), ["report_date", "ticker"], "left")
     if trades is None:
         out = out.withColumns({"_hash": F.lit(None).cast("string"), "_list": F.lit(None).cast("string")})
     else:
         # A filing has few trades, so its copies are folded where its key is.
         visible = insider.visible_filings(trades, features.select("ticker", "as_of"), window_days)
         lists = list_digests(visible, ["ticker", "as_of"], "accession", texts={"_list": "accession"}, combine=False)
-        out = out.join(lists.drop("n").withColumnRenamed("digest", "_hash"), ["ticker", "as_of"], "left")
-    source = F.lit("")
-    if priced is not None:
-        out = out.join(priced.select("ticker").distinct().withColumn("_p", F.lit(True)), "ticker", "left")
-        source = F.when(F.col("_p"), price_source).otherwise("")
+        # The long texts take on the short key of the other lists, so they move once.
+        lists = lists.drop("n").withColumnRenamed("digest", "_hash").join(features.select("report_date", "ticker", "as_of"), ["ticker", "as_of"])
+        out = out.join(lists.drop("as_of"), ["report_date", "ticker"], "left")
     blank = F.lit("")
     out = stamp(out, code_commit).withColumns({
         "issuer_name": F.coalesce("issuer_name", blank),

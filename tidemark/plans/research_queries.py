@@ -88,7 +88,8 @@ def b8_weight_search(spark, sf):
 
 def _feature_file(t: Tables, fmt: str):
     path = shared_folder(t.spark, "features")
-    writers.write_features(_export(t), path, fmt)
+    # Nine tenths of the file are lists of filings.
+    writers.write_features(_export(t), path, fmt, compression="gzip")
     return tables.read_feature_rows(t.spark, path, "csv" if fmt == "csv" else "json")
 
 

@@ -98,7 +98,8 @@ def f11_trade_value(spark, sf):
 
 
 def _features(t: Tables, trades=True):
-    m = t.moves()
+    t.keep_line_parts()
+    m = t.moves(by_fund=True)
     return m, feat.build_features(m, t.trades() if trades else None, t.stored_prices())
 
 
@@ -220,11 +221,13 @@ def p10_universe_restriction(spark, sf):
 
 def _export(t: Tables):
     # Signals and both lists of the lineage read the moves, so they are made once: what is read of long positions with a ticker.
-    m = t.moves().filter("put_call = '' and coalesce(ticker, '') <> ''").select(
+    # They are dealt out by fund there, so funds are met before they are written.
+    t.keep_line_parts()
+    m = t.moves(by_fund=True).filter("put_call = '' and coalesce(ticker, '') <> ''").select(
         "cik", "report_date", "cusip", "put_call", "ticker", "issuer", "title_of_class", "move", "curr_value", "curr_weight", "filing_date", "accession")
-    m = materialize(m, "moves")
+    m = materialize(feat.with_funds(m, t.funds()), "moves")
     f = materialize(feat.build_features(m, t.trades(), t.stored_prices()), "features")
-    return feat.export_features(f, m, t.funds(), t.trades(), price_source="local", priced=t.stored_prices(), code_commit="test")
+    return feat.export_features(f, m, None, t.trades(), price_source="local", priced=t.stored_prices(), code_commit="test")
 
 
 def k9_export_rows(spark, sf):

@@ -50,12 +50,12 @@ def merge_form4_rows(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     ).select(*FORM4_ROW_KEY, *[f"_r.{c}" for c in rest])
 
 
-def write_features(rows: DataFrame, path: str, fmt: str = "csv") -> None:
+def write_features(rows: DataFrame, path: str, fmt: str = "csv", compression: str = "none") -> None:
     """Feature table as CSV in the fixed column order, or JSON lines with sorted keys."""
     if fmt == "csv":
-        rows.select(*EXPORT_COLUMNS).write.option("header", True).csv(path)
+        rows.select(*EXPORT_COLUMNS).write.option("header", True).csv(path, compression=compression)
     elif fmt == "jsonl":
-        rows.select(*sorted(EXPORT_COLUMNS)).write.option("ignoreNullFields", False).json(path)
+        rows.select(*sorted(EXPORT_COLUMNS)).write.option("ignoreNullFields", False).json(path, compression=compression)
     else:
         raise ValueError("fmt must be csv or jsonl")
 
