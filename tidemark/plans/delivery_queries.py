@@ -14,9 +14,11 @@ from tidemark.streaming.delivery import deliver_alerts
 def _messages(t: Tables):
     """The message of each fund's newest filing, by the date it was filed."""
     quarter = t.chain().select("cik", "report_date", "prev_report_date")
-    newest = holdings.latest_filing_by_date(holdings.filing_totals(t.holdings())).select("cik", "report_date", "accession", "form", "filing_date")
+    newest = holdings.latest_filing_by_date(t.totals()).select("cik", "report_date", "accession", "form", "filing_date")
     newest = newest.join(quarter, ["cik", "report_date"], "left")
-    m = t.moves(weights=False).join(newest.select("cik", "report_date"), ["cik", "report_date"], "left_semi")
+    # Messages count and rank the moves: those of the newest quarters are made once.
+    m = t.moves(by_fund=True).drop("curr_weight").join(newest.select("cik", "report_date"), ["cik", "report_date"], "left_semi")
+    m = materialize(m, "newest-moves")
     m = m.withColumns({c: F.round(c, 2) for c in ("curr_value", "prev_value")}).withColumn("share_change_pct", F.round("share_change_pct", 9))
     return messages.filing_messages(newest, m, t.funds())
 
@@ -32,7 +34,7 @@ def st1_channel_deliveries(spark, sf):
     subscriptions = materialize(_subscriptions(t), "subscriptions")
     text = materialize(_messages(t), "messages")
     done = materialize(_deliveries(t, _newest(t)).where("status IN ('sent', 'primed')"), "delivered")
-    filings = _as_stream(holdings.filing_totals(t.holdings()).select("cik", "accession"), "filings")
+    filings = _as_stream(t.totals().select("cik", "accession"), "filings")
     path = shared_folder(spark, "channel")
 
     def first(message: dict) -> None:

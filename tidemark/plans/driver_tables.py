@@ -139,7 +139,11 @@ class Tables:
         """The positions as a written table: several steps read them, and the lines are
         scanned and shuffled once."""
         return self._store("flawed" if flawed else "plain",
-                           lambda: self.positions(self.flawed_lines() if flawed else self.lines()))
+                           lambda: self.positions(self.flawed_lines() if flawed else self.lines(by_fund=True)))
+
+    def totals(self) -> DataFrame:
+        """The filings of the stored positions, written once (filing rows only)."""
+        return self._store("totals", lambda: holdings.filing_totals(self.holdings()))
 
     def _store(self, name: str, make) -> DataFrame:
         if name not in self._stored:
@@ -150,7 +154,8 @@ class Tables:
         """Resolved filings with their neighbours in time, written once (filing rows only)."""
         return self._store(
             "flawed_chain" if flawed else "chain",
-            lambda: holdings.quarter_chain(holdings.resolve_filings(holdings.filing_totals(self.holdings(flawed)))),
+            lambda: holdings.quarter_chain(holdings.resolve_filings(
+                holdings.filing_totals(self.holdings(True)) if flawed else self.totals())),
         )
 
     def snapshots(self, weights: bool = True, flawed: bool = False) -> DataFrame:
@@ -166,7 +171,9 @@ class Tables:
     def moves(self, weights: bool = True, flawed: bool = False, by_fund: bool = False) -> DataFrame:
         """``by_fund``: the same moves from lines that are dealt out once, by fund; nothing moves after that."""
         if by_fund:
-            return quarter_moves(holdings.fund_snapshots(self.positions(self.lines(by_fund=True))))
+            stored = self._stored.get("plain")
+            dealt = self.positions(self.lines(by_fund=True)) if stored is None else stored.repartition("cik")
+            return quarter_moves(holdings.fund_snapshots(dealt))
         return quarter_moves(self.snapshots(weights, flawed))
 
     def funds(self) -> DataFrame:

@@ -205,7 +205,7 @@ def _deliveries(t: Tables, newest):
 
 
 def _newest(t: Tables):
-    return materialize(holdings.latest_filing_by_date(holdings.filing_totals(t.holdings())).select("cik", "filing_date", "accession"), "newest")
+    return materialize(holdings.latest_filing_by_date(t.totals()).select("cik", "filing_date", "accession"), "newest")
 
 
 def j12_pending_deliveries(spark, sf):
