@@ -250,36 +250,40 @@ def validate_form4(rows: DataFrame, universe: DataFrame | None = None, start: Co
     """One-row report on an insider file: bad and repeated rows, tickers outside or missing
     from the universe, tickers with several issuers, and whether the file is ready."""
     checked = form4_row_problems(rows, universe, start, end)
-    k = F.lit(1).alias("_k")
-    base = checked.agg(
-        F.count(F.lit(1)).alias("rows_total"),
-        F.count_if(F.size("problems") > 0).alias("invalid_rows"),
-        F.count_distinct(F.when(F.array_contains("problems", "ticker_outside_universe"), F.col("t"))).alias("unexpected_tickers"),
-        k,
-    )
-    # Rows with the same key are one trade: folded first, so a key with many copies is cheap.
-    unique = checked.filter(F.size("problems") == 0).groupBy(
-        "t", "cik", text("issuer_name").alias("name"), F.upper(text("transaction_code")).alias("code"),
-        F.upper(text("acquired_disposed")).alias("side"), "traded", *FORM4_ROW_KEY,
-    ).agg(F.count(F.lit(1)).alias("copies"))
-    keys = unique.groupBy(*FORM4_ROW_KEY).agg(
-        F.sum("copies").alias("copies"), F.min(F.struct("t", "cik", "name", "code", "side", "traded")).alias("r")
-    ).select("copies", "r.*")
+    # Rows with the same key are one trade. All figures follow from one fold by key, bad rows included:
+    # the rows are made and checked once, and a key with many copies is folded where it is read.
+    good = F.size("problems") == 0
+    first = F.struct("cik", text("issuer_name").alias("name"), F.upper(text("transaction_code")).alias("code"),
+                     F.upper(text("acquired_disposed")).alias("side"), "traded")
+    keys = checked.groupBy(*FORM4_ROW_KEY).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(good).alias("copies"),
+        F.max(F.array_contains("problems", "ticker_outside_universe")).alias("outside"), F.min(F.when(good, first)).alias("r"),
+    ).select(F.upper(text("ticker")).alias("t"), "rows", "copies", "outside", "r.*")
+    valid = F.col("copies") > 0
     buy = (F.col("code") == "P") & (F.col("side") == "A")
     sell = (F.col("code") == "S") & (F.col("side") == "D")
     # Per ticker first: counts of tickers and of tickers with several issuers need no
     # distinct over the rows.
     per_ticker = keys.groupBy("t").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("copies") - 1).alias("extra"),
-        F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"),
+        F.sum("rows").alias("rows"), F.sum(F.col("rows") - F.col("copies")).alias("bad"), F.max("outside").alias("outside"),
+        F.count_if(valid).alias("n"), F.sum(F.when(valid, F.col("copies") - 1)).alias("extra"),
+        F.count_if(valid & buy).alias("buys"), F.count_if(valid & sell).alias("sells"),
         F.min("traded").alias("first"), F.max("traded").alias("last"),
         (F.min("cik") != F.max("cik")).alias("mixed"), (F.min("name") != F.max("name")).alias("renamed"),
     )
+    if universe is None:
+        asked = per_ticker.withColumn("asked", F.col("n") > 0)
+    else:
+        wanted = universe.select(F.col("ticker").alias("_u")).distinct().withColumn("asked", F.lit(True))
+        asked = per_ticker.join(wanted, F.col("t") == F.col("_u"), "full_outer")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    totals = per_ticker.agg(
+    out = asked.agg(
+        total("rows").alias("rows_total"),
+        total("bad").alias("invalid_rows"),
+        F.count_if("outside").alias("unexpected_tickers"),
         total("n").alias("rows_valid"),
         total("extra").alias("duplicate_rows"),
-        F.count(F.lit(1)).alias("tickers_observed"),
+        F.count_if(F.col("n") > 0).alias("tickers_observed"),
         total("buys").alias("open_market_buy_rows"),
         F.count_if(F.col("buys") > 0).alias("open_market_buy_tickers"),
         total("sells").alias("open_market_sell_rows"),
@@ -288,21 +292,14 @@ def validate_form4(rows: DataFrame, universe: DataFrame | None = None, start: Co
         F.max("last").alias("latest_transaction_date"),
         F.count_if("mixed").alias("mixed_issuer_tickers"),
         F.count_if(~F.col("mixed") & F.col("renamed")).alias("issuer_name_variants"),
-        k,
+        F.count_if("asked").alias("ticker_universe_count"),
+        F.count_if(F.col("asked") & (F.coalesce("n", F.lit(0)) == 0)).alias("tickers_empty"),
     )
-    out = base.join(totals, "_k")
-    if universe is None:
-        out = out.withColumns({"ticker_universe_count": F.col("tickers_observed"), "tickers_empty": F.lit(0).cast("long")})
-    else:
-        seen = per_ticker.select(F.col("t").alias("ticker"), F.lit(1).alias("_s"))
-        wanted = universe.select("ticker").distinct().join(seen, "ticker", "left").agg(
-            F.count(F.lit(1)).alias("ticker_universe_count"), F.count_if(F.col("_s").isNull()).alias("tickers_empty"), k)
-        out = out.join(wanted, "_k")
     trouble = (
         (F.col("invalid_rows") + F.col("duplicate_rows") + F.col("mixed_issuer_tickers") + F.col("unexpected_tickers") > 0)
         | (F.col("rows_valid") == 0)
     )
-    return out.drop("_k").withColumn("status", F.when(trouble, "review").otherwise("ready"))
+    return out.withColumn("status", F.when(trouble, "review").otherwise("ready"))
 
 
 def form4_code_counts(rows: DataFrame) -> DataFrame:

@@ -502,6 +502,8 @@ def _form4_text(t: Tables) -> DataFrame:
 def _form4_check_inputs(t: Tables):
     universe = _line_parts(t).select(ticker_of(brand_no()).alias("ticker")).distinct().unionByName(
         t.spark.createDataFrame([("ZZZ",)], "ticker string"))
+    # A row per ticker, asked for more than once: lines are read for it once.
+    universe = materialize(universe, "universe")
     return _form4_text(t), universe, F.lit("2021-02-01").cast("date"), F.lit("2027-09-30").cast("date")
 
 
