@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 from itertools import product
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tidemark import session
 from tidemark.llm import language, pitman_yor
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -125,6 +127,19 @@ def test_draws_repeat(spark):
     assert a == b
 
 
+def test_sweeps_leave_two_states_and_no_copy_of_the_pairs(spark, tmp_path, monkeypatch):
+    docs = spark.range(60).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 200), i -> concat('w', cast((id * i) % 501 as string)))) as text")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    for module in (session, pitman_yor):
+        monkeypatch.setattr(module, "shared_folder", lambda _, name: f"{tmp_path}/{name}-{uuid.uuid4().hex}", raising=False)
+    got = pitman_yor.score_texts(docs, 2, 7, pitman_yor.Model(sweeps=5, averaged=3), buckets=3)
+    size = {p.name[:-33]: sum(f.stat().st_size for f in p.glob("*.parquet")) for p in tmp_path.iterdir()}
+    assert len(list(tmp_path.glob("pitman-yor-seats-*"))) == 2 and "pitman-yor-pairs" not in size
+    assert size["pitman-yor-seats"] < size["pitman-yor-buckets"]
+    assert got.count() == 60 and spark.conf.get(name) == before
+
+
 def test_probabilities_of_a_context_sum_to_one():
     texts = pa.array(["a b a c a b", "b a", "c a b b"], pa.large_string())
     words, per_word, context, counts, _, _ = pitman_yor.batch_pairs(texts, np.ones(3), 4)

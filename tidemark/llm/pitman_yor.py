@@ -14,12 +14,15 @@ by ranges of the context's hash; a range adds up what the buckets sent and tells
 of the contexts it asked for. A context of any frequency is one entry per bucket there, so a hot one
 needs no salt, and the driver only sees four sums over the corpus. Seats are written after every
 sweep, and draws are seeded by sweep and bucket, so a repeated task gives the same result. Predictive
-probabilities are averaged over sweeps.
+probabilities are averaged over sweeps; the tables that they follow from are kept, not they.
 
 Data move as follows. Each task counts the distinct (word, context) pairs of a batch of documents
 and sends the counts to buckets by ranges of the word's hash; a word of any frequency sends at most
 one entry per context and batch. A bucket answers each batch with the pairs' probabilities and the
 words' counts, and the batch adds them up by document.
+
+On disk lie the buckets' pairs and the texts' tokens, once, and two states of the seats, of which a
+sweep overwrites the older. Shuffle files go when the step that made them has written its result.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from xxhash import xxh64_intdigest
 
 from tidemark.llm import common
 from tidemark.llm.tokenize import slices
-from tidemark.session import materialize
+from tidemark.session import materialize, shared_folder, shuffles_released
 
 #: Stands for the end of a text among the hashes of words.
 END = xxh64_intdigest(b"\x00end of text")
@@ -125,7 +128,7 @@ def range_edges(hashes: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def count_pairs(docs: DataFrame, holds: int, out_of: int, buckets: int, classes: int | None) -> DataFrame:
-    """Rows (bucket, batch, pairs) and, with a null bucket, (batch, tokens), in the shared folder."""
+    """Rows (bucket, batch, pairs) and, with a null bucket, (batch, tokens)."""
 
     @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +153,20 @@ def count_pairs(docs: DataFrame, holds: int, out_of: int, buckets: int, classes:
                 number += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), common.crc_of("doc_id").alias("crc"))
-    return materialize(rows.mapInArrow(count, "bucket int, batch long, pairs binary, tokens binary"), "pitman-yor-pairs")
+    return rows.mapInArrow(count, "bucket int, batch long, pairs binary, tokens binary")
+
+
+def dealt_out(rows: DataFrame, key: str, *order) -> DataFrame:
+    """Rows by `key`, one key after another in a task, in `order`; rows without a key by batch."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.col(key) if "batch" not in rows.columns else F.coalesce(key, F.hash("batch"))
+    return rows.repartitionById(n, F.pmod(place, F.lit(n)).cast("int")).sortWithinPartitions(key, *order)
 
 
 def merge_buckets(counted: DataFrame) -> DataFrame:
-    """A row per bucket with its restaurants (model), and for each batch which pairs it asks for (request)."""
+    """A row per bucket with its restaurants (model), and for each batch which pairs it asks for (request); the rows
+    of tokens as they are. In the shared folder; the pairs are only shuffled."""
+    kinds = {"bucket": pa.int32(), "batch": pa.int64(), "model": pa.binary(), "request": pa.binary(), "tokens": pa.binary()}
 
     def merged(bucket: int, batches: list[int], parts: list[list[np.ndarray]]) -> Iterator[dict]:
         words, rank = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -173,10 +185,13 @@ def merge_buckets(counted: DataFrame) -> DataFrame:
 
     @common.tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("model", pa.binary()), ("request", pa.binary())])
+        schema = pa.schema(kinds)
         now, ids, parts = None, [], []
         for batch in batches:
-            for bucket, number, data in zip(*batch.columns, strict=True):
+            for bucket, number, data, tokens in zip(*batch.columns, strict=True):
+                if not bucket.is_valid:
+                    yield pa.RecordBatch.from_pylist([{"batch": number.as_py(), "tokens": tokens.as_py()}], schema)
+                    continue
                 if bucket.as_py() != now and parts:
                     for row in merged(now, ids, parts):
                         yield pa.RecordBatch.from_pylist([row], schema)
@@ -188,10 +203,7 @@ def merge_buckets(counted: DataFrame) -> DataFrame:
             for row in merged(now, ids, parts):
                 yield pa.RecordBatch.from_pylist([row], schema)
 
-    rows = counted.where("bucket is not null").select("bucket", "batch", "pairs")
-    n = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "batch")
-    return materialize(ordered.mapInArrow(merge, "bucket int, batch long, model binary, request binary"), "pitman-yor-buckets")
+    return materialize(dealt_out(counted, "bucket", "batch").mapInArrow(merge, "bucket int, batch long, model binary, request binary, tokens binary"), "pitman-yor-buckets")
 
 
 def log_stirling(most: int, discount: float) -> np.ndarray:
@@ -312,26 +324,29 @@ class Totals:
 
 
 class Restaurants:
-    """One bucket's seats. `names` are the hashes of its contexts, ascending, `mean` the sum of the
-    predictive probabilities to be averaged."""
+    """One bucket's seats. `names` are the hashes of its contexts, ascending; `kept` has the states before
+    the last whose predictive probabilities are averaged: tables, the parent's tables and the totals of each."""
 
-    def __init__(self, data: bytes, bucket: int, model: Model):
-        per_word, context, counts, *rest = unpacked(data)
-        self.names, self.per_word = rest[0] if rest else np.empty(0, np.uint64), per_word
+    def __init__(self, data: bytes, bucket: int, model: Model, state: bytes | None = None):
+        per_word, context, counts, *names = unpacked(data)
+        self.names, self.per_word = names[0] if names else np.empty(0, np.uint64), per_word
         self.model, self.bucket = model, bucket
         self.word = np.repeat(np.arange(len(per_word)), per_word)
         self.begin = np.cumsum(per_word, dtype=np.int64) - per_word
         self.context, self.counts = context.astype(np.int64), counts.astype(np.int64)
         self.word_counts = np.add.reduceat(self.counts, self.begin) if len(self.begin) else np.empty(0, np.int64)
-        self.tables = rest[1].astype(np.int64) if len(rest) > 1 else np.minimum(self.counts, 1)  # one table each, before the first sweep
+        rest = [x.astype(np.int64) for x in unpacked(state)] if state is not None else []
+        self.tables = rest[0] if rest else np.minimum(self.counts, 1)  # one table each, before the first sweep
         self.up()
-        self.parent_tables = rest[2].astype(np.int64) if len(rest) > 1 else np.minimum(self.parent_customers, 1)
-        self.mean = rest[3] if len(rest) > 3 else np.zeros(0)
+        self.parent_tables = rest[1] if rest else np.minimum(self.parent_customers, 1)
+        self.kept = [(rest[i], rest[i + 1], Totals(rest[i + 2], rest[i + 3], *rest[i + 4].tolist())) for i in range(2, len(rest), 5)]
         self.stirling = log_stirling(EXACT, model.discount), log_stirling(EXACT, model.parent_discount)
 
     def packed(self) -> bytes:
-        more = (self.mean.astype("<f8"),) if len(self.mean) else ()
-        return packed(self.per_word, self.context.astype("<u4"), self.counts.astype("<u8"), self.names, self.tables.astype("<u8"), self.parent_tables.astype("<u8"), *more)
+        """The state of the seats, without what no sweep changes."""
+        sums = lambda x: np.array([x.parent_customers, x.parent_tables, x.tokens, x.known])
+        kept = (x for tables, parent_tables, totals in self.kept for x in (tables, parent_tables, totals.customers, totals.tables, sums(totals)))
+        return packed(*(x.astype("<u8") for x in (self.tables, self.parent_tables, *kept)))
 
     def up(self) -> None:
         self.parent_customers = np.add.reduceat(self.tables, self.begin) if len(self.begin) else np.empty(0, np.int64)
@@ -346,10 +361,18 @@ class Restaurants:
         new = (m.strength + m.discount * totals.tables)[self.context] * self.parent(totals)[self.word]
         return (self.counts - m.discount * self.tables + new) / (m.strength + totals.customers)[self.context]
 
-    def collect_mean(self, turn: int, totals: Totals) -> None:
-        """Adds the state after `turn` sweeps to the mean, if it is one of the last."""
+    def keep(self, turn: int, totals: Totals) -> None:
+        """Keeps the state after `turn` sweeps, if it is one of the last."""
         if turn > self.model.sweeps - self.model.averaged:
-            self.mean = self.predictive(totals) / self.model.averaged + (self.mean if len(self.mean) else 0.0)
+            self.kept.append((self.tables, self.parent_tables, totals))
+
+    def mean(self) -> np.ndarray:
+        """The mean of the kept states' predictive probabilities; the seats are those of the last one then."""
+        mean = np.zeros(len(self.counts))
+        for self.tables, self.parent_tables, totals in self.kept:
+            self.up()
+            mean = self.predictive(totals) / self.model.averaged + mean
+        return mean
 
     def sweep(self, turn: int, totals: Totals) -> None:
         """New seats, given the totals that the sweep before has left."""
@@ -406,9 +429,14 @@ def context_sums(seats: DataFrame) -> DataFrame:
         if asked:
             yield from replies(now, asked)
 
-    n = int(seats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = seats.where("part is not null").select("bucket", "part", "data")
-    return rows.repartitionByRange(n, "part").sortWithinPartitions("part", "bucket").mapInArrow(add, "bucket int, part int, data binary")
+    return dealt_out(rows, "part", "bucket").mapInArrow(add, "bucket int, part int, data binary")
+
+
+def written(seats: DataFrame, folder: str) -> DataFrame:
+    """SEATS in a folder, instead of an older state there."""
+    seats.write.mode("overwrite").parquet(folder)
+    return seats.sparkSession.read.schema(seats.schema).parquet(folder)
 
 
 def seated(merged: DataFrame, model: Model, ranges: int) -> DataFrame:
@@ -420,7 +448,7 @@ def seated(merged: DataFrame, model: Model, ranges: int) -> DataFrame:
             for bucket, data in zip(*batch.columns, strict=True):
                 yield from seats_rows(Restaurants(data.as_py(), bucket.as_py(), model), ranges)
 
-    return materialize(merged.where("model is not null").select("bucket", "model").mapInArrow(begin, SEATS), "pitman-yor-seats")
+    return merged.where("model is not null").select("bucket", "model").mapInArrow(begin, SEATS)
 
 
 def corpus_sums(seats: DataFrame) -> tuple[int, int, int, int]:
@@ -428,21 +456,23 @@ def corpus_sums(seats: DataFrame) -> tuple[int, int, int, int]:
     return tuple(int(x) for x in row)
 
 
-def with_sums(seats: DataFrame, requests: DataFrame | None = None) -> DataFrame:
-    """(bucket, part, batch, data), a bucket's rows together: its seats, the sums of its contexts, and requests."""
-    none = F.lit(None).cast("long").alias("batch")
-    both = seats.where("part is null").select("bucket", "part", none, "data").unionByName(context_sums(seats).select("bucket", "part", none, "data"))
-    if requests is not None:
-        both = both.unionByName(requests.select("bucket", F.lit(2**31 - 1).alias("part"), "batch", F.col("request").alias("data")))
-    n = int(seats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartitionByRange(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("part"), "batch")
+def with_sums(seats: DataFrame, merged: DataFrame, requests: bool = False) -> DataFrame:
+    """(bucket, part, batch, data), a bucket's rows together: its pairs, its seats, the sums of its contexts, and requests."""
+    none, columns = F.lit(None).cast("long").alias("batch"), ("bucket", "part", "batch", "data")
+    both = merged.where("model is not null").select("bucket", F.lit(-2).alias("part"), none, F.col("model").alias("data"))
+    both = both.unionByName(seats.where("part is null").select("bucket", F.lit(-1).alias("part"), none, "data"))
+    both = both.unionByName(context_sums(seats).select("bucket", "part", none, "data"))
+    if requests:
+        asked = merged.where("request is not null")
+        both = both.unionByName(asked.select("bucket", F.lit(2**31 - 1).alias("part"), "batch", F.col("request").alias("data")))
+    return dealt_out(both.select(*columns), "bucket", "part", "batch")
 
 
 def read_seats(batches: Iterator[pa.RecordBatch], model: Model, sums: tuple[int, int, int, int]) -> Iterator[tuple[Restaurants, Totals, Iterator[tuple[int, bytes]]]]:
     """Each bucket of with_sums: its seats, the totals, and its requests as (batch, data)."""
     rows = ((b.as_py(), p.as_py(), n.as_py(), d.as_py()) for batch in batches for b, p, n, d in zip(*batch.columns, strict=True))
     for bucket, own in groupby(rows, key=lambda r: r[0]):
-        seats, row = Restaurants(next(own)[3], bucket, model), None
+        seats, row = Restaurants(next(own)[3], bucket, model, next(own)[3]), None
         parts: list[list[np.ndarray]] = []
         for row in own:
             if row[2] is not None:
@@ -454,18 +484,18 @@ def read_seats(batches: Iterator[pa.RecordBatch], model: Model, sums: tuple[int,
         yield seats, Totals(customers, tables, *sums), asked
 
 
-def swept(seats: DataFrame, model: Model, turn: int, ranges: int) -> DataFrame:
+def swept(seats: DataFrame, merged: DataFrame, model: Model, turn: int, ranges: int) -> DataFrame:
     """SEATS after one more sweep; the state before it counts for the mean if it is one of the last."""
     sums = corpus_sums(seats)
 
     @common.tidy
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, totals, _ in read_seats(batches, model, sums):
-            own.collect_mean(turn, totals)
+            own.keep(turn, totals)
             own.sweep(turn, totals)
             yield from seats_rows(own, ranges)
 
-    return materialize(with_sums(seats).mapInArrow(sweep, SEATS), "pitman-yor-seats")
+    return with_sums(seats, merged).mapInArrow(sweep, SEATS)
 
 
 def answers(seats: DataFrame, merged: DataFrame, model: Model) -> DataFrame:
@@ -476,14 +506,13 @@ def answers(seats: DataFrame, merged: DataFrame, model: Model) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary())])
         for own, totals, asked in read_seats(batches, model, sums):
-            own.collect_mean(model.sweeps, totals)
-            logs, counts = np.log10(own.mean).astype("<f4"), own.word_counts[own.word].astype("<u8")
+            own.keep(model.sweeps, totals)
+            logs, counts = np.log10(own.mean()).astype("<f4"), own.word_counts[own.word].astype("<u8")
             for number, data in asked:
                 at = np.cumsum(unpacked(data)[0], dtype=np.uint32)
                 yield pa.RecordBatch.from_pylist([{"batch": number, "bucket": own.bucket, "answer": packed(logs[at], counts[at])}], schema)
 
-    requests = merged.where("request is not null").select("bucket", "batch", "request")
-    return with_sums(seats, requests).mapInArrow(answer, "batch long, bucket int, answer binary")
+    return with_sums(seats, merged, requests=True).mapInArrow(answer, "batch long, bucket int, answer binary")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -499,17 +528,20 @@ def score_texts(docs: DataFrame, holds: int, out_of: int, model: Model | None =
     training texts all probability is the unknown word's. An empty table gives no rows.
 
     buckets (default: the session's shuffle partitions) should keep corpus / buckets within a task's
-    memory; contexts are dealt to as many ranges. Words are told apart by 64-bit hashes.
+    memory; contexts are dealt to as many ranges. Words are told apart by 64-bit hashes. If Spark repeats a lost
+    task, docs has to give it the same rows in the same order, as files and written tables do.
     """
     spark, model = docs.sparkSession, model or Model()
     common.ship(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = count_pairs(docs, holds, out_of, buckets, model.classes)
-    merged = merge_buckets(counted)
-    seats = seated(merged, model, buckets)
-    _, _, tokens, known = corpus_sums(seats)
-    for turn in range(model.sweeps):
-        seats = swept(seats, model, turn, buckets)
+    with shuffles_released(spark):
+        merged = merge_buckets(count_pairs(docs, holds, out_of, buckets, model.classes))
+        folders = [shared_folder(spark, "pitman-yor-seats") for _ in range(2)]
+        seats = written(seated(merged, model, buckets), folders[0])
+        _, _, tokens, known = corpus_sums(seats)
+        for turn in range(model.sweeps):
+            seats = written(swept(seats, merged, model, turn, buckets), folders[(turn + 1) % 2])
+        found = materialize(answers(seats, merged, model), "pitman-yor-answers")
 
     @common.tidy
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,9 +561,8 @@ def score_texts(docs: DataFrame, holds: int, out_of: int, model: Model | None =
                      pa.array(base), pa.array(score), pa.array(10 ** np.minimum(-score / sizes, 300.0))],
                     names=[x.split()[0] for x in SCORES.split(", ")])
 
-    found = answers(seats, merged, model)
     found = found.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))  # no more than a batch asked for
-    texts = counted.where("tokens is not null").select("batch", "tokens")
+    texts = merged.where("tokens is not null").select("batch", "tokens")
     return texts.join(found, "batch").select("tokens", "answers").mapInArrow(add_up, SCORES)
 
 
