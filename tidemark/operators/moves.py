@@ -127,17 +127,25 @@ def move_counts(moves: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def ticker_summary(moves: DataFrame, *keys: str) -> DataFrame:
-    """Holders, buyers, sellers, openings, exits and value of long positions per key.
+def ticker_summary(moves: DataFrame, *keys: str, weights: bool = False) -> DataFrame:
+    """Holders, buyers, sellers, openings, exits and value of long positions per key; with ``weights`` also the
+    mean weight of positions held (``avg_weight``) and the sorted kinds of moves (``movement_codes``).
 
     Several distinct counts at once would copy every row once per count, so positions are
     first folded to one row per (key, fund) and the flags of the funds are counted.
     """
     did = lambda *kinds: F.max(F.col("move").isin(*kinds))
+    kept, held = [], F.when(F.col("move") != "EXIT", F.col("curr_weight"))
+    per_move = [did("ADD").alias("added"), did("HOLD").alias("kept"), did("TRIM").alias("trimmed"),
+                F.sum(held).alias("weight"), F.count(held).alias("n_weights")] if weights else []
+    if weights:
+        codes = {"ADD": "added", "EXIT": "exited", "HOLD": "kept", "NEW": "opened", "TRIM": "trimmed"}
+        kept = [F.try_divide(F.sum("weight"), F.sum("n_weights")).alias("avg_weight"),
+                F.array_compact(F.array(*(F.when(F.max(c), F.lit(code)) for code, c in codes.items()))).alias("movement_codes")]
     per_fund = moves.filter("put_call = ''").groupBy(*keys, "cik").agg(
         did("NEW", "ADD", "HOLD", "TRIM").alias("holds"), did("NEW", "ADD").alias("bought"),
         did("EXIT", "TRIM").alias("sold"), did("NEW").alias("opened"), did("EXIT").alias("exited"),
-        F.sum("curr_value").alias("value"),
+        F.sum("curr_value").alias("value"), *per_move,
     )
     return per_fund.groupBy(*keys).agg(
         F.count_if("holds").alias("holder_count"),
@@ -145,7 +153,7 @@ def ticker_summary(moves: DataFrame, *keys: str) -> DataFrame:
         F.count_if("sold").alias("sellers_count"),
         F.count_if("opened").alias("new_positions"),
         F.count_if("exited").alias("exits"),
-        F.sum("value").alias("total_value_usd"),
+        F.sum("value").alias("total_value_usd"), *kept,
     )
 
 

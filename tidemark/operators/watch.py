@@ -30,13 +30,7 @@ def ticker_flow(moves: DataFrame, trusted: DataFrame | None = None) -> DataFrame
     long = moves.filter("put_call = '' and coalesce(ticker, '') <> ''")
     if trusted is not None:
         long = long.join(trusted.select("cik").distinct(), "cik", "left_semi")
-    summary = mv.ticker_summary(long, "report_date", "ticker")
-    held = F.col("move") != "EXIT"
-    weights = long.groupBy("report_date", "ticker").agg(
-        F.avg(F.when(held, F.col("curr_weight"))).alias("avg_weight"),
-        F.array_sort(F.collect_set("move")).alias("movement_codes"),
-    )
-    return add_actions(summary.join(weights, ["report_date", "ticker"]))
+    return add_actions(mv.ticker_summary(long, "report_date", "ticker", weights=True))
 
 
 def add_actions(flow: DataFrame) -> DataFrame:

@@ -93,10 +93,10 @@ class Tables:
             }
         )
 
-    def flawed_lines(self) -> DataFrame:
+    def flawed_lines(self, by_fund: bool = False) -> DataFrame:
         """The same lines with reporting errors, quarters skipped and late funds, for the
-        quality checks. Values and dates are changed; lines are not removed."""
-        base = self.lines().drop("accession", "filing_date")
+        quality checks. Values and dates are changed; lines are not removed and stay with their fund."""
+        base = self.lines(by_fund).drop("accession", "filing_date")
         fund = F.col("cik").cast("long")
         at = lambda d: F.col("report_date") == F.lit(d).cast("date")
         last, before = "2027-12-31", "2027-09-30"
@@ -139,7 +139,7 @@ class Tables:
         """The positions as a written table: several steps read them, and the lines are
         scanned and shuffled once."""
         return self._store("flawed" if flawed else "plain",
-                           lambda: self.positions(self.flawed_lines() if flawed else self.lines(by_fund=True)))
+                           lambda: self.positions(self.flawed_lines(by_fund=True) if flawed else self.lines(by_fund=True)))
 
     def totals(self) -> DataFrame:
         """The filings of the stored positions, written once (filing rows only)."""
@@ -171,8 +171,8 @@ class Tables:
     def moves(self, weights: bool = True, flawed: bool = False, by_fund: bool = False) -> DataFrame:
         """``by_fund``: the same moves from lines that are dealt out once, by fund; nothing moves after that."""
         if by_fund:
-            stored = self._stored.get("plain")
-            dealt = self.positions(self.lines(by_fund=True)) if stored is None else stored.repartition("cik")
+            stored, lines = self._stored.get("flawed" if flawed else "plain"), self.flawed_lines if flawed else self.lines
+            dealt = self.positions(lines(by_fund=True)) if stored is None else stored.repartition("cik")
             return quarter_moves(holdings.fund_snapshots(dealt))
         return quarter_moves(self.snapshots(weights, flawed))
 

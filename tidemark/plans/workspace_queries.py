@@ -45,7 +45,7 @@ def _flow(t: Tables, flawed=True):
     """Ticker flow over trusted funds; a few rows per quarter, stored once."""
     chain = t.chain(flawed).withColumn("total_value", F.round("total_value", 2))
     trusted = quality.trusted_funds(quality.quality_gate(chain, t.flawed_funds() if flawed else t.funds()))
-    return materialize(watch.ticker_flow(t.moves(flawed=flawed), trusted), "flow")
+    return materialize(watch.ticker_flow(t.moves(flawed=flawed, by_fund=True), trusted), "flow")
 
 
 def _now_flow(t: Tables):
