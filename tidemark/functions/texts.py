@@ -67,8 +67,8 @@ def clean_ticker(c: Column | str) -> Column:
     return F.when(t.rlike(r"^[A-Z0-9.\-]{1,12}$"), t)
 
 
-def ticker_flags(ticker: Column | str, title: Column | str) -> Column:
-    """Sorted reasons why a line cannot be priced as common stock; empty when it can."""
+def ticker_problems(ticker: Column | str, title: Column | str) -> dict[str, Column]:
+    """Reasons why a line with a ticker cannot be priced as common stock, sorted, each with its test."""
     t = F.upper(text(ticker))
     title = F.upper(F.coalesce(col(title), F.lit("")))
     suffixed = F.lit(False)
@@ -77,14 +77,13 @@ def ticker_flags(ticker: Column | str, title: Column | str) -> Column:
     hinted = F.lit(False)
     for hint in TITLE_HINTS:
         hinted = hinted | title.contains(hint)
-    flags = F.array_compact(
-        F.array(
-            F.when(suffixed, F.lit("currency_suffixed_ticker")),
-            F.when(hinted, F.lit("non_common_equity_title")),
-            F.when(~t.rlike(PRICEABLE_TICKER), F.lit("non_priceable_ticker")),
-        )
-    )
-    return F.when(t == "", F.array(F.lit("missing_ticker"))).otherwise(flags)
+    return {"currency_suffixed_ticker": suffixed, "non_common_equity_title": hinted, "non_priceable_ticker": ~t.rlike(PRICEABLE_TICKER)}
+
+
+def ticker_flags(ticker: Column | str, title: Column | str) -> Column:
+    """Sorted reasons why a line cannot be priced as common stock; empty when it can."""
+    flags = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in ticker_problems(ticker, title).items()]))
+    return F.when(F.upper(text(ticker)) == "", F.array(F.lit("missing_ticker"))).otherwise(flags)
 
 
 def is_c_suite(is_officer: Column, title: Column) -> Column:

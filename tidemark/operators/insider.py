@@ -28,15 +28,13 @@ def _kind(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def fold_trades(trades: DataFrame, p: FeatureParams = DEFAULT_FEATURES, by_owner: bool = False) -> DataFrame:
-    """One row per (ticker, owner, filing_date, transaction_date) with summed measures. ``by_owner``
-    deals trades out by (ticker, owner) alone: what is folded per owner later need not move again."""
+def _prepared(trades: DataFrame, p: FeatureParams) -> DataFrame:
     c_suite = is_c_suite(F.col("is_officer"), F.col("officer_title"))
     stake = stake_increase(F.col("shares"), F.col("shares_owned_after"))
     weight = sizing_multiplier(stake, p) * seniority_multiplier(
         c_suite, F.col("is_officer"), F.col("is_ten_percent_owner"), p
     )
-    prepared = trades.withColumns(
+    return trades.withColumns(
         {
             "owner": F.coalesce(F.nullif("owner_cik", F.lit("")), "owner_name"),
             "buy": _kind(is_buy()),
@@ -52,6 +50,30 @@ def fold_trades(trades: DataFrame, p: FeatureParams = DEFAULT_FEATURES, by_owner
             ),
         }
     )
+
+
+def trades_by_owner(trades: DataFrame, p: FeatureParams = DEFAULT_FEATURES) -> DataFrame:
+    """The columns of ``fold_trades`` with a row per trade, dealt out by (ticker, owner): an owner rarely
+    trades twice a day, so rows are summed once, per owner and date asked for, where they are."""
+    when = lambda flag, c, name: F.when(F.col(flag), c).alias(name)
+    # Only purchases and sales take their figures along, and only those that are read later.
+    order = F.struct("accession", "who")
+    dealt = _prepared(trades, p).select(
+        "ticker", "owner", "filing_date", "transaction_date", "issuer_name", "buy", "sell",
+        when("buy", F.col("shares"), "buy_shares"), when("buy", F.col("value"), "buy_value"), when("buy", F.col("weight"), "buy_weight"),
+        when("buy", F.col("stake"), "buy_stake"), when("sell", F.col("shares"), "sell_shares"), when("sell", F.col("value"), "sell_value"),
+        when("buy", order, "first_buy"), when("sell", order, "first_sell")).repartition("ticker", "owner")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return dealt.select(
+        "ticker", "owner", "filing_date", "transaction_date", F.lit(1).cast("long").alias("n_rows"),
+        F.col("buy").cast("long").alias("n_buys"), F.col("sell").cast("long").alias("n_sells"), zero("buy_shares"), zero("buy_value"),
+        zero("buy_weight"), "buy_stake", zero("sell_shares"), zero("sell_value"), "first_buy", "first_sell", "issuer_name")
+
+
+def fold_trades(trades: DataFrame, p: FeatureParams = DEFAULT_FEATURES, by_owner: bool = False) -> DataFrame:
+    """One row per (ticker, owner, filing_date, transaction_date) with summed measures. ``by_owner``
+    deals trades out by (ticker, owner) alone: what is folded per owner later need not move again."""
+    prepared = _prepared(trades, p)
     only = lambda flag, c: F.sum(F.when(F.col(flag), F.col(c)).otherwise(0.0))
     order = F.struct("accession", "who")
     if by_owner:
@@ -103,8 +125,9 @@ def visible_at(folded: DataFrame, points: DataFrame, window_days: int = FORM4_WI
 
 
 def owner_activity(visible: DataFrame, window_days: int = FORM4_WINDOW_DAYS,
-                   p: FeatureParams = DEFAULT_FEATURES, keys: tuple[str, ...] = ("ticker", "as_of")) -> DataFrame:
-    """One row per (keys, owner): what the owner bought and sold."""
+                   p: FeatureParams = DEFAULT_FEATURES, keys: tuple[str, ...] = ("ticker", "as_of"), dealt: bool = False) -> DataFrame:
+    """One row per (keys, owner): what the owner bought and sold. Rows that are ``dealt`` out already are sorted
+    by a hash of the key first, which is cheaper than by its texts."""
     # A trade without a date counts as old as the window reaches.
     age = F.when(F.col("transaction_date").isNull(), int(window_days)).otherwise(
         F.greatest(F.datediff("as_of", "transaction_date"), F.lit(0)))
@@ -114,7 +137,7 @@ def owner_activity(visible: DataFrame, window_days: int = FORM4_WINDOW_DAYS,
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("filing_date", c)))
     return (
         visible.withColumn("_age", age)
-        .groupBy(*keys, "owner")
+        .groupBy(*([F.xxhash64(*keys, "owner").alias("_key")] if dealt else []), *keys, "owner")
         .agg(
             F.sum("n_rows").alias("n_rows"),
             F.sum("n_buys").alias("n_buys"),
@@ -132,7 +155,7 @@ def owner_activity(visible: DataFrame, window_days: int = FORM4_WINDOW_DAYS,
             F.max("issuer_name").alias("issuer_name"),
         )
         .withColumns({"buyer": F.col("fb.first_buy.who"), "seller": F.col("fs.first_sell.who")})
-        .drop("fb", "fs")
+        .drop("fb", "fs", "_key")
     )
 
 
@@ -159,8 +182,8 @@ def ticker_activity(owners: DataFrame, p: FeatureParams = DEFAULT_FEATURES,
 def insider_activity(trades: DataFrame, points: DataFrame, window_days: int = FORM4_WINDOW_DAYS,
                      p: FeatureParams = DEFAULT_FEATURES) -> DataFrame:
     """Point-in-time insider activity for each (ticker, as_of)."""
-    visible = visible_at(fold_trades(trades, p, by_owner=True), points, window_days)
-    return ticker_activity(owner_activity(visible, window_days, p), p)
+    visible = visible_at(trades_by_owner(trades, p), points, window_days)
+    return ticker_activity(owner_activity(visible, window_days, p, dealt=True), p)
 
 
 def activity_by_window(trades: DataFrame, points: DataFrame, windows: tuple[int, ...],

@@ -84,6 +84,33 @@ def quarter_moves(snapshots: DataFrame, hold_epsilon: float = HOLD_EPSILON) -> D
     return _finish(moves, hold_epsilon)
 
 
+def fund_moves(snapshots: DataFrame, hold_epsilon: float = HOLD_EPSILON) -> DataFrame:
+    """What ``quarter_moves`` gives, for ``fund_snapshots``: one row per fund, quarter, security and put/call.
+
+    The rows of a security are sorted by quarter, and each looks at the one before and the one after. Only an
+    EXIT makes a row of its own, and rows that are dealt out by ``cik`` do not move again."""
+    texts = [c for c in ("issuer", "title_of_class", "ticker") if c in snapshots.columns]
+    # The hash sorts securities apart without comparing their texts.
+    key = ["cik", "cusip", "put_call"]
+    row = Window.partitionBy("_row", *key).orderBy("report_date")
+    before = lambda c: F.lag(c).over(row)
+    looked = snapshots.withColumn("_row", F.xxhash64(*key)).withColumns({
+        "_here": F.coalesce(before("next_report_date") == F.col("report_date"), F.lit(False)), "_after": F.lead("report_date").over(row),
+        **{f"_{c}": before(c) for c in ("shares", "value_usd", *texts)}})
+    gone = F.col("next_report_date").isNotNull() & ~F.coalesce(F.col("_after") == F.col("next_report_date"), F.lit(False))
+    sides = F.explode(F.when(gone, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("in_curr")
+    curr, both = F.col("in_curr"), F.col("in_curr") & F.col("_here")
+    now = lambda c: F.when(curr, F.col(c))
+    old = lambda c: F.when(~curr, F.col(c)).when(F.col("_here"), F.col(f"_{c}"))
+    filed = lambda c: F.when(curr, F.col(c)).otherwise(F.col(f"next_{c}")).alias(c)
+    moves = looked.select("*", sides).select(
+        "cik", filed("report_date"), "cusip", "put_call", "in_curr", (~curr | both).alias("in_prev"),
+        old("shares").alias("prev_shares"), now("shares").alias("curr_shares"), old("value_usd").alias("prev_value"),
+        now("value_usd").alias("curr_value"), now("weight").alias("curr_weight"),
+        *[F.coalesce(F.col(c), F.when(both, F.col(f"_{c}"))).alias(c) for c in texts], filed("accession"), filed("filing_date"))
+    return _finish(moves, hold_epsilon)
+
+
 def diff_portfolios(prev: DataFrame, curr: DataFrame, hold_epsilon: float = HOLD_EPSILON) -> DataFrame:
     """Moves between two given sets of positions, matched on (cusip, put_call)."""
     cols = ["cusip", "put_call", "shares", "value_usd"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators import holdings
-from tidemark.operators.moves import quarter_moves
+from tidemark.operators.moves import fund_moves, quarter_moves
 from tidemark.session import materialize
 
 YEARS = 26  # shift that puts trade dates on both sides of the reporting-unit change
@@ -172,8 +172,8 @@ class Tables:
         """``by_fund``: the same moves from lines that are dealt out once, by fund; nothing moves after that."""
         if by_fund:
             stored, lines = self._stored.get("flawed" if flawed else "plain"), self.flawed_lines if flawed else self.lines
-            dealt = self.positions(lines(by_fund=True)) if stored is None else stored.repartition("cik")
-            return quarter_moves(holdings.fund_snapshots(dealt))
+            dealt = holdings.build_positions(lines(by_fund=True), ordered=True) if stored is None else stored.repartition("cik")
+            return fund_moves(holdings.fund_snapshots(dealt))
         return quarter_moves(self.snapshots(weights, flawed))
 
     def funds(self) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import score as scoring
-from tidemark.functions.texts import list_hash, ticker_flags
-from tidemark.functions.values import split_of
+from tidemark.functions.texts import list_hash, ticker_problems
+from tidemark.functions.values import split_of, text
 from tidemark.operators import insider, pricing
 from tidemark.operators.digests import list_digests
 from tidemark.params import (
@@ -27,13 +30,15 @@ def institutional_signals(moves: DataFrame, include_non_priceable: bool = False,
     )
     if universe is not None:
         long = long.join(universe.select("ticker").distinct(), "ticker", "left_semi")
-    long = long.withColumn("_flags", ticker_flags("ticker", "title_of_class"))
+    # A blank ticker has no flag of these, and no price either.
+    problems, blank = ticker_problems("ticker", "title_of_class"), text("ticker") == ""
     if not include_non_priceable:
-        long = long.filter(F.size("_flags") == 0)
+        long = long.filter(~reduce(or_, problems.values(), blank))
+        problems = {}
     buys, sells = F.col("move").isin("NEW", "ADD"), F.col("move").isin("EXIT", "TRIM")
     convinced = (F.col("move") == "NEW") | (F.col("curr_weight") >= CONVICTION_WEIGHT)
     named = F.when(F.coalesce("issuer", F.lit("")) != "", F.struct("cik", "cusip", "issuer"))
-    flag = lambda name: F.max(F.when(F.array_contains("_flags", name), F.lit(name)))
+    flags = [F.when(F.bool_or(test & ~blank), F.lit(name)) for name, test in problems.items()]
     return long.groupBy("report_date", "ticker").agg(
         F.max("filing_date").alias("as_of"),
         F.min(named)["issuer"].alias("issuer_name"),
@@ -42,8 +47,7 @@ def institutional_signals(moves: DataFrame, include_non_priceable: bool = False,
         F.sum(F.when(buys, F.col("curr_value")).otherwise(0.0)).alias("total_value_usd"),
         F.coalesce(F.avg(F.when(buys, F.col("curr_weight"))) * 100.0, F.lit(0.0)).alias("avg_weight_pct"),
         F.count_if(buys & convinced).alias("conviction_funds"),
-        F.array_compact(F.array(flag("currency_suffixed_ticker"), flag("non_common_equity_title"),
-                                flag("non_priceable_ticker"))).alias("quality_flags"),
+        (F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")).alias("quality_flags"),
         F.count(F.lit(1)).alias("n_moves"),
     )
 
